@@ -1,0 +1,4 @@
+"""Intentionally empty: every output of this package is a full batch reload.
+
+No source here is a stream, so no streaming operator is offered.
+"""
