@@ -1,45 +1,59 @@
-"""Ordered first-match rules, written as data and compiled to one CASE expression."""
+"""Ordered first-match rules, written as data and compiled to one CASE expression.
+
+Tests compare text without regard to case. Each test turns a column name into a SQL
+condition, so a whole rule list is parsed in one step.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from givetide.functions import text
+Test = Callable[[str], str]
+
 
-Test = Callable[[Column], Column]
+def quoted(value: str) -> str:
+    escaped = value.lower().replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def is_(*values: str) -> Test:
-    return (lambda c: text.same(c, values[0])) if len(values) == 1 else (lambda c: text.one_of(c, values))
+    return lambda c: f"lower({c}) in ({', '.join(map(quoted, values))})"
 
 
 def is_not(value: str) -> Test:
-    return lambda c: text.differs(c, value)
+    return lambda c: f"lower({c}) <> {quoted(value)}"
 
 
 def begins(*prefixes: str) -> Test:
-    return lambda c: text.starts(c, *prefixes)
+    return lambda c: "(" + " or ".join(f"startswith(lower({c}), {quoted(p)})" for p in prefixes) + ")"
 
 
 def has(*parts: str) -> Test:
-    return lambda c: text.contains(c, *parts)
+    return lambda c: "(" + " or ".join(f"contains(lower({c}), {quoted(p)})" for p in parts) + ")"
 
 
 def lacks(part: str) -> Test:
-    return lambda c: ~text.contains(c, part)
+    return lambda c: f"not {has(part)(c)}"
 
 
 def begins_with_none(*prefixes: str) -> Test:
-    return lambda c: c.isNotNull() & ~text.starts(c, *prefixes)
+    return lambda c: f"{c} is not null and not {begins(*prefixes)(c)}"
 
 
 def number(*values: int) -> Test:
-    return lambda c: c == values[0] if len(values) == 1 else c.isin(list(values))
+    return lambda c: f"{c} in ({', '.join(map(str, values))})"
+
+
+def holds() -> Test:
+    return lambda c: c
+
+
+def both(*tests: Test) -> Test:
+    return lambda c: " and ".join(test(c) for test in tests)
 
 
 @dataclass(frozen=True)
@@ -49,18 +63,16 @@ class Rule:
     then: int | str
     tests: dict[str, Test] = field(default_factory=dict)
 
-    def condition(self, column: Callable[[str], Column]) -> Column:
-        return reduce(Column.__and__, (test(column(name)) for name, test in self.tests.items()))
+    @property
+    def condition(self) -> str:
+        return " and ".join(test(name) for name, test in self.tests.items())
 
 
 def rule(then: int | str, **tests: Test) -> Rule:
     return Rule(then, tests)
 
 
-def first_match(rules: Sequence[Rule], default: int | None, column: Callable[[str], Column] = F.col) -> Column:
+def first_match(rules: Sequence[Rule], default: int | None) -> Column:
     """First rule whose tests all hold decides; a NULL test counts as not holding."""
-    chain = None
-    for r in rules:
-        value = column(r.then) if isinstance(r.then, str) else F.lit(r.then)
-        chain = (F if chain is None else chain).when(r.condition(column), value.cast("int"))
-    return chain.otherwise(F.lit(default).cast("int"))
+    arms = " ".join(f"when {r.condition} then {r.then}" for r in rules)
+    return F.expr(f"cast(case {arms} else {'null' if default is None else default} end as int)")

@@ -13,8 +13,10 @@ from givetide.functions.rules import (
     Rule,
     begins,
     begins_with_none,
+    both,
     first_match,
     has,
+    holds,
     is_,
     is_not,
     lacks,
@@ -114,13 +116,13 @@ REGULAR_JOIN = {"NEW": "left", "CHANGE": "inner", "CANCEL": "inner", "WIDE": "le
 CASH_RULES = [
     *HIGH_VALUE_PRODUCTS,
     *HIGH_VALUE_REST,
-    rule(58, rolling_sms=lambda c: c),
-    rule(84, descriptor=lambda c: EVENT_OR_COMMUNITY(c) & has(*ACTIVE_WORDS)(c), audience=PEER),
-    rule(86, descriptor=lambda c: EVENT_OR_COMMUNITY(c) & has("In Celebration")(c), audience=PEER),
+    rule(58, rolling_sms=holds()),
+    rule(84, descriptor=both(EVENT_OR_COMMUNITY, has(*ACTIVE_WORDS)), audience=PEER),
+    rule(86, descriptor=both(EVENT_OR_COMMUNITY, has("In Celebration")), audience=PEER),
     rule(87, descriptor=EVENT_OR_COMMUNITY, audience=PEER),
     rule(26, product=is_("Glastonbury Festival")),
     rule(88, product=is_("WaterAid 200", "Tough Sh!t")),
-    rule(25, descriptor=lambda c: EVENT_OR_COMMUNITY(c) & has(*ACTIVE_WORDS)(c)),
+    rule(25, descriptor=both(EVENT_OR_COMMUNITY, has(*ACTIVE_WORDS))),
     rule(27, descriptor=begins("Event")),
     rule(28, audience=is_("Faith Groups")),
     rule(29, audience=is_("Schools")),
@@ -157,8 +159,8 @@ DEBIT, NOT_DEBIT = is_("Direct Debit"), is_not("Direct Debit")
 INCOME_RULES = [
     rule(69, gift_code=is_("SMS")),
     rule(998, descriptor=begins_with_none(*KNOWN_INCOME_TEAMS)),
-    rule(31, descriptor=lambda c: begins("Community Team", "Comm - Not Categorised")(c) & lacks("High Value")(c)),
-    rule(27, descriptor=lambda c: begins("Events Team")(c) & lacks("High Value")(c)),
+    rule(31, descriptor=both(begins("Community Team", "Comm - Not Categorised"), lacks("High Value"))),
+    rule(27, descriptor=both(begins("Events Team"), lacks("High Value"))),
     rule(82, descriptor=has("Upgrade"), payment_type=DEBIT, started=STARTED_NOW),
     rule(82, descriptor=has("Upgrade"), payment_type=DEBIT, amended=AMENDED_NOW),
     rule(83, descriptor=has("Upgrade"), payment_type=NOT_DEBIT, started=STARTED_NOW),

@@ -54,7 +54,7 @@ NO_GROUP = 999
 
 def descriptor(team: Column, campaign: Column) -> Column:
     """Label of a known team code, else ``code - campaign`` (NULL if either is NULL)."""
-    labels = F.create_map(*[F.lit(v) for code, label in TEAM_LABELS.items() for v in (code.lower(), label)])
+    labels = F.expr("map(" + ", ".join(f"'{code.lower()}', '{label}'" for code, label in TEAM_LABELS.items()) + ")")
     return F.coalesce(F.try_element_at(labels, text.fold(team)), F.concat(team, F.lit(" - "), campaign))
 
 

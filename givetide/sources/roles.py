@@ -10,15 +10,15 @@ each table grows with its source.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from givetide.functions import months as m
 from givetide.operators.calendar import calendar, month_spine
 from givetide.operators.groups import ACTIVE_TYPES, CLUBS
-from givetide.operators.history import TEAM_LABELS
-from givetide.sources.schemas import MONEY
+from givetide.operators.history import TEAM_LABELS, descriptor
 from givetide.sources.warehouse import Warehouse
 
 AS_OF = dt.date(2001, 9, 15)
@@ -79,13 +79,39 @@ TARGET_GROUPS = [25, 27, 28, 31, 33, 39, 45, 50, 51, 53, 54, 61, 68, 72, 73, 76,
 UNLISTED_GROUP = 71
 
 
-def pick(values: list, index: Column) -> Column:
-    """Element of a literal list by zero-based index."""
-    return F.try_element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def literals(values: list) -> str:
+    """SQL array of literals."""
+    return "array(" + ", ".join(str(v) if isinstance(v, int) else f"{v!r}" for v in values) + ")"
 
 
-def money(col: str | Column) -> Column:
-    return (F.col(col) if isinstance(col, str) else col).cast("decimal(19,2)").cast(MONEY)
+def pick(values: list, index: str) -> str:
+    """SQL for the element of a literal list at a zero-based index; NULL when out of range."""
+    return f"get({literals(values)}, cast({index} as int))"
+
+
+def money(sql: str) -> str:
+    return f"cast(cast({sql} as decimal(19,2)) as decimal(19,4))"
+
+
+def day_key(day: str) -> str:
+    return f"year({day}) * 10000 + month({day}) * 100 + day({day})"
+
+
+def month_key(day: str) -> str:
+    return f"year({day}) * 100 + month({day})"
+
+
+ORDER_GIFT = f"o_orderkey * {LINES_PER_ORDER}"
+LINE_GIFT = f"l_orderkey * {LINES_PER_ORDER}"
+LINE_APPEAL = "cast(l_quantity * 10 + l_linenumber as int)"
+STATUS_ID = """case when o_orderstatus = 'O' then 1 when o_orderstatus = 'P' then 2
+    when o_orderpriority = '1-URGENT' then 3 when o_orderpriority = '5-LOW' then 4 else 5 end"""
+CODE_ID = "cast(substring(o_orderpriority, 1, 1) as int) - 2"
+PAYMENT_TYPE_ID = "cast(floor(o_totalprice) % 5 as int) + 1"
+
+
+# Schema of each file read so far, so that a footer is read once per session.
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def numbered_lines(lines: DataFrame) -> DataFrame:
@@ -95,8 +121,7 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     per day first. No window holds a whole order's lines, so one very large order is
     spread over its days.
     """
-    day = F.to_date("l_shipdate").alias("ship_day")
-    rows = lines.select("*", day)
+    rows = lines.selectExpr("*", "to_date(l_shipdate) as ship_day")
     earlier = Window.partitionBy("l_orderkey").orderBy("ship_day").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         rows.groupBy("l_orderkey", "ship_day")
@@ -117,313 +142,269 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
 
 def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) -> Warehouse:
     """Warehouse roles over ``<directory>/<table>.parquet``."""
-    raw = lambda name: spark.read.parquet(f"{directory}/{name}.parquet")
-    c = F.col
-    order_gift = c("o_orderkey") * LINES_PER_ORDER
-    line_gift = c("l_orderkey") * LINES_PER_ORDER
-    appeal_of_line = (c("l_quantity") * 10 + c("l_linenumber")).cast("int")
-
-    def status_id() -> Column:
-        return (
-            F.when(c("o_orderstatus") == "O", 1)
-            .when(c("o_orderstatus") == "P", 2)
-            .when(c("o_orderpriority") == "1-URGENT", 3)
-            .when(c("o_orderpriority") == "5-LOW", 4)
-            .otherwise(5)
-        )
 
-    def gift_code_id() -> Column:
-        return F.substring("o_orderpriority", 1, 1).cast("int") - 2
-
-    def payment_type_id() -> Column:
-        return (F.floor("o_totalprice") % 5 + 1).cast("int")
+    @functools.cache
+    def raw(name: str) -> DataFrame:
+        path = f"{directory}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = spark.read.parquet(path).schema
+        return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def orders() -> DataFrame:
-        return raw("orders").withColumn("day", F.to_date("o_orderdate"))
-
-    def lines() -> DataFrame:
-        return numbered_lines(raw("lineitem"))
+        return raw("orders").selectExpr("*", "to_date(o_orderdate) as day")
 
+    @functools.cache
     def owned_lines() -> DataFrame:
-        owners = raw("orders").select(c("o_orderkey").alias("l_orderkey"), "o_custkey")
-        return lines().join(owners, "l_orderkey")
-
-    def regular_gifts() -> DataFrame:
-        return orders().select(
-            order_gift.alias("gift_id"),
-            (c("o_orderkey") + SYSTEM_ID).alias("gift_system_id"),
-            c("o_custkey").alias("constituent_key"),
-            F.lit(30).alias("gift_type_id"),
-            status_id().alias("gift_status_id"),
-            gift_code_id().alias("gift_code_id"),
-            payment_type_id().alias("payment_type_id"),
-            (c("o_custkey") % 25).cast("int").alias("audience_id"),
-            (c("o_custkey") % 25).cast("int").alias("team_id"),
-            F.lit(None).cast("int").alias("appeal_id"),
-            F.lit(None).cast("bigint").alias("package_id"),
-            F.lit(None).cast("int").alias("campaign_id"),
-            c("day").alias("gift_date"),
-            m.key_of_date(c("day")).alias("gift_date_key"),
-            m.key_of_date(F.date_add("day", 200)).alias("changed_date_key"),
-            money("o_totalprice").alias("amount"),
+        owners = raw("orders").selectExpr("o_orderkey as l_orderkey", "o_custkey")
+        return numbered_lines(raw("lineitem")).join(owners, "l_orderkey")
+
+    def gifts() -> DataFrame:
+        regular = orders().selectExpr(
+            f"{ORDER_GIFT} as gift_id",
+            f"o_orderkey + {SYSTEM_ID} as gift_system_id",
+            "o_custkey as constituent_key",
+            "30 as gift_type_id",
+            f"{STATUS_ID} as gift_status_id",
+            f"{CODE_ID} as gift_code_id",
+            f"{PAYMENT_TYPE_ID} as payment_type_id",
+            "cast(o_custkey % 25 as int) as audience_id",
+            "cast(o_custkey % 25 as int) as team_id",
+            "cast(null as int) as appeal_id",
+            "cast(null as bigint) as package_id",
+            "cast(null as int) as campaign_id",
+            "day as gift_date",
+            f"{day_key('day')} as gift_date_key",
+            f"{day_key('date_add(day, 200)')} as changed_date_key",
+            f"{money('o_totalprice')} as amount",
         )
-
-    def payments() -> DataFrame:
-        day = c("ship_day")
-        return owned_lines().select(
-            (line_gift + c("sequence")).alias("gift_id"),
-            F.lit(None).cast("bigint").alias("gift_system_id"),
-            c("o_custkey").alias("constituent_key"),
-            F.when(c("l_returnflag") == "N", 1).otherwise(31).alias("gift_type_id"),
-            F.lit(4).alias("gift_status_id"),
-            (c("l_linenumber") - 2).cast("int").alias("gift_code_id"),
-            F.lit(1).alias("payment_type_id"),
-            (c("l_suppkey") % 25).cast("int").alias("audience_id"),
-            (c("l_suppkey") % 25).cast("int").alias("team_id"),
-            appeal_of_line.alias("appeal_id"),
-            c("l_suppkey").alias("package_id"),
-            (c("l_suppkey") % 25).cast("int").alias("campaign_id"),
-            day.alias("gift_date"),
-            m.key_of_date(day).alias("gift_date_key"),
-            m.key_of_date(day).alias("changed_date_key"),
-            money("l_extendedprice").alias("amount"),
+        payments = owned_lines().selectExpr(
+            f"{LINE_GIFT} + sequence as gift_id",
+            "cast(null as bigint) as gift_system_id",
+            "o_custkey as constituent_key",
+            "case when l_returnflag = 'N' then 1 else 31 end as gift_type_id",
+            "4 as gift_status_id",
+            "l_linenumber - 2 as gift_code_id",
+            "1 as payment_type_id",
+            "cast(l_suppkey % 25 as int) as audience_id",
+            "cast(l_suppkey % 25 as int) as team_id",
+            f"{LINE_APPEAL} as appeal_id",
+            "l_suppkey as package_id",
+            "cast(l_suppkey % 25 as int) as campaign_id",
+            "ship_day as gift_date",
+            f"{day_key('ship_day')} as gift_date_key",
+            f"{day_key('ship_day')} as changed_date_key",
+            f"{money('l_extendedprice')} as amount",
         )
+        return regular.unionByName(payments)
 
     def changes() -> DataFrame:
-        price = c("l_extendedprice").cast("decimal(19,2)")
-        rate = c("l_discount").cast("decimal(4,2)") - c("l_tax").cast("decimal(4,2)")
-        annual = (price * 12).cast(MONEY)
-        return owned_lines().select(
-            (line_gift + c("sequence")).alias("change_id"),
-            line_gift.alias("gift_id"),
-            c("o_custkey").alias("constituent_key"),
+        rate = "(cast(l_discount as decimal(4,2)) - cast(l_tax as decimal(4,2)))"
+        price = "cast(l_extendedprice as decimal(19,2))"
+        return owned_lines().selectExpr(
+            f"{LINE_GIFT} + sequence as change_id",
+            f"{LINE_GIFT} as gift_id",
+            "o_custkey as constituent_key",
             "sequence",
-            F.when(c("sequence") == 1, 1).otherwise(0).alias("is_original"),
-            m.key_of_date(c("ship_day")).alias("change_date_key"),
-            price.cast(MONEY).alias("amount"),
-            annual.alias("annual_amount"),
-            money("l_quantity").alias("change_amount"),
-            F.when(c("sequence") == 1, annual).otherwise((price * rate).cast(MONEY)).alias("change_annual_amount"),
-            F.when(c("l_linenumber") == 7, -1).otherwise(c("l_linenumber") % 5).cast("int").alias("frequency_id"),
-            F.when(c("l_linestatus") == "O", 0).otherwise(c("l_linenumber") % 4).cast("int").alias("previous_frequency_id"),
-            F.when(c("l_linenumber") == 6, -1).otherwise(c("l_suppkey")).alias("package_id"),
-            appeal_of_line.alias("appeal_id"),
-            (c("l_suppkey") % 25).cast("int").alias("campaign_id"),
+            "case when sequence = 1 then 1 else 0 end as is_original",
+            f"{day_key('ship_day')} as change_date_key",
+            f"{money('l_extendedprice')} as amount",
+            f"cast({price} * 12 as decimal(19,4)) as annual_amount",
+            f"{money('l_quantity')} as change_amount",
+            f"cast(case when sequence = 1 then {price} * 12 else {price} * {rate} end as decimal(19,4)) as change_annual_amount",
+            "case when l_linenumber = 7 then -1 else l_linenumber % 5 end as frequency_id",
+            "case when l_linestatus = 'O' then 0 else l_linenumber % 4 end as previous_frequency_id",
+            "case when l_linenumber = 6 then -1 else l_suppkey end as package_id",
+            f"{LINE_APPEAL} as appeal_id",
+            "cast(l_suppkey % 25 as int) as campaign_id",
         )
 
+    @functools.cache
     def appeals() -> DataFrame:
-        size, kind = c("p_size"), c("kind")
-        code = pick(APPEAL_CODES, kind - 1)
-        prefix = F.when(size >= 48, "RA").otherwise(F.lpad(size.cast("string"), 2, "0"))
-        place = size * 6 + kind
+        place = "(p_size * 6 + kind)"
         return (
             raw("part")
             .groupBy("p_size", "p_type")
             .count()
-            .withColumn("kind", F.array_position(F.array(*map(F.lit, APPEAL_KINDS)), c("p_type")).cast("int"))
-            .select(
-                (size * 10 + kind).cast("int").alias("appeal_id"),
-                F.concat(prefix, F.lit("/"), code).alias("appeal_identifier"),
-                F.when(size == 9, "Unicef joint").when(size == 8, "Unallocated").otherwise("Appeal").alias("appeal_description"),
-                F.when(size == 7, None).otherwise(pick(CATEGORIES, place % len(CATEGORIES))).alias("appeal_category"),
-                pick(PRODUCTS, place % len(PRODUCTS)).alias("product"),
-                (size % 25).cast("int").alias("campaign_id"),
-                pick(CAMPAIGNS, size % 25).alias("campaign_description"),
+            .selectExpr("p_size", f"cast(array_position({literals(APPEAL_KINDS)}, p_type) as int) as kind")
+            .selectExpr(
+                "p_size * 10 + kind as appeal_id",
+                f"""concat(case when p_size >= 48 then 'RA' else lpad(cast(p_size as string), 2, '0') end, '/',
+                    {pick(APPEAL_CODES, "kind - 1")}) as appeal_identifier""",
+                "case when p_size = 9 then 'Unicef joint' when p_size = 8 then 'Unallocated' else 'Appeal' end as appeal_description",
+                f"case when p_size <> 7 then {pick(CATEGORIES, f'{place} % {len(CATEGORIES)}')} end as appeal_category",
+                f"{pick(PRODUCTS, f'{place} % {len(PRODUCTS)}')} as product",
+                "p_size % 25 as campaign_id",
+                f"{pick(CAMPAIGNS, 'p_size % 25')} as campaign_description",
             )
         )
 
     def appeal_attributes() -> DataFrame:
-        audience = pick(AUDIENCES, (c("appeal_id") % 25))
-        pair = lambda category, value: F.struct(
-            F.lit(category).alias("attribute_category"), value.alias("attribute_description")
-        )
-        rows = F.array(
-            pair("Product", c("product")), pair("Target Audience", F.when(~F.endswith("appeal_identifier", F.lit("EV1")), audience))
-        )
-        return appeals().select("appeal_id", F.explode(rows).alias("a")).select("appeal_id", "a.*").filter(
-            "attribute_description is not null"
+        audience = f"case when not endswith(appeal_identifier, 'EV1') then {pick(AUDIENCES, 'appeal_id % 25')} end"
+        return (
+            appeals()
+            .selectExpr("appeal_id", f"stack(2, 'Product', product, 'Target Audience', {audience}) as (attribute_category, attribute_description)")
+            .filter("attribute_description is not null")
         )
 
     def gift_attributes() -> DataFrame:
-        return lines().select(
-            (line_gift + c("sequence")).alias("gift_id"),
-            F.when(c("l_linestatus") == "F", "Target Audience").otherwise("Thank you").alias("attribute_category"),
-            F.when(c("l_linenumber") < 4, pick(AUDIENCES, c("l_suppkey") % 25)).alias("attribute_description"),
+        return numbered_lines(raw("lineitem")).selectExpr(
+            f"{LINE_GIFT} + sequence as gift_id",
+            "case when l_linestatus = 'F' then 'Target Audience' else 'Thank you' end as attribute_category",
+            f"case when l_linenumber < 4 then {pick(AUDIENCES, 'l_suppkey % 25')} end as attribute_description",
         )
 
-    def known_descriptors() -> DataFrame:
-        from givetide.operators.history import descriptor
+    def descriptors_of_appeals() -> DataFrame:
+        return appeals().select("appeal_id", descriptor(F.col("appeal_category"), F.col("campaign_description")).alias("descriptor"))
 
-        teams = raw("nation").select(
-            pick(TEAMS, c("n_nationkey")).alias("team"), F.explode(F.array(*map(F.lit, CAMPAIGNS))).alias("campaign")
+    def known_descriptors() -> DataFrame:
+        of_teams = (
+            raw("nation")
+            .selectExpr(f"{pick(TEAMS, 'n_nationkey')} as team", f"explode({literals(CAMPAIGNS)}) as campaign")
+            .select(descriptor(F.col("team"), F.col("campaign")).alias("descriptor"))
         )
-        of_teams = teams.select(descriptor(c("team"), c("campaign")).alias("descriptor"))
-        of_appeals = appeals().select(descriptor(c("appeal_category"), c("campaign_description")).alias("descriptor"))
-        size = F.length("descriptor")
         return (
-            of_teams.unionByName(of_appeals)
-            .filter(~size.isin(UNRULED_LENGTHS))
+            of_teams.unionByName(descriptors_of_appeals().select("descriptor"))
             .groupBy(F.lower("descriptor").alias("_d"))
             .agg(F.min("descriptor").alias("descriptor"))
-            .select(
+            .filter(f"not array_contains({literals(UNRULED_LENGTHS)}, length(descriptor))")
+            .selectExpr(
                 "descriptor",
-                (40 + size % 20).cast("int").alias("default_group"),
-                pick(RULE_NUMBERS, size % len(RULE_NUMBERS)).alias("rule_number"),
+                "40 + length(descriptor) % 20 as default_group",
+                f"{pick(RULE_NUMBERS, f'length(descriptor) % {len(RULE_NUMBERS)}')} as rule_number",
             )
         )
 
     def from_nation(key: str, value: str, values: list) -> DataFrame:
-        return raw("nation").select(c("n_nationkey").cast("int").alias(key), pick(values, c("n_nationkey")).alias(value))
+        return raw("nation").selectExpr(f"n_nationkey as {key}", f"{pick(values, 'n_nationkey')} as {value}")
 
     def from_region(key: str, value: str, values: list, first: int = 0) -> DataFrame:
-        return raw("region").select((c("r_regionkey") + first).cast("int").alias(key), pick(values, c("r_regionkey")).alias(value))
+        return raw("region").selectExpr(f"r_regionkey + {first} as {key}", f"{pick(values, 'r_regionkey')} as {value}")
 
     def actions() -> DataFrame:
-        day = F.date_sub(F.to_date("ts"), (F.lit(EVENT_DAYS_BACK) + c("user_id") * 7 % 700).cast("int"))
-        return raw("events").withColumn("day", day)
+        return raw("events").selectExpr("*", f"date_sub(to_date(ts), cast({EVENT_DAYS_BACK} + user_id * 7 % 700 as int)) as day")
 
     def action_attributes() -> DataFrame:
-        user = c("user_id")
-        pair = lambda category, value: F.struct(
-            F.lit(category).alias("attribute_category"), value.alias("attribute_description")
-        )
-        rows = F.array(
-            pair("Event Name", F.when(c("event_type") != "click", F.concat(F.lit("Event "), (user % 7).cast("string")))),
-            pair("Event Registration Type", F.when(user < 75, "Team")),
-            pair("Event Category", F.when(user % 4 == 0, "Peer to peer event").when(user % 4 == 1, "WaterAid Mass Participation Event")),
-            pair("Fundraising Platform Used", F.when(user >= 100, "Online page")),
-        )
         return (
             raw("events")
-            .select(c("event_id").alias("action_id"), F.explode(rows).alias("a"))
-            .select("action_id", "a.*")
+            .selectExpr(
+                "event_id as action_id",
+                """stack(4,
+                    'Event Name', case when event_type <> 'click' then concat('Event ', cast(user_id % 7 as string)) end,
+                    'Event Registration Type', case when user_id < 75 then 'Team' end,
+                    'Event Category', case when user_id % 4 = 0 then 'Peer to peer event'
+                        when user_id % 4 = 1 then 'WaterAid Mass Participation Event' end,
+                    'Fundraising Platform Used', case when user_id >= 100 then 'Online page' end
+                ) as (attribute_category, attribute_description)""",
+            )
             .filter("attribute_description is not null or attribute_category = 'Event Name'")
         )
 
     def constituent_codes() -> DataFrame:
-        nation = c("c_nationkey")
-        codes = F.array(
-            F.when(nation < 5, "Schools"), F.when((nation > 2) & (nation < 10), "Faith Groups"), F.when(nation > 6, "General")
-        )
         return (
             raw("customer")
-            .select(c("c_custkey").alias("constituent_key"), F.explode(codes).alias("constituent_code"))
+            .selectExpr(
+                "c_custkey as constituent_key",
+                """stack(3, case when c_nationkey < 5 then 'Schools' end,
+                    case when c_nationkey > 2 and c_nationkey < 10 then 'Faith Groups' end,
+                    case when c_nationkey > 6 then 'General' end) as constituent_code""",
+            )
             .filter("constituent_code is not null")
         )
 
     def rg_income() -> DataFrame:
-        from givetide.operators.history import descriptor
-
-        labels = appeals().select("appeal_id", descriptor(c("appeal_category"), c("campaign_description")).alias("descriptor"))
-        owners = orders().select(
-            c("o_orderkey").alias("l_orderkey"),
-            pick(PAYMENT_TYPES, payment_type_id() - 1).alias("payment_type"),
-            F.when(c("day") < F.lit("2001-04-01").cast("date"), "Gift started before this financial year")
-            .when(c("o_orderpriority") != "5-LOW", "Gift started during this financial year")
-            .alias("started"),
-            F.when(gift_code_id() >= 0, pick(GIFT_CODES, gift_code_id())).alias("gift_code"),
+        owners = orders().selectExpr(
+            "o_orderkey as l_orderkey",
+            f"{pick(PAYMENT_TYPES, f'{PAYMENT_TYPE_ID} - 1')} as payment_type",
+            """case when day < date'2001-04-01' then 'Gift started before this financial year'
+                when o_orderpriority <> '5-LOW' then 'Gift started during this financial year' end as started""",
+            f"{pick(GIFT_CODES, f'nullif({CODE_ID}, -1)')} as gift_code",
         )
+        keys = ["month", "appeal_id", "payment_type", "started", "amended", "gift_code"]
         return (
             raw("lineitem")
-            .filter(c("l_returnflag") != "N")
+            .filter("l_returnflag <> 'N'")
             .join(owners, "l_orderkey")
-            .select(
-                m.month_of_date(F.to_date("l_shipdate")).alias("month"),
-                appeal_of_line.alias("appeal_id"),
+            .selectExpr(
+                f"{month_key('l_shipdate')} as month",
+                f"{LINE_APPEAL} as appeal_id",
                 "payment_type",
                 "started",
-                F.when(c("l_discount") > 0.05, "Gift amended during this financial year").otherwise("Not amended").alias("amended"),
+                "case when l_discount > 0.05 then 'Gift amended during this financial year' else 'Not amended' end as amended",
                 "gift_code",
-                money("l_extendedprice").alias("value"),
+                f"{money('l_extendedprice')} as value",
             )
-            .groupBy("month", "appeal_id", "payment_type", "started", "amended", "gift_code")
+            .groupBy(*keys)
             .agg(F.sum("value").alias("value"))
-            .join(labels, "appeal_id", "left")
+            .join(descriptors_of_appeals(), "appeal_id", "left")
             .select("month", "descriptor", "payment_type", "started", "amended", "gift_code", "value")
         )
 
+    @functools.cache
     def groups() -> DataFrame:
         """Groups 24 to 93 and 998, one of them unlisted, under the regions."""
         ids = [g for g in [*range(24, 94), 998] if g != UNLISTED_GROUP]
         return (
             raw("region")
-            .agg(F.count(F.lit(1)).alias("_regions"))
-            .select(F.explode(F.array(*map(F.lit, ids))).alias("group_id"), "_regions")
-            .select(
-                "group_id",
-                F.concat(F.lit("Group "), c("group_id").cast("string")).alias("description"),
-                (c("group_id") % c("_regions") + 10).cast("int").alias("forms_part_of"),
-                F.lit(8).alias("level"),
-            )
+            .selectExpr("cast(count(*) as int) as regions")
+            .selectExpr("regions", f"explode({literals(ids)}) as group_id")
+            .selectExpr("group_id", "concat('Group ', cast(group_id as string)) as description", "group_id % regions + 10 as forms_part_of", "8 as level")
         )
 
     def targets() -> DataFrame:
         """Per type and group: a share of the orders one year earlier."""
-        month = m.month_of_date(c("day"))
         return (
             orders()
-            .groupBy((month + 100).alias("month"))
-            .agg(F.sum(money("o_totalprice")).alias("_total"))
-            .select("month", "_total", F.explode(F.array(*map(F.lit, METRIC_TYPES))).alias("type"))
-            .select("*", F.explode(F.array(*map(F.lit, TARGET_GROUPS))).alias("group_id"))
+            .groupBy(F.expr(f"{month_key('day')} + 100").alias("month"))
+            .agg(F.expr(f"sum({money('o_totalprice')})").alias("total"))
+            .selectExpr("month", "total", f"explode({literals(METRIC_TYPES)}) as type")
+            .selectExpr("month", "total", "type", f"explode({literals(TARGET_GROUPS)}) as group_id")
             .join(groups(), "group_id")
-            .select(
-                "type",
-                "month",
-                "group_id",
-                "forms_part_of",
-                "level",
-                "description",
-                F.when(c("group_id") == 61, 0).otherwise((c("_total") * c("group_id")).cast("decimal(27,4)")).alias("target"),
-            )
-            .withColumn("target", c("target").cast("decimal(27,4)"))
+            .selectExpr(
+                "type", "month", "group_id", "forms_part_of", "level", "description",
+                "cast(case when group_id = 61 then 0 else total * group_id end as decimal(29,4)) as target",
+            )
         )
 
     def nonfinancial_targets() -> DataFrame:
-        packs, faith = "Count of pack requests made in month", "Count of distinct faith groups making donation in month"
-        four = lambda team, category, what, sub: F.struct(
-            F.lit(team).alias("team"), F.lit(category).alias("target_category"),
-            F.lit(what).alias("target_description"), F.lit(sub).alias("subcategory"),
-        )
-        kinds = F.array(
-            four("Community and Events", "Packs", packs, "Pupil Pipeline pack request"),
-            four("Community and Events", "Packs", packs, "Water Resource pack request"),
-            four("Community and Events", "Packs", packs, "Other pack request"),
-            four("Community and Events", "Packs", packs, "Leaflets"),
-            four("Digital", "Packs", packs, "Pupil Pipeline pack request"),
-            four("Community and Events", "Faith", faith, "All"),
-        )
         return (
             orders()
-            .groupBy(m.month_of_date(c("day")).alias("month"))
+            .groupBy(F.expr(month_key("day")).alias("month"))
             .count()
-            .select("month", c("count").cast(MONEY).alias("target_value"), F.explode(kinds).alias("k"))
-            .select("k.*", "month", "target_value")
+            .selectExpr(
+                "month",
+                "cast(count as decimal(19,4)) as target_value",
+                """stack(6,
+                    'Community and Events', 'Packs', 'Count of pack requests made in month', 'Pupil Pipeline pack request',
+                    'Community and Events', 'Packs', 'Count of pack requests made in month', 'Water Resource pack request',
+                    'Community and Events', 'Packs', 'Count of pack requests made in month', 'Other pack request',
+                    'Community and Events', 'Packs', 'Count of pack requests made in month', 'Leaflets',
+                    'Digital', 'Packs', 'Count of pack requests made in month', 'Pupil Pipeline pack request',
+                    'Community and Events', 'Faith', 'Count of distinct faith groups making donation in month', 'All'
+                ) as (team, target_category, target_description, subcategory)""",
+            )
         )
 
-    day_key = lambda col: m.key_of_date(c(col))
+    items = [
+        "Pupil Pipeline Pack", "Primary School Pack", "Secondary School Pack", "Leaflet", "General Pack",
+        "pupil pipeline pack", "Poster",
+    ]
     tables = {
         "calendar": lambda: calendar(spark, FIRST_DAY, LAST_DAY, as_of),
         "months": lambda: month_spine(calendar(spark, FIRST_DAY, LAST_DAY, as_of)),
-        "gift": lambda: regular_gifts().unionByName(payments()),
+        "gift": gifts,
         "gift_change": changes,
         "gift_attribute": gift_attributes,
         "appeal": appeals,
         "appeal_attribute": appeal_attributes,
-        "campaign": lambda: from_nation("campaign_id", "campaign_description", CAMPAIGNS).withColumn(
-            "campaign_identifier", F.concat(F.lit("C"), c("campaign_id").cast("string"))
+        "campaign": lambda: from_nation("campaign_id", "campaign_description", CAMPAIGNS).selectExpr(
+            "*", "concat('C', cast(campaign_id as string)) as campaign_identifier"
         ),
-        "package": lambda: raw("supplier").select(
-            c("s_suppkey").alias("package_id"),
-            F.concat(
-                F.lpad((c("s_suppkey") % 50).cast("string"), 2, "0"),
-                F.lit("/"),
-                pick(PACKAGE_CODES, c("s_nationkey") % 5),
-                F.lit("/"),
-                c("s_suppkey").cast("string"),
-            ).alias("package_identifier"),
-            c("s_name").alias("package_description"),
-            pick(PACKAGE_CATEGORIES, c("s_nationkey") % 5).alias("package_category"),
+        "package": lambda: raw("supplier").selectExpr(
+            "s_suppkey as package_id",
+            f"""concat(lpad(cast(s_suppkey % 50 as string), 2, '0'), '/', {pick(PACKAGE_CODES, "s_nationkey % 5")}, '/',
+                cast(s_suppkey as string)) as package_identifier""",
+            "s_name as package_description",
+            f"{pick(PACKAGE_CATEGORIES, 's_nationkey % 5')} as package_category",
         ),
         "audience": lambda: from_nation("audience_id", "audience", AUDIENCES),
         "team": lambda: from_nation("team_id", "team", TEAMS),
@@ -435,72 +416,62 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
         "instalment_frequency": lambda: from_region("frequency_id", "instalments_per_year", INSTALMENTS),
         "known_descriptor": known_descriptors,
         "group": groups,
-        "constituent": lambda: raw("customer").select(
-            c("c_custkey").alias("constituent_key"),
-            (c("c_custkey") + NEW_PERSON_ID).alias("constituent_id"),
-            F.when(c("c_mktsegment") == "MACHINERY", "O").otherwise("I").alias("key_indicator"),
-            F.when(c("c_acctbal") < 0, "Yes").otherwise("No").alias("is_deceased"),
-            F.when(c("c_acctbal") < -500, F.date_add(F.lit("1996-01-01").cast("date"), c("c_nationkey") * 60)).alias("deceased_date"),
-            F.date_add(F.lit("1999-06-01").cast("date"), c("c_nationkey") * 40).alias("date_changed"),
-            F.when((c("c_mktsegment") == "MACHINERY") & (c("c_nationkey") < 15), "Faith Groups")
-            .otherwise("Other")
-            .alias("organisation_type"),
+        "constituent": lambda: raw("customer").selectExpr(
+            "c_custkey as constituent_key",
+            f"c_custkey + {NEW_PERSON_ID} as constituent_id",
+            "case when c_mktsegment = 'MACHINERY' then 'O' else 'I' end as key_indicator",
+            "case when c_acctbal < 0 then 'Yes' else 'No' end as is_deceased",
+            "case when c_acctbal < -500 then date_add(date'1996-01-01', c_nationkey * 60) end as deceased_date",
+            "date_add(date'1999-06-01', c_nationkey * 40) as date_changed",
+            "case when c_mktsegment = 'MACHINERY' and c_nationkey < 15 then 'Faith Groups' else 'Other' end as organisation_type",
         ),
         "constituent_code": constituent_codes,
-        "gift_status_date": lambda: orders().select(
-            F.when((c("o_orderstatus") == "O") & (c("o_orderpriority") == "4-NOT SPECIFIED"), -c("o_orderkey") - 1)
-            .otherwise(c("o_orderkey") + SYSTEM_ID)
-            .alias("gift_system_id"),
-            pick(GIFT_STATUSES, status_id() - 1).alias("status"),
-            F.when(
-                c("o_orderpriority") != "3-MEDIUM", F.date_add("day", (F.floor("o_totalprice") % 900).cast("int"))
-            ).alias("status_date"),
+        "gift_status_date": lambda: orders().selectExpr(
+            f"""case when o_orderstatus = 'O' and o_orderpriority = '4-NOT SPECIFIED' then -o_orderkey - 1
+                else o_orderkey + {SYSTEM_ID} end as gift_system_id""",
+            f"{pick(GIFT_STATUSES, f'{STATUS_ID} - 1')} as status",
+            "case when o_orderpriority <> '3-MEDIUM' then date_add(day, cast(floor(o_totalprice) % 900 as int)) end as status_date",
         ),
-        "rg_fact": lambda: orders().select(
-            order_gift.alias("gift_id"),
-            F.when(c("o_totalprice") < 250000, c("day")).alias("first_instalment_date"),
-            pick(GIFT_STATUSES, status_id() - 1).alias("gift_status"),
-            F.when(F.floor("o_totalprice") % 3 == 0, "Yes").otherwise("No").alias("has_been_upgraded"),
-            money("o_totalprice").alias("annual_amount"),
+        "rg_fact": lambda: orders().selectExpr(
+            f"{ORDER_GIFT} as gift_id",
+            "case when o_totalprice < 250000 then day end as first_instalment_date",
+            f"{pick(GIFT_STATUSES, f'{STATUS_ID} - 1')} as gift_status",
+            "case when floor(o_totalprice) % 3 = 0 then 'Yes' else 'No' end as has_been_upgraded",
+            f"{money('o_totalprice')} as annual_amount",
         ),
         "cash_gift": lambda: owned_lines()
-        .filter(c("l_returnflag") == "N")
-        .select(
-            (line_gift + c("sequence")).alias("gift_id"),
-            (c("o_custkey") + NEW_PERSON_ID).alias("constituent_id"),
-            c("ship_day").alias("gift_date"),
-            money("l_extendedprice").alias("gift_amount"),
-            F.when(c("l_linenumber") == 5, "No").otherwise("Yes").alias("is_counted"),
+        .filter("l_returnflag = 'N'")
+        .selectExpr(
+            f"{LINE_GIFT} + sequence as gift_id",
+            f"o_custkey + {NEW_PERSON_ID} as constituent_id",
+            "ship_day as gift_date",
+            f"{money('l_extendedprice')} as gift_amount",
+            "case when l_linenumber = 5 then 'No' else 'Yes' end as is_counted",
         ),
         "rg_income": rg_income,
-        "action": lambda: actions().select(
-            c("event_id").alias("action_id"),
-            (c("event_id") + 7).alias("action_system_id"),
-            c("user_id").alias("constituent_key"),
-            F.array_position(F.array(*map(F.lit, ACTION_STATUSES)), c("event_type")).cast("int").alias("action_status_id"),
-            (F.floor("value") % 25).cast("int").alias("action_type_id"),
-            day_key("day").alias("action_date_key"),
-            c("day").alias("action_date"),
-        ),
-        "action_extra": lambda: actions().select(
-            (c("event_id") + 7).alias("action_system_id"), F.date_sub("day", 30).alias("date_added")
+        "action": lambda: actions().selectExpr(
+            "event_id as action_id",
+            "event_id + 7 as action_system_id",
+            "user_id as constituent_key",
+            f"cast(array_position({literals(list(ACTION_STATUSES))}, event_type) as int) as action_status_id",
+            "cast(floor(value) % 25 as int) as action_type_id",
+            f"{day_key('day')} as action_date_key",
+            "day as action_date",
         ),
+        "action_extra": lambda: actions().selectExpr("event_id + 7 as action_system_id", "date_sub(day, 30) as date_added"),
         "action_attribute": action_attributes,
-        "material_sent": lambda: raw("lineitem").select(
-            (c("l_orderkey") * 10 + c("l_linenumber")).alias("material_id"),
-            pick(
-                ["Pupil Pipeline Pack", "Primary School Pack", "Secondary School Pack", "Leaflet", "General Pack", "pupil pipeline pack", "Poster"],
-                c("l_linenumber") - 1,
-            ).alias("item"),
-            c("l_quantity").cast("bigint").alias("quantity"),
-            F.when(c("l_returnflag") == "R", -1).otherwise(c("l_orderkey")).alias("letter_activity_id"),
+        "material_sent": lambda: raw("lineitem").selectExpr(
+            "l_orderkey * 10 + l_linenumber as material_id",
+            f"{pick(items, 'l_linenumber - 1')} as item",
+            "cast(l_quantity as bigint) as quantity",
+            "case when l_returnflag = 'R' then -1 else l_orderkey end as letter_activity_id",
         ),
-        "activity": lambda: orders().select(c("o_orderkey").alias("activity_id"), day_key("day").alias("end_date_key")),
-        "payment": lambda: orders().select(
-            c("o_orderkey").alias("payment_id"),
-            c("o_custkey").alias("constituent_key"),
-            day_key("day").alias("donation_date_key"),
-            money("o_totalprice").alias("amount"),
+        "activity": lambda: orders().selectExpr("o_orderkey as activity_id", f"{day_key('day')} as end_date_key"),
+        "payment": lambda: orders().selectExpr(
+            "o_orderkey as payment_id",
+            "o_custkey as constituent_key",
+            f"{day_key('day')} as donation_date_key",
+            f"{money('o_totalprice')} as amount",
         ),
         "nonfinancial_target": nonfinancial_targets,
         "target": targets,
