@@ -41,13 +41,18 @@ def _history(w) -> DataFrame:
     return history.rg_history(w, carry=True)
 
 
+def _unwanted(w) -> DataFrame:
+    return state.unrealistic_gifts(w, w.gift.filter("gift_type_id = 30"))
+
+
 def _details(w) -> DataFrame:
-    found = state.latest_state_per_month(w, _history(w))
-    return state.without_gifts(found, state.unrealistic_gifts(w))
+    """Latest change per gift and month, from the changes alone."""
+    found = state.latest_state_per_month(w, history.regular_gift_changes(w))
+    return state.without_gifts(found, _unwanted(w))
 
 
 def _lifespans(w) -> DataFrame:
-    return state.without_gifts(state.gift_lifespan(w), state.unrealistic_gifts(w))
+    return state.without_gifts(state.gift_lifespan(w), _unwanted(w))
 
 
 @registered
@@ -148,7 +153,7 @@ def unrealistic_gifts(w):
 
 @registered
 def every_month_since_start(w):
-    return state.every_month_since_start(w, _history(w), AS_OF)
+    return state.every_month_since_start(w, history.regular_gift_changes(w), AS_OF)
 
 
 @registered
@@ -187,18 +192,18 @@ def rolling_24_month_cash(w):
 
 
 def _giver_status(w) -> DataFrame:
-    regular = filesize.regular_giving_per_person(state.carry_forward_spans(_details(w), AS_OF), _lifespans(w))
-    return filesize.giver_status(regular, filesize.rolling_24_month_cash(w, AS_OF))
+    regular = filesize.regular_giving_spans(state.carry_forward_spans(_details(w), AS_OF), _lifespans(w))
+    return filesize.giver_status(regular, filesize.rolling_cash_spans(w, AS_OF))
 
 
 @registered
 def giver_status(w):
-    return _giver_status(w)
+    return filesize.per_month(_giver_status(w))
 
 
 @registered
 def exclude_organisations(w):
-    return filesize.exclude_organisations(w, _giver_status(w))
+    return filesize.per_month(filesize.exclude_organisations(w, _giver_status(w)))
 
 
 def _individuals(w) -> DataFrame:
@@ -207,7 +212,7 @@ def _individuals(w) -> DataFrame:
 
 @registered
 def mark_deceased(w):
-    return _individuals(w)
+    return filesize.per_month(_individuals(w))
 
 
 @registered

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from givetide.functions import months as m
 from givetide.functions import text
-from givetide.operators.spans import merge_spans, span_totals
+from givetide.operators.spans import expand_months, merge_spans, span_steps, span_totals
 
 CASH_MONTHS = 24
 DECEASED = "Deceased - was "
@@ -90,48 +90,59 @@ def monthly_cash(w) -> DataFrame:
     )
 
 
-def rolling_24_month_cash(w, as_of: dt.date) -> DataFrame:
-    """Cash per person over each complete month and the 23 before it.
-
-    A month's giving counts from that month for 24 months, a span like any other.
-    """
+def rolling_cash_spans(w, as_of: dt.date) -> DataFrame:
+    """Each month's cash with the 24 months it counts in, complete months only."""
     start = m.index_of(F.col("month"))
-    spans = monthly_cash(w).select(
+    return monthly_cash(w).select(
         "constituent_id",
         "given",
         start.alias("start"),
         F.least(start + CASH_MONTHS, F.lit(m.as_of_index(as_of))).alias("stop"),
     )
-    return span_totals(spans, ["constituent_id"], {"cash_24_months": "given"})
 
 
-def regular_giving_per_person(spans: DataFrame, lifespans: DataFrame) -> DataFrame:
-    """Annual value per person and month over gifts still active at that month end."""
+def rolling_24_month_cash(w, as_of: dt.date) -> DataFrame:
+    """Cash per person over each complete month and the 23 before it."""
+    return span_totals(rolling_cash_spans(w, as_of), ["constituent_id"], {"cash_24_months": "given"})
+
+
+def regular_giving_spans(spans: DataFrame, lifespans: DataFrame) -> DataFrame:
+    """Carried amounts, cut at the last month end at which their gift was active."""
     lives = lifespans.select("gift_id", "final_active_month")
     until = F.least(F.col("stop"), F.coalesce(m.index_of(F.col("final_active_month")) + 1, F.col("stop")))
-    live = spans.join(lives, "gift_id").withColumn("stop", until)
-    return span_totals(live, ["constituent_id"], {"regular_value": "annual_amount"})
+    return spans.join(lives, "gift_id").select("constituent_id", "annual_amount", "start", until.alias("stop"))
 
 
 def giver_status(regular: DataFrame, cash: DataFrame) -> DataFrame:
-    """One row per person and month with both values and the giver category."""
+    """Both values and the giver category per person, over spans of equal months.
+
+    Regular and cash spans are totalled together, which takes the place of joining the
+    two by person and month. The result has one row per change of a person's totals;
+    ``expand_months`` gives the row per month.
+    """
+    nothing = F.lit(None).cast("decimal(38,4)")
+    rows = regular.select("constituent_id", "start", "stop", F.col("annual_amount").cast("decimal(38,4)").alias("r"), nothing.alias("c"))
+    rows = rows.unionByName(
+        cash.select("constituent_id", "start", "stop", nothing.alias("r"), F.col("given").cast("decimal(38,4)").alias("c"))
+    )
     rg, cg = F.col("regular_value"), F.col("cash_24_months")
     return (
-        regular.join(cash, ["constituent_id", "month"], "full")
+        span_steps(rows, ["constituent_id"], {"regular_value": "r", "cash_24_months": "c"}, {})
         .filter(rg.isNotNull() | cg.isNotNull())
-        .select(
-            "constituent_id",
-            "month",
-            "regular_value",
-            "cash_24_months",
+        .withColumn(
+            "giver_category",
             F.when(rg.isNotNull() & cg.isNotNull(), "Active CoG and Active Cash")
             .when(rg.isNotNull(), "Active CoG only")
-            .otherwise("Active Cash only")
-            .alias("giver_category"),
+            .otherwise("Active Cash only"),
         )
     )
 
 
+def per_month(status: DataFrame) -> DataFrame:
+    """One row per person and month of a giver status."""
+    return expand_months(status).select("constituent_id", "month", "regular_value", "cash_24_months", "giver_category")
+
+
 def exclude_organisations(w, df: DataFrame) -> DataFrame:
     organisations = w.constituent.filter(text.same(F.col("key_indicator"), "O")).select("constituent_id")
     return df.join(organisations, "constituent_id", "left_anti")
@@ -154,23 +165,35 @@ def mark_deceased(w, status: DataFrame) -> DataFrame:
         .agg(F.min("_day").alias("_day"))
         .select("constituent_id", m.month_of_date(F.greatest(day, first_day)).alias("_deceased"))
     )
-    category = F.col("giver_category")
+    start, stop = F.col("start"), F.col("stop")
+    died_at = F.coalesce(m.index_of(F.col("_deceased")), stop)
+    pieces = F.array(
+        F.struct(start.alias("start"), F.least(stop, died_at).alias("stop"), F.lit("").alias("prefix")),
+        F.struct(F.greatest(start, died_at).alias("start"), stop.alias("stop"), F.lit(DECEASED).alias("prefix")),
+    )
     return (
         status.join(died, "constituent_id", "left")
-        .withColumn(
-            "giver_category",
-            F.when(F.col("month") >= F.col("_deceased"), F.concat(F.lit(DECEASED), category)).otherwise(category),
+        .select("constituent_id", "regular_value", "cash_24_months", "giver_category", F.explode(pieces).alias("_p"))
+        .filter("_p.start < _p.stop")
+        .select(
+            "constituent_id",
+            "_p.start",
+            "_p.stop",
+            "regular_value",
+            "cash_24_months",
+            F.concat("_p.prefix", "giver_category").alias("giver_category"),
         )
-        .drop("_deceased")
     )
 
 
 def file_size_actuals(status: DataFrame) -> DataFrame:
-    return status.groupBy("month", "giver_category").agg(
-        F.count("constituent_id").alias("people"),
-        F.sum("regular_value").alias("regular_value"),
-        F.sum("cash_24_months").alias("cash_24_months"),
-    )
+    """People and values per month and category, without a row per person and month."""
+    return span_totals(
+        status,
+        ["giver_category"],
+        {"regular_value": "regular_value", "cash_24_months": "cash_24_months"},
+        {"people": F.lit(1)},
+    ).select("month", "giver_category", "people", "regular_value", "cash_24_months")
 
 
 def crossed_giving(w, status: DataFrame, as_of: dt.date) -> DataFrame:
@@ -194,16 +217,20 @@ def crossed_giving(w, status: DataFrame, as_of: dt.date) -> DataFrame:
             .withColumn("gift_type", F.lit(label))
         )
 
-    giving = given(1, "Cash", counted).unionByName(given(31, "RG Payment", None))
-    return (
-        giving.join(people, "constituent_key")
-        .join(status.select("constituent_id", "month", "giver_category"), ["constituent_id", "month"], "left")
-        .groupBy("giver_category", "gift_type", "month")
-        .agg(F.sum("total").alias("total"))
+    giving = (
+        given(1, "Cash", counted)
+        .unionByName(given(31, "RG Payment", None))
+        .join(people, "constituent_key")
+        .withColumn("_at", m.index_of(F.col("month")))
+    )
+    spans = status.select(F.col("constituent_id").alias("_person"), "start", "stop", "giver_category")
+    at_month_end = (
+        (F.col("constituent_id") == F.col("_person")) & (F.col("_at") >= F.col("start")) & (F.col("_at") < F.col("stop"))
     )
+    return giving.join(spans, at_month_end, "left").groupBy("giver_category", "gift_type", "month").agg(F.sum("total").alias("total"))
 
 
 def giver_status_of(w, spans: DataFrame, lifespans: DataFrame, as_of: dt.date) -> DataFrame:
     """Giver status of individuals, deceased marked, from the gift spans up."""
-    status = giver_status(regular_giving_per_person(spans, lifespans), rolling_24_month_cash(w, as_of))
+    status = giver_status(regular_giving_spans(spans, lifespans), rolling_cash_spans(w, as_of))
     return mark_deceased(w, exclude_organisations(w, status))

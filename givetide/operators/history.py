@@ -128,94 +128,81 @@ def _appeal_descriptors(appeals: DataFrame, descriptors: DataFrame) -> DataFrame
     )
 
 
+CORE_GIFT_COLUMNS = ["payment_type_id", "audience_id", "gift_status_id", "gift_system_id"]
+
+
+def regular_gift_changes(w) -> DataFrame:
+    """Changes of regular gifts with their person and the gift's own columns.
+
+    This is the history without its dimensions: enough for everything that follows
+    amounts through time, at the cost of the two fact joins only.
+    """
+    gifts = w.gift.filter(F.col("gift_type_id") == REGULAR_GIFT).select("gift_id", "gift_code_id", *CORE_GIFT_COLUMNS)
+    persons = w.constituent.select("constituent_key", "constituent_id")
+    return w.gift_change.join(gifts, "gift_id").join(persons, "constituent_key")
+
+
 def rg_history(w, carry: bool = False) -> DataFrame:
     """Every change of every regular gift, with previous amounts, descriptor and group.
 
     ``carry=True`` keeps the gift's own columns (payment type, audience, status, system
     id), so that later steps need not join the gift fact again.
     """
-    gifts = w.gift.filter(F.col("gift_type_id") == REGULAR_GIFT).select(
-        "gift_id",
-        F.when(F.col("gift_code_id") > -1, F.col("gift_code_id")).alias("gift_code_id"),
-        "payment_type_id",
-        "audience_id",
-        "gift_status_id",
-        "gift_system_id",
-    )
-    persons = w.constituent.select("constituent_key", "constituent_id")
     packages = w.package.select("package_id", "package_identifier", "package_description")
     campaigns = w.campaign.select("campaign_id", "campaign_identifier", "campaign_description")
-    appeals = _appeal_descriptors(w.appeal, w.known_descriptor)
-    now = w.instalment_frequency.select("frequency_id", F.col("instalments_per_year"))
+    appeals = w.dimension("appeal_descriptors", lambda: _appeal_descriptors(w.appeal, w.known_descriptor))
+    now = w.instalment_frequency.select("frequency_id", "instalments_per_year")
     was = w.instalment_frequency.select(
         F.col("frequency_id").alias("previous_frequency_id"), F.col("instalments_per_year").alias("_previous")
     )
-    codes = w.gift_code.select("gift_code_id", F.col("gift_code_description").alias("gift_code"))
-
-    previous = F.when(F.col("sequence") == 1, None).otherwise(F.col("_previous"))
-    previous_annual = F.col("annual_amount") - F.col("change_annual_amount")
-    previous_instalment = F.try_divide(previous_annual.cast("double"), F.col("previous_instalments_per_year"))
-    joined = (
-        w.gift_change.join(gifts, "gift_id")
-        .join(persons, "constituent_key")
+    # The unknown code -1 has no row in the code table that may be used.
+    codes = w.gift_code.filter("gift_code_id > -1").select("gift_code_id", F.col("gift_code_description").alias("gift_code"))
+    return (
+        regular_gift_changes(w)
         .join(now, "frequency_id", "left")
         .join(was, "previous_frequency_id", "left")
         .join(packages, "package_id", "left")
         .join(appeals, "appeal_id", "left")
         .join(campaigns, "campaign_id", "left")
         .join(codes, "gift_code_id", "left")
-        .withColumn("previous_instalments_per_year", previous)
+        .selectExpr("*", "if(sequence = 1, null, _previous) as _before", "annual_amount - change_annual_amount as _annual_before")
+        .selectExpr("*", "try_divide(cast(_annual_before as double), _before) as _instalment_before")
+        .selectExpr(
+            "constituent_id", "gift_id", "change_id", "sequence", "is_original", "appeal_description", "appeal_identifier",
+            "campaign_identifier", "campaign_description", "package_identifier", "package_description", "change_date_key",
+            "amount", "annual_amount", "change_amount", "change_annual_amount", "instalments_per_year",
+            "_before as previous_instalments_per_year",
+            "if(_before is null or _before = instalments_per_year, 'No', 'Yes') as frequency_changed",
+            "_annual_before as previous_annual_amount",
+            "_instalment_before as previous_instalment_amount",
+            "coalesce(cast(amount as double) - _instalment_before, cast(change_amount as double)) as adjusted_change_amount",
+            "descriptor",
+            f"cast(coalesce(default_group, {NO_GROUP}) as int) as dash_group",
+            "gift_code",
+            *(CORE_GIFT_COLUMNS if carry else []),
+        )
     )
-    return joined.select(
-        "constituent_id",
-        "gift_id",
-        "change_id",
-        "sequence",
-        "is_original",
-        "appeal_description",
-        "appeal_identifier",
-        "campaign_identifier",
-        "campaign_description",
-        "package_identifier",
-        "package_description",
-        "change_date_key",
-        "amount",
-        "annual_amount",
-        "change_amount",
-        "change_annual_amount",
-        "instalments_per_year",
-        "previous_instalments_per_year",
-        F.when(
-            F.col("previous_instalments_per_year").isNull()
-            | (F.col("previous_instalments_per_year") == F.col("instalments_per_year")),
-            "No",
+
+
+def _appeals_by_identifier(w) -> DataFrame:
+    """Product and type of every appeal, keyed by its case-blind identifier."""
+
+    def build() -> DataFrame:
+        kinds = appeal_types(w.appeal, w.campaign).select(F.col("appeal_identifier").alias("_kind_of"), "appeal_type")
+        return w.appeal.join(kinds, F.col("appeal_identifier") == F.col("_kind_of")).select(
+            text.fold(F.col("appeal_identifier")).alias("_appeal"), "product", "appeal_type"
         )
-        .otherwise("Yes")
-        .alias("frequency_changed"),
-        previous_annual.alias("previous_annual_amount"),
-        previous_instalment.alias("previous_instalment_amount"),
-        F.coalesce(F.col("amount").cast("double") - previous_instalment, F.col("change_amount").cast("double")).alias(
-            "adjusted_change_amount"
-        ),
-        "descriptor",
-        F.coalesce("default_group", F.lit(NO_GROUP)).cast("int").alias("dash_group"),
-        "gift_code",
-        *(["payment_type_id", "audience_id", "gift_status_id", "gift_system_id"] if carry else []),
-    )
+
+    return w.dimension("appeals_by_identifier", build)
 
 
-def _component_facts(w, history: DataFrame, month_source: DataFrame, value: Column) -> DataFrame:
+def _component_facts(w, rows: DataFrame, value: Column) -> DataFrame:
     """Dimension columns of a movement; changes without a known appeal drop out."""
     by_description = w.package.filter("package_description is not null").select(
         text.fold(F.col("package_description")).alias("_package"), "package_category"
     )
-    kinds = appeal_types(w.appeal, w.campaign).select(F.col("appeal_identifier").alias("_kind_of"), "appeal_type")
-    by_identifier = (
-        w.appeal.join(kinds, F.col("appeal_identifier") == F.col("_kind_of"))
-        .select(text.fold(F.col("appeal_identifier")).alias("_appeal"), "product", "appeal_type")
-    )
     return (
-        month_source.join(by_identifier, text.fold(F.col("appeal_identifier")) == F.col("_appeal"))
+        rows.join(_appeals_by_identifier(w), text.fold(F.col("appeal_identifier")) == F.col("_appeal"))
         .join(by_description, text.fold(F.col("package_description")) == F.col("_package"), "left")
         .join(w.audience.select("audience_id", "audience"), "audience_id", "left")
         .select(
@@ -241,13 +228,13 @@ def _days(w) -> DataFrame:
 def new_gift_facts(w, history: DataFrame) -> DataFrame:
     """Original gifts; a date outside the calendar leaves the month NULL."""
     rows = history.filter("is_original = 1").join(_days(w), "change_date_key", "left")
-    return _component_facts(w, history, rows, F.col("change_annual_amount"))
+    return _component_facts(w, rows, F.col("change_annual_amount"))
 
 
 def amendment_facts(w, history: DataFrame) -> DataFrame:
     """Later changes that moved the annual value."""
     rows = history.filter("is_original = 0 and change_annual_amount <> 0").join(_days(w), "change_date_key")
-    return _component_facts(w, history, rows, F.col("change_annual_amount"))
+    return _component_facts(w, rows, F.col("change_annual_amount"))
 
 
 # Gift types and status keys that make a regular gift "cancelled", and the
@@ -268,7 +255,7 @@ def cancellation_facts(w, history: DataFrame) -> DataFrame:
         .select("gift_system_id", "month")
     )
     rows = history.filter(F.col("gift_status_id").isin(CANCELLED_STATUS_IDS)).join(dated, "gift_system_id", "left")
-    return _component_facts(w, history, rows, -F.col("change_annual_amount"))
+    return _component_facts(w, rows, -F.col("change_annual_amount"))
 
 
 def widened_history(w, history: DataFrame) -> DataFrame:
@@ -278,15 +265,10 @@ def widened_history(w, history: DataFrame) -> DataFrame:
     by_identifier = w.package.filter("package_identifier is not null").select(
         text.fold(F.col("package_identifier")).alias("_package"), "package_category"
     )
-    kinds = appeal_types(w.appeal, w.campaign).select(F.col("appeal_identifier").alias("_kind_of"), "appeal_type")
-    appeals = (
-        w.appeal.join(kinds, F.col("appeal_identifier") == F.col("_kind_of"))
-        .select(text.fold(F.col("appeal_identifier")).alias("_appeal"), "product", "appeal_type")
-    )
     groups = w.group.select(F.col("group_id").alias("_group"), "forms_part_of", "level", F.col("description").alias("group_description"))
     wide = (
         history.join(_days(w), "change_date_key")
-        .join(appeals, text.fold(F.col("appeal_identifier")) == F.col("_appeal"), "left")
+        .join(_appeals_by_identifier(w), text.fold(F.col("appeal_identifier")) == F.col("_appeal"), "left")
         .join(by_identifier, text.fold(F.col("package_identifier")) == F.col("_package"), "left")
         .join(w.audience.select("audience_id", "audience"), "audience_id", "left")
         .withColumn("appeal_type", F.coalesce("appeal_type", F.lit("Other")))

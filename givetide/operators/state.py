@@ -49,8 +49,13 @@ def latest_state_per_month(w, history: DataFrame) -> DataFrame:
     return _with_payment_type(w, latest).select(*PERSON_GIFT, "month", "sequence", "payment_type", "annual_amount")
 
 
-def unrealistic_gifts(w) -> DataFrame:
-    """Large online regular gifts that were never paid; they are left out everywhere."""
+def unrealistic_gifts(w, gifts: DataFrame | None = None) -> DataFrame:
+    """Large online regular gifts that were never paid; they are left out everywhere.
+
+    Pass only the regular ``gifts`` when the result serves to leave gifts out of the
+    history, which has no others.
+    """
+    gifts = w.gift if gifts is None else gifts
     online = w.gift_code.filter(text.same(F.col("gift_code_description"), "Website Direct Debit")).select("gift_code_id")
     suspects = w.rg_fact.filter(
         F.col("first_instalment_date").isNull()
@@ -58,7 +63,7 @@ def unrealistic_gifts(w) -> DataFrame:
         & text.same(F.col("has_been_upgraded"), "No")
         & (F.col("annual_amount") > 1800)
     )
-    return w.gift.join(online, "gift_code_id").select("gift_id").join(suspects.select("gift_id"), "gift_id")
+    return gifts.join(online, "gift_code_id").select("gift_id").join(suspects.select("gift_id"), "gift_id")
 
 
 def without_gifts(df: DataFrame, unwanted: DataFrame) -> DataFrame:
@@ -80,15 +85,15 @@ def carry_forward_spans(details: DataFrame, as_of: dt.date) -> DataFrame:
     so the state in force is the running maximum, not simply the previous row.
     """
     state = F.struct("sequence", "payment_type", "annual_amount")
-    per_month = details.groupBy(*PERSON_GIFT, "month").agg(F.max(state).alias("_state"))
-    ordered = Window.partitionBy(*PERSON_GIFT).orderBy("month")
+    ordered = Window.partitionBy(*PERSON_GIFT).orderBy("month", "sequence")
     now = m.as_of_index(as_of)
+    # Of rows that share a month, all but the last have an empty span and drop out.
     return (
-        per_month.select(
+        details.select(
             *PERSON_GIFT,
             m.index_of(F.col("month")).alias("start"),
             F.lead("month").over(ordered).alias("_next"),
-            F.max("_state").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("_state"),
+            F.max(state).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("_state"),
         )
         .select(
             *PERSON_GIFT,

@@ -22,6 +22,7 @@ class Warehouse:
     def __init__(self, tables: dict[str, Callable[[], DataFrame]], as_of: dt.date):
         self._tables = dict(tables)
         self._open: dict[str, DataFrame] = {}
+        self._derived: dict[str, DataFrame] = {}
         self.as_of = as_of
 
     def __getattr__(self, role: str) -> DataFrame:
@@ -31,6 +32,17 @@ class Warehouse:
             self._open[role] = self._tables[role]()
         return self._open[role]
 
+    def dimension(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived dimension, settled once per warehouse.
+
+        Joined dimensions have no usable size estimate. Once written, their real size is
+        known, so Spark broadcasts them below its threshold and sort-merges beyond it,
+        instead of shuffling a fact on a key of few values.
+        """
+        if name not in self._derived:
+            self._derived[name] = settle(build())
+        return self._derived[name]
+
     def replace(self, **tables: DataFrame) -> Warehouse:
         """The same warehouse with some roles read from the given frames."""
         return Warehouse({**self._tables, **{role: (lambda df=df: df) for role, df in tables.items()}}, self.as_of)
