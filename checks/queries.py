@@ -96,17 +96,17 @@ def appeal_type(w):
 
 @registered
 def new_gift_facts(w):
-    return history.new_gift_facts(w, _history(w))
+    return history.new_gift_facts(w, history.rule_history(w))
 
 
 @registered
 def amendment_facts(w):
-    return history.amendment_facts(w, _history(w))
+    return history.amendment_facts(w, history.rule_history(w))
 
 
 @registered
 def cancellation_facts(w):
-    return history.cancellation_facts(w, _history(w))
+    return history.cancellation_facts(w, history.rule_history(w))
 
 
 @registered
@@ -226,7 +226,7 @@ def crossed_giving(w):
 
 
 def _classified_regular(w, variant: str, facts) -> DataFrame:
-    ruled = groups.classify_regular(variant, facts(w, _history(w)), w.known_descriptor)
+    ruled = groups.classify_regular(variant, facts(w, history.rule_history(w)), w.known_descriptor)
     return ruled.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
@@ -247,8 +247,7 @@ def classify_regular_cancel(w):
 
 @registered
 def classify_regular_wide(w):
-    wide = history.widened_history(w, _history(w))
-    return wide.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.sum("change_annual_amount").alias("total"))
+    return history.grouped_changes(w).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.sum("change_annual_amount").alias("total"))
 
 
 @registered
@@ -273,7 +272,7 @@ def classify_pack(w):
 
 
 def _metrics(w) -> DataFrame:
-    return metrics.monthly_metrics(w, settle(_history(w)), AS_OF)
+    return metrics.monthly_metrics(w, settle(history.rule_history(w)), AS_OF)
 
 
 def _filled(w) -> DataFrame:
@@ -328,10 +327,7 @@ def widened_history(w):
 
 
 def _by_group(w) -> DataFrame:
-    wide = history.widened_history(w, _history(w)).select(
-        "constituent_id", "gift_id", "month", "group_id", "sequence", "change_annual_amount", "payment_type_id"
-    )
-    return state.latest_change_per_group_month(w, settle(wide))
+    return state.latest_change_per_group_month(w, settle(history.grouped_changes(w)))
 
 
 @registered

@@ -1,7 +1,8 @@
 """Ordered first-match rules, written as data and compiled to one CASE expression.
 
-Tests compare text without regard to case. Each test turns a column name into a SQL
-condition, so a whole rule list is parsed in one step.
+Tests compare text without regard to case: they expect lowered text, which ``first_match``
+prepares once per column and row, not once per test. Each test turns a column name into
+a SQL condition, so a whole rule list is parsed in one step.
 """
 
 from __future__ import annotations
@@ -9,8 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 Test = Callable[[str], str]
 
@@ -21,19 +21,19 @@ def quoted(value: str) -> str:
 
 
 def is_(*values: str) -> Test:
-    return lambda c: f"lower({c}) in ({', '.join(map(quoted, values))})"
+    return lambda c: f"{c} in ({', '.join(map(quoted, values))})"
 
 
 def is_not(value: str) -> Test:
-    return lambda c: f"lower({c}) <> {quoted(value)}"
+    return lambda c: f"{c} <> {quoted(value)}"
 
 
 def begins(*prefixes: str) -> Test:
-    return lambda c: "(" + " or ".join(f"startswith(lower({c}), {quoted(p)})" for p in prefixes) + ")"
+    return lambda c: "(" + " or ".join(f"startswith({c}, {quoted(p)})" for p in prefixes) + ")"
 
 
 def has(*parts: str) -> Test:
-    return lambda c: "(" + " or ".join(f"contains(lower({c}), {quoted(p)})" for p in parts) + ")"
+    return lambda c: "(" + " or ".join(f"contains({c}, {quoted(p)})" for p in parts) + ")"
 
 
 def lacks(part: str) -> Test:
@@ -63,16 +63,22 @@ class Rule:
     then: int | str
     tests: dict[str, Test] = field(default_factory=dict)
 
-    @property
-    def condition(self) -> str:
-        return " and ".join(test(name) for name, test in self.tests.items())
+    def condition(self, prefix: str) -> str:
+        return " and ".join(test(prefix + name) for name, test in self.tests.items())
 
 
 def rule(then: int | str, **tests: Test) -> Rule:
     return Rule(then, tests)
 
 
-def first_match(rules: Sequence[Rule], default: int | None) -> Column:
-    """First rule whose tests all hold decides; a NULL test counts as not holding."""
-    arms = " ".join(f"when {r.condition} then {r.then}" for r in rules)
-    return F.expr(f"cast(case {arms} else {'null' if default is None else default} end as int)")
+def first_match(df: DataFrame, rules: Sequence[Rule], default: int | None, out: str = "group_id") -> DataFrame:
+    """Add the result of the first rule whose tests all hold.
+
+    A test on NULL counts as not holding, and ``default`` stands where no rule holds.
+    """
+    kinds = dict(df.dtypes)
+    tested = sorted({name for r in rules for name in r.tests})
+    prepared = [f"lower({c}) as _t_{c}" if kinds[c] == "string" else f"{c} as _t_{c}" for c in tested]
+    arms = " ".join(f"when {r.condition('_t_')} then {r.then}" for r in rules)
+    case = f"cast(case {arms} else {'null' if default is None else default} end as int) as {out}"
+    return df.selectExpr("*", *prepared).selectExpr("*", case).drop(*[f"_t_{c}" for c in tested])

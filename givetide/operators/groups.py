@@ -209,33 +209,31 @@ def _with_rule_numbers(df: DataFrame, descriptors: DataFrame, how: str) -> DataF
 def classify_regular(variant: str, df: DataFrame, descriptors: DataFrame) -> DataFrame:
     """Add ``group_id`` for new gifts, changes, cancellations, or the wide history."""
     ruled = _with_rule_numbers(df, descriptors, REGULAR_JOIN[variant])
-    return ruled.withColumn("group_id", first_match(REGULAR_RULES[variant], UNGROUPED)).drop("rule_number", "default_group")
+    return first_match(ruled, REGULAR_RULES[variant], UNGROUPED).drop("rule_number", "default_group")
 
 
 def classify_cash(df: DataFrame, descriptors: DataFrame) -> DataFrame:
     ruled = _with_rule_numbers(df, descriptors, "left")
-    return ruled.withColumn("group_id", first_match(CASH_RULES, UNGROUPED)).drop("rule_number", "default_group")
+    return first_match(ruled, CASH_RULES, UNGROUPED).drop("rule_number", "default_group")
 
 
 def classify_rg_income(df: DataFrame) -> DataFrame:
     """Received regular-giving income; rows that meet no rule get a NULL group."""
-    return df.withColumn("group_id", first_match(INCOME_RULES, None))
+    return first_match(df, INCOME_RULES, None)
 
 
 def classify_event(df: DataFrame) -> DataFrame:
     parent = F.when(text.same(F.col("event_type"), PEER_EVENT), PEER_PARENT).otherwise(EVENT_PARENT)
-    return df.select(
-        "*",
-        first_match(EVENT_RULES, EVENT_DEFAULT).alias("group_id"),
-        parent.cast("int").alias("forms_part_of"),
-        F.lit(LEAF_LEVEL).alias("level"),
+    return (
+        first_match(df, EVENT_RULES, EVENT_DEFAULT)
+        .withColumn("forms_part_of", parent.cast("int"))
+        .withColumn("level", F.lit(LEAF_LEVEL))
     )
 
 
 def classify_pack(df: DataFrame) -> DataFrame:
-    return df.select(
-        "*",
-        first_match(PACK_RULES, PACK_DEFAULT).alias("group_id"),
-        F.lit(PACK_PARENT).alias("forms_part_of"),
-        F.lit(LEAF_LEVEL).alias("level"),
+    return (
+        first_match(df, PACK_RULES, PACK_DEFAULT)
+        .withColumn("forms_part_of", F.lit(PACK_PARENT))
+        .withColumn("level", F.lit(LEAF_LEVEL))
     )

@@ -196,28 +196,69 @@ def _appeals_by_identifier(w) -> DataFrame:
     return w.dimension("appeals_by_identifier", build)
 
 
-def _component_facts(w, rows: DataFrame, value: Column) -> DataFrame:
-    """Dimension columns of a movement; changes without a known appeal drop out."""
-    by_description = w.package.filter("package_description is not null").select(
-        text.fold(F.col("package_description")).alias("_package"), "package_category"
-    )
+def _appeal_profile(w) -> DataFrame:
+    """Appeal key -> descriptor, product and type of the appeals sharing its identifier.
+
+    Descriptor and product are looked up by identifier one after the other, so n appeals
+    with one identifier make n x n rows, as they do in the history itself.
+    """
+
+    def build() -> DataFrame:
+        described = _appeal_descriptors(w.appeal, w.known_descriptor)
+        return described.join(
+            _appeals_by_identifier(w), text.fold(F.col("appeal_identifier")) == F.col("_appeal"), "left"
+        ).select(
+            "appeal_id",
+            "appeal_identifier",
+            "descriptor",
+            "product",
+            F.coalesce("appeal_type", F.lit("Other")).alias("appeal_type"),
+            F.col("_appeal").isNotNull().alias("has_appeal"),
+        )
+
+    return w.dimension("appeal_profile", build)
+
+
+def _package_categories(w, shared: str) -> DataFrame:
+    """Package key -> category of every package that shares its description or identifier."""
+
+    def build() -> DataFrame:
+        others = w.package.select(text.fold(F.col(shared)).alias("_shared"), "package_category")
+        return w.package.select("package_id", shared).join(others, text.fold(F.col(shared)) == F.col("_shared"), "left").select(
+            "package_id", "package_category"
+        )
+
+    return w.dimension(f"package_category_by_{shared}", build)
+
+
+def rule_history(w, packages_by: str = "package_description") -> DataFrame:
+    """The columns that group rules and movements need, with few joins per change.
+
+    Dimension chains are flattened to one join on an integer key each. Narrow rows and
+    few joins also keep the generated code small enough to be compiled.
+    """
+    codes = w.gift_code.filter("gift_code_id > -1").select("gift_code_id", F.col("gift_code_description").alias("gift_code"))
     return (
-        rows.join(_appeals_by_identifier(w), text.fold(F.col("appeal_identifier")) == F.col("_appeal"))
-        .join(by_description, text.fold(F.col("package_description")) == F.col("_package"), "left")
+        regular_gift_changes(w)
+        .join(_appeal_profile(w), "appeal_id", "left")
+        .join(_package_categories(w, packages_by), "package_id", "left")
         .join(w.audience.select("audience_id", "audience"), "audience_id", "left")
+        .join(codes, "gift_code_id", "left")
         .select(
-            "gift_id",
-            value.alias("value"),
-            "month",
-            "appeal_type",
-            "appeal_identifier",
-            "package_category",
-            "product",
-            "audience",
-            "descriptor",
+            "constituent_id", "gift_id", "sequence", "is_original", "change_date_key", "change_annual_amount",
+            "payment_type_id", "gift_status_id", "gift_system_id", "has_appeal", "appeal_identifier", "descriptor",
+            "product", F.coalesce("appeal_type", F.lit("Other")).alias("appeal_type"), "package_category", "audience",
             "gift_code",
         )
-    )
+    )
+
+
+FACT_COLUMNS = ["month", "appeal_type", "appeal_identifier", "package_category", "product", "audience", "descriptor", "gift_code"]
+
+
+def _movement(rows: DataFrame, value: str) -> DataFrame:
+    """Changes without a known appeal drop out of every movement."""
+    return rows.filter("has_appeal").selectExpr("gift_id", f"{value} as value", *FACT_COLUMNS)
 
 
 def _days(w) -> DataFrame:
@@ -225,37 +266,45 @@ def _days(w) -> DataFrame:
     return F.broadcast(w.calendar.select(F.col("date_key").alias("change_date_key"), "month"))
 
 
-def new_gift_facts(w, history: DataFrame) -> DataFrame:
+def new_gift_facts(w, changes: DataFrame) -> DataFrame:
     """Original gifts; a date outside the calendar leaves the month NULL."""
-    rows = history.filter("is_original = 1").join(_days(w), "change_date_key", "left")
-    return _component_facts(w, rows, F.col("change_annual_amount"))
+    return _movement(changes.filter("is_original = 1").join(_days(w), "change_date_key", "left"), "change_annual_amount")
 
 
-def amendment_facts(w, history: DataFrame) -> DataFrame:
+def amendment_facts(w, changes: DataFrame) -> DataFrame:
     """Later changes that moved the annual value."""
-    rows = history.filter("is_original = 0 and change_annual_amount <> 0").join(_days(w), "change_date_key")
-    return _component_facts(w, rows, F.col("change_annual_amount"))
+    moved = changes.filter("is_original = 0 and change_annual_amount <> 0")
+    return _movement(moved.join(_days(w), "change_date_key"), "change_annual_amount")
 
 
-# Gift types and status keys that make a regular gift "cancelled", and the
-# status texts whose date is read.
-CANCELLABLE_TYPES = [8, 30]
+# Status keys that make a regular gift "cancelled", and the status texts
+# whose date is read.
 CANCELLED_STATUS_IDS = [3, 5]
 CANCELLED_TEXTS = ["Terminated", "Canceled"]
 
 
-def cancellation_facts(w, history: DataFrame) -> DataFrame:
+def cancellation_facts(w, changes: DataFrame) -> DataFrame:
     """All component rows of cancelled gifts, negated, in the month of the status date.
 
-    The history holds type-30 gifts only, so the type list adds no further test here.
+    A cancelled gift without a date has a NULL month.
     """
     dated = (
         w.gift_status_date.filter(text.one_of(F.col("status"), CANCELLED_TEXTS))
         .join(F.broadcast(w.calendar.select(F.col("date").alias("status_date"), "month")), "status_date", "left")
         .select("gift_system_id", "month")
     )
-    rows = history.filter(F.col("gift_status_id").isin(CANCELLED_STATUS_IDS)).join(dated, "gift_system_id", "left")
-    return _component_facts(w, rows, -F.col("change_annual_amount"))
+    ended = changes.filter(F.col("gift_status_id").isin(CANCELLED_STATUS_IDS))
+    return _movement(ended.join(dated, "gift_system_id", "left"), "-change_annual_amount")
+
+
+def grouped_changes(w) -> DataFrame:
+    """Every change with its month and group under the wide rules, narrow."""
+    from givetide.operators.groups import classify_regular
+
+    dated = rule_history(w, "package_identifier").join(_days(w), "change_date_key")
+    return classify_regular("WIDE", dated, w.known_descriptor).select(
+        "constituent_id", "gift_id", "month", "group_id", "sequence", "change_annual_amount", "payment_type_id"
+    )
 
 
 def widened_history(w, history: DataFrame) -> DataFrame:

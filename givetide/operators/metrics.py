@@ -55,12 +55,15 @@ def action_metric(filled: DataFrame, column: str) -> DataFrame:
     return filled.groupBy(*KEYS).agg(F.sum(column).cast(TOTAL).alias("total"))
 
 
-def monthly_metrics(w, history: DataFrame, as_of: dt.date) -> DataFrame:
-    """Seven tagged branches summed by type, month and group."""
+def monthly_metrics(w, changes: DataFrame, as_of: dt.date) -> DataFrame:
+    """Seven tagged branches summed by type, month and group.
+
+    ``changes`` is a settled rule history, as three branches read it.
+    """
     branches = [
-        regular_metric(w, new_gift_facts(w, history), "AnnualValueOfNewRegularGifts", "NEW"),
-        regular_metric(w, amendment_facts(w, history), "AnnualValueOfChangesToRegularGifts", "CHANGE"),
-        regular_metric(w, cancellation_facts(w, history), "AnnualValueCancelledThisMonth", "CANCEL"),
+        regular_metric(w, new_gift_facts(w, changes), "AnnualValueOfNewRegularGifts", "NEW"),
+        regular_metric(w, amendment_facts(w, changes), "AnnualValueOfChangesToRegularGifts", "CHANGE"),
+        regular_metric(w, cancellation_facts(w, changes), "AnnualValueCancelledThisMonth", "CANCEL"),
         cash_metric(w, cash_gift_facts(w)),
         rg_income_metric(w),
         action_metric(event_signups_filled(w, event_signups(w), as_of), "signups"),
