@@ -38,6 +38,7 @@ HEADLINE = [
 def main() -> None:
     from checks.queries import REGISTERED
     from checks.session import local_session
+    from givetide.sources.warehouse import release
 
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
@@ -64,6 +65,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

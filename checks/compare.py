@@ -53,6 +53,7 @@ def difference(spark_rows: pd.DataFrame, duck_rows: pd.DataFrame) -> str | None:
 
 def main(directory: str, names: list[str]) -> int:
     from checks.session import local_session
+    from givetide.sources.warehouse import release
 
     spark, connection, sql = local_session(), connect(directory), statements()
     bad = 0
@@ -65,6 +66,7 @@ def main(directory: str, names: list[str]) -> int:
         problem = difference(got, want)
         bad += problem is not None
         print(f"{'ok ' if problem is None else 'BAD'} {name:32s} {len(got):8d} rows  spark {took:6.2f}s  duckdb {time.time() - started:6.2f}s  {problem or ''}"[:900], flush=True)
+    release(spark)
     return bad
 
 

@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from givetide.operators.calendar import calendar, month_spine
 from givetide.operators.groups import ACTIVE_TYPES, CLUBS
 from givetide.operators.history import TEAM_LABELS, descriptor
-from givetide.sources.warehouse import Warehouse
+from givetide.sources.warehouse import Warehouse, guard
 
 AS_OF = dt.date(2001, 9, 15)
 FIRST_DAY = dt.date(1992, 1, 1)
@@ -142,6 +142,7 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
 
 def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) -> Warehouse:
     """Warehouse roles over ``<directory>/<table>.parquet``."""
+    guard(spark)
 
     @functools.cache
     def raw(name: str) -> DataFrame:

@@ -88,6 +88,7 @@ def open_warehouse(
     and a name may be qualified with another database. ``newer`` selects the generation
     keyed by surrogate keys, needed for pack requests and faith groups.
     """
+    guard(spark)
     read = read or spark.table
     roles = {**TABLES, **({"constituent": NEWER_CONSTITUENT} if newer else {})}
     tables = {role: (lambda t=table, c=columns: project(read(t), c)) for role, (table, columns) in roles.items()}
@@ -124,13 +125,32 @@ def _local_folder() -> tempfile.TemporaryDirectory:
     return tempfile.TemporaryDirectory(prefix="givetide-")
 
 
+def run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/givetide-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application settled; call it once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def guard(spark: SparkSession) -> None:
+    """Keep unions from reusing their inputs' partitioning.
+
+    In Spark 4.1 adaptive execution may coalesce the inputs differently, and the union
+    then fails with "Can't zip RDDs with unequal numbers of partitions".
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
     Used where several later steps read the same expensive result. The written table cuts
     the lineage, survives lost executors, and keeps column pruning for its readers.
     """
-    path = f"{shared_folder(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
