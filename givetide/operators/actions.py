@@ -28,7 +28,7 @@ def _actions(w, statuses: list[str], type_part: str) -> DataFrame:
 
 def _past_days(w, date: str, *extra: str) -> DataFrame:
     days = w.calendar.filter("months_since > -1")
-    return F.broadcast(days.select(F.col("date").alias(date), F.col("month"), *extra))
+    return days.select(F.col("date").alias(date), F.col("month"), *extra)
 
 
 def event_signups(w) -> DataFrame:
@@ -36,9 +36,9 @@ def event_signups(w) -> DataFrame:
     attribute = lambda category, out: w.action_attribute.filter(
         text.same(F.col("attribute_category"), category)
     ).select("action_id", F.col("attribute_description").alias(out))
-    event_days = F.broadcast(
+    event_days = 
         w.calendar.select(F.col("date_key").alias("action_date_key"), F.col("calendar_year").alias("event_year"))
-    )
+    
     signups = (
         _actions(w, SIGNED_UP, "FR Event - ")
         .join(w.action_extra.select("action_system_id", "date_added"), "action_system_id")
@@ -107,7 +107,7 @@ def pack_sends(w) -> DataFrame:
 
 def _with_groups_and_months(w, df: DataFrame, keys: list[str], total: Column, name: str) -> DataFrame:
     groups = w.group.select("group_id", "description")
-    months = F.broadcast(w.months.select("month", *MONTH_COLUMNS))
+    months = w.months.select("month", *MONTH_COLUMNS)
     return (
         df.join(groups, "group_id", "left")
         .join(months, "month")
@@ -118,7 +118,7 @@ def _with_groups_and_months(w, df: DataFrame, keys: list[str], total: Column, na
 
 def _zero_filled(w, df: DataFrame, keys: list[str], name: str, as_of: dt.date) -> DataFrame:
     full = ["type", "group_id", "forms_part_of", "level", "description", *keys]
-    months = F.broadcast(w.months.select("month", *MONTH_COLUMNS))
+    months = w.months.select("month", *MONTH_COLUMNS)
     empty = zero_fill_since_first(df, full, m.as_of_index(as_of)).join(months, "month").withColumn(name, F.lit(0).cast("long"))
     return df.unionByName(empty)
 

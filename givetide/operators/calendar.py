@@ -25,7 +25,7 @@ MONTH_COLUMNS = [
 def calendar(spark: SparkSession, first: dt.date, last: dt.date, as_of: dt.date, fiscal_start: int = 4) -> DataFrame:
     """One row per day from ``first`` to ``last``, seen from ``as_of``.
 
-    The span is checked, so a calendar is always small enough to broadcast.
+    The span is checked: a calendar stays far below Spark's broadcast threshold.
     """
     days = (last - first).days + 1
     if not 0 < days <= MAX_YEARS * 366:

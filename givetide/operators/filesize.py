@@ -51,7 +51,7 @@ def retention_by_mandate_age(w, retention: DataFrame) -> DataFrame:
 
     People were counted per finer key, so a person may count more than once here.
     """
-    since = lambda name, out: F.broadcast(w.months.select(F.col("month").alias(name), F.col("months_since").alias(out)))
+    since = lambda name, out: w.months.select(F.col("month").alias(name), F.col("months_since").alias(out))
     ahead = F.col("_cancelled") - F.col("_now")
     return (
         retention.join(since("cancel_month", "_cancelled"), "cancel_month", "left")
@@ -81,7 +81,7 @@ def retention_by_mandate_age(w, retention: DataFrame) -> DataFrame:
 
 def monthly_cash(w) -> DataFrame:
     """Flagged cash per person and month."""
-    days = F.broadcast(w.calendar.select(F.col("date").alias("gift_date"), "month"))
+    days = w.calendar.select(F.col("date").alias("gift_date"), "month")
     return (
         w.cash_gift.filter(text.same(F.col("is_counted"), "Yes"))
         .join(days, "gift_date")
@@ -202,7 +202,7 @@ def crossed_giving(w, status: DataFrame, as_of: dt.date) -> DataFrame:
     Givers without a category that month keep a NULL one.
     """
     people = w.constituent.filter(text.same(F.col("key_indicator"), "I")).select("constituent_key", "constituent_id")
-    days = F.broadcast(w.calendar.select(F.col("date_key").alias("gift_date_key"), "month"))
+    days = w.calendar.select(F.col("date_key").alias("gift_date_key"), "month")
     counted = w.cash_gift.filter(text.same(F.col("is_counted"), "Yes")).select("gift_id")
     now = m.as_of_month(as_of)
 

@@ -31,8 +31,8 @@ def fill_missing_fiscal_months(metrics: DataFrame, months: DataFrame, groups: Da
     Months before the first activity of that year are filled as well. The result is the
     added rows only.
     """
-    years = F.broadcast(months.select("month", "fiscal_year"))
-    past = F.broadcast(months.filter("months_since > -1").select("month", "fiscal_year"))
+    years = months.select("month", "fiscal_year")
+    past = months.filter("months_since > -1").select("month", "fiscal_year")
     keys = metrics.join(years, "month").select("fiscal_year", "type", "group_id").distinct()
     have = metrics.select(
         F.col("month").alias("_month"), F.col("type").alias("_type"), F.col("group_id").alias("_group")

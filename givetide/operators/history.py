@@ -262,8 +262,7 @@ def _movement(rows: DataFrame, value: str) -> DataFrame:
 
 
 def _days(w) -> DataFrame:
-    # A calendar has at most one row per day, so broadcasting it is bounded.
-    return F.broadcast(w.calendar.select(F.col("date_key").alias("change_date_key"), "month"))
+    return w.calendar.select(F.col("date_key").alias("change_date_key"), "month")
 
 
 def new_gift_facts(w, changes: DataFrame) -> DataFrame:
@@ -290,7 +289,7 @@ def cancellation_facts(w, changes: DataFrame) -> DataFrame:
     """
     dated = (
         w.gift_status_date.filter(text.one_of(F.col("status"), CANCELLED_TEXTS))
-        .join(F.broadcast(w.calendar.select(F.col("date").alias("status_date"), "month")), "status_date", "left")
+        .join(w.calendar.select(F.col("date").alias("status_date"), "month"), "status_date", "left")
         .select("gift_system_id", "month")
     )
     ended = changes.filter(F.col("gift_status_id").isin(CANCELLED_STATUS_IDS))

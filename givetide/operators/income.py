@@ -48,7 +48,7 @@ def cash_gift_facts(w) -> DataFrame:
         text.same(F.col("attribute_category"), "Target Audience") & F.col("attribute_description").isNotNull()
     ).select(F.col("gift_id").alias("_override_gift"), F.col("attribute_description").alias("_override"))
 
-    days = F.broadcast(w.calendar.select(F.col("date_key").alias("gift_date_key"), "month"))
+    days = w.calendar.select(F.col("date_key").alias("gift_date_key"), "month")
     codes = w.gift_code.select(F.col("gift_code_id").alias("_code"), F.col("gift_code_description").alias("gift_code"))
     gifts = w.gift.filter(F.col("gift_type_id") == CASH_GIFT).select(
         "gift_id", "constituent_key", "gift_date_key", "amount", "appeal_id", "team_id", "gift_code_id"

@@ -21,7 +21,7 @@ LONG_AGO = 197912
 
 
 def _dated(w, history: DataFrame) -> DataFrame:
-    days = F.broadcast(w.calendar.select(F.col("date_key").alias("change_date_key"), F.col("month")))
+    days = w.calendar.select(F.col("date_key").alias("change_date_key"), F.col("month"))
     return history.join(days, "change_date_key")
 
 
@@ -131,8 +131,8 @@ def gift_lifespan(w) -> DataFrame:
         "gift_id", "gift_system_id", "constituent_key", "gift_status_id", "gift_date", "changed_date_key"
     )
     days = w.calendar.select(F.col("date"), F.col("month"))
-    set_up = F.broadcast(days.select(F.col("date").alias("gift_date"), F.col("month").alias("setup_month")))
-    status_day = F.broadcast(days.select(F.col("date").alias("status_date"), F.col("month").alias("status_month")))
+    set_up = days.select(F.col("date").alias("gift_date"), F.col("month").alias("setup_month"))
+    status_day = days.select(F.col("date").alias("status_date"), F.col("month").alias("status_month"))
     dated = w.gift_status_date.select("gift_system_id", "status_date").join(status_day, "status_date", "left")
     months = w.months.select(F.col("month").alias("_month"), F.col("months_since"))
 
@@ -147,8 +147,8 @@ def gift_lifespan(w) -> DataFrame:
         .join(set_up, "gift_date", "left")
         .withColumn("changed_month", changed)
     )
-    since = F.broadcast(months.select(F.col("_month").alias("changed_month"), F.col("months_since").alias("_since")))
-    final = F.broadcast(months.select(F.col("_month").alias("_final_month"), (F.col("months_since") - 1).alias("_since")))
+    since = months.select(F.col("_month").alias("changed_month"), F.col("months_since").alias("_since"))
+    final = months.select(F.col("_month").alias("_final_month"), (F.col("months_since") - 1).alias("_since"))
     return (
         base.join(since, "changed_month", "left")
         .join(final, "_since", "left")
@@ -181,7 +181,7 @@ def latest_change_per_group_month(w, wide: DataFrame) -> DataFrame:
 
 def group_spans(w, details: DataFrame, as_of: dt.date) -> DataFrame:
     """Each change with the months it counts in: from its own to the month before cancellation."""
-    status_day = F.broadcast(w.calendar.select(F.col("date").alias("status_date"), F.col("month").alias("_cancelled")))
+    status_day = w.calendar.select(F.col("date").alias("status_date"), F.col("month").alias("_cancelled"))
     ended = text.one_of(F.col("status"), ["Terminated", "Canceled", "Completed"])
     cancelled = (
         w.gift_status_date.filter(ended)

@@ -35,7 +35,7 @@ def compare_to_targets(metrics: DataFrame, targets: DataFrame, months: DataFrame
     A target without an actual keeps NULL keys, as only the actual's columns are kept.
     """
     now = m.as_of_month(as_of)
-    fiscal = F.broadcast(months.filter("is_current_fiscal_year").select(F.col("month").alias("_fiscal_month")))
+    fiscal = months.filter("is_current_fiscal_year").select(F.col("month").alias("_fiscal_month"))
     earliest = targets.agg(F.min("month")).scalar()
     t = targets.select(
         F.col("type").alias("_t_type"), F.col("month").alias("_t_month"), F.col("group_id").alias("_t_group"), F.col("target").alias("_target")
@@ -64,7 +64,7 @@ def compare_to_targets(metrics: DataFrame, targets: DataFrame, months: DataFrame
 
 def future_targets(working: DataFrame, targets: DataFrame, months: DataFrame) -> DataFrame:
     """Targets of future months that have no row yet, to be appended to ``working``."""
-    ahead = F.broadcast(months.filter("months_since < 0").select("month"))
+    ahead = months.filter("months_since < 0").select("month")
     return (
         targets.filter("type is not null and group_id is not null")
         .join(ahead, "month", "left_semi")
@@ -97,7 +97,7 @@ def _unmet(working: DataFrame, targets: DataFrame) -> DataFrame:
 
 def zero_income_ytd_targets(working: DataFrame, targets: DataFrame, months: DataFrame) -> DataFrame:
     """Targets so far this fiscal year of types and groups that have no actual."""
-    so_far = F.broadcast(months.filter("months_since > -1 and is_current_fiscal_year").select("month"))
+    so_far = months.filter("months_since > -1 and is_current_fiscal_year").select("month")
     return (
         _unmet(working, targets)
         .join(so_far, "month", "left_semi")
@@ -113,7 +113,7 @@ def ytd_results(working: DataFrame, targets: DataFrame, months: DataFrame, as_of
     without a row in the current fiscal year are left out.
     """
     now = m.as_of_month(as_of)
-    fiscal = F.broadcast(months.filter("is_current_fiscal_year").select("month"))
+    fiscal = months.filter("is_current_fiscal_year").select("month")
     zero = F.lit(0).cast(TOTAL)
     so_far = F.col("month") < now
     ytd = (
@@ -161,7 +161,7 @@ def long_term_trends(metrics: DataFrame, months: DataFrame, stored_at: dt.dateti
 
     The sequence is numbered before the recent months are dropped.
     """
-    spine = F.broadcast(months.select("month", "fiscal_year", "days_since_month_end"))
+    spine = months.select("month", "fiscal_year", "days_since_month_end")
     order = Window.partitionBy("type", "group_id").orderBy("month", "forms_part_of", "level", "description", "total")
     return (
         metrics.select(*METRIC)
@@ -190,7 +190,7 @@ TARGET_KEYS = ["target_category", "target_description", "subcategory", "fiscal_y
 
 
 def _targets_with_year(w, targets: DataFrame) -> DataFrame:
-    years = F.broadcast(w.months.select("month", "fiscal_year").distinct())
+    years = w.months.select("month", "fiscal_year").distinct()
     return targets.join(years, "month")
 
 
