@@ -36,9 +36,7 @@ def event_signups(w) -> DataFrame:
     attribute = lambda category, out: w.action_attribute.filter(
         text.same(F.col("attribute_category"), category)
     ).select("action_id", F.col("attribute_description").alias(out))
-    event_days = 
-        w.calendar.select(F.col("date_key").alias("action_date_key"), F.col("calendar_year").alias("event_year"))
-    
+    event_days = w.calendar.select(F.col("date_key").alias("action_date_key"), F.col("calendar_year").alias("event_year"))
     signups = (
         _actions(w, SIGNED_UP, "FR Event - ")
         .join(w.action_extra.select("action_system_id", "date_added"), "action_system_id")
