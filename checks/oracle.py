@@ -575,6 +575,13 @@ def statements() -> dict[str, str]:
         "unrealistic_gifts": sql(size, "select gift_id from fake"),
         "every_month_since_start": sql(size, "select gift_id, month from spine"),
         "carry_forward_amounts": sql(carried, "select * replace (cast(annual_amount as double) as annual_amount) from carried"),
+        "carry_forward_uncancelled": sql(carried, f"""select c.* replace (cast(annual_amount as double) as annual_amount) from carried c
+            left join (select g.gift_id, case when s.status_date is null and s.gift_system_id is null then {NOW}
+                when s.status_date is null then 197912 else d.month end as cancelled
+              from gift g left join status_date s on s.gift_system_id = g.gift_system_id left join gift_status t on t.gift_status_id = g.gift_status_id
+              left join calendar d on d.date = s.status_date
+              where t.gift_status in ('Terminated', 'Canceled', 'Completed', 'No Gift Status')) x on x.gift_id = c.gift_id
+            where x.cancelled is null or c.month < x.cancelled"""),
         "active_value_by_payment_type": sql(carried, """select payment_type, month, cast(sum(annual_amount) as double) as annual_value,
             count(*) as gifts from carried group by 1, 2"""),
         "gift_lifespan": sql(lives, "select * from lives"),
@@ -645,6 +652,12 @@ def statements() -> dict[str, str]:
               join gift g on g.gift_system_id = t.gift_system_id left join calendar d on d.date = t.status_date
               where t.status in ('Terminated', 'Canceled', 'Completed')) c on c.gift_id = b.gift_id
             where c.month is null or s.month < c.month group by 1, 2"""),
+        "faith_group_payments": sql(base, f"""select o.o_custkey as constituent_key, {_key('o.day')} as donation_date_key, {_month('o.day')} as month,
+            o.o_orderkey as payment_id, cast({_money('o_totalprice')} as double) as amount
+            from ord o join constituent p on p.constituent_key = o.o_custkey
+            where p.key_indicator = 'O' and p.is_faith and {_month('o.day')} in (select month from nonfinancial where what like 'Count of distinct faith%')"""),
+        "fiscal_year_totals": sql(metrics, """select type, fiscal_year, group_id, forms_part_of, level, description, cast(sum(total) as double) as total
+            from metrics join (select distinct month, fiscal_year from calendar) using (month) group by all"""),
         "pack_requests_vs_target": sql(base, f"""select t.category as target_category, t.what as target_description, t.sub as subcategory,
             d.fiscal_year, t.month, cast(t.n as double) as target_value, count(x.material) as actual_value,
             cast(coalesce(sum(x.quantity), 0) as bigint) as extra_stat_value, 'Sum_IndividualPacksRequested' as extra_stat_description

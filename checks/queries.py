@@ -15,6 +15,7 @@ from pyspark.sql.types import DecimalType
 
 from givetide.functions import months as m
 from givetide.operators import actions, calendar, filesize, fill, groups, history, income, metrics, state, targets
+from givetide.operators.spans import expand_months
 from givetide.sources.roles import AS_OF, warehouse_of
 from givetide.sources.warehouse import settle
 
@@ -161,6 +162,12 @@ def carry_forward_amounts(w):
     return state.carry_forward_amounts(_details(w), AS_OF)
 
 
+@registered
+def carry_forward_uncancelled(w):
+    kept = state.cut_cancelled(w, state.carry_forward_spans(_details(w), AS_OF), AS_OF)
+    return expand_months(kept).select("constituent_id", "gift_id", "month", "payment_type", "annual_amount", "sequence")
+
+
 @registered
 def active_value_by_payment_type(w):
     return state.active_value_by_payment_type(_details(w), AS_OF)
@@ -348,3 +355,13 @@ def pack_requests_vs_target(w):
 @registered
 def faith_groups_vs_target(w):
     return targets.faith_groups_vs_target(w)
+
+
+@registered
+def faith_group_payments(w):
+    return targets.faith_group_payments(w)
+
+
+@registered
+def fiscal_year_totals(w):
+    return targets.fiscal_year_totals(settle(_metrics(w)), w.months)

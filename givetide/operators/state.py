@@ -107,6 +107,40 @@ def carry_forward_spans(details: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
+# Statuses that end a gift when cancelled gifts are cut from the file size.
+ENDED_STATUSES = ["Terminated", "Canceled", "Completed", "No Gift Status"]
+
+
+def cut_cancelled(w, spans: DataFrame, as_of: dt.date) -> DataFrame:
+    """Carried amounts up to the month before their gift was cancelled.
+
+    An ended gift without a status record counts as cancelled in the current month; one
+    with an undated record as cancelled long ago.
+    """
+    status_day = w.calendar.select(F.col("date").alias("status_date"), F.col("month").alias("_month"))
+    dated = w.gift_status_date.select("gift_system_id", "status_date", F.lit(True).alias("_recorded")).join(
+        status_day, "status_date", "left"
+    )
+    month = (
+        F.when(F.col("_recorded").isNull(), m.as_of_month(as_of))
+        .when(F.col("status_date").isNull(), LONG_AGO)
+        .otherwise(F.col("_month"))
+    )
+    ended = w.gift_status.filter(text.one_of(F.col("gift_status"), ENDED_STATUSES)).select("gift_status_id")
+    cancelled = (
+        w.gift.filter("gift_type_id = 30")
+        .join(ended, "gift_status_id")
+        .join(dated, "gift_system_id", "left")
+        .select("gift_id", month.alias("_cancelled"))
+    )
+    return (
+        spans.join(cancelled, "gift_id", "left")
+        .withColumn("stop", F.least("stop", F.coalesce(m.index_of(F.col("_cancelled")), "stop")))
+        .drop("_cancelled")
+        .filter("start < stop")
+    )
+
+
 def carry_forward_amounts(details: DataFrame, as_of: dt.date) -> DataFrame:
     """One row per (person, gift, month): the amount in force at that month end."""
     return expand_months(carry_forward_spans(details, as_of)).select(

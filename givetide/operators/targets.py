@@ -19,6 +19,9 @@ TOTAL = "decimal(38,4)"
 SETTLED_DAYS = 15
 
 
+FAITH_GOAL = "Count of distinct faith groups making donation in month"
+
+
 def percent_over(actual: Column, target: Column) -> Column:
     """Percentage over target; NULL where either side is NULL or zero."""
     gap = (actual - target).cast("double")
@@ -225,17 +228,38 @@ def pack_requests_vs_target(w) -> DataFrame:
     )
 
 
-def faith_groups_vs_target(w) -> DataFrame:
-    """Distinct faith groups giving per month, and their total; NULL when none gave."""
-    faith = w.constituent.filter(
+def _faith_groups(w) -> DataFrame:
+    return w.constituent.filter(
         text.same(F.col("key_indicator"), "O") & text.same(F.col("organisation_type"), "Faith Groups")
     ).select("constituent_key")
+
+
+def faith_groups_vs_target(w) -> DataFrame:
+    """Distinct faith groups giving per month, and their total; NULL when none gave."""
     actuals = (
-        w.payment.join(faith, "constituent_key")
+        w.payment.join(_faith_groups(w), "constituent_key")
         .groupBy(m.month_of_key(F.col("donation_date_key")).alias("month"))
         .agg(F.count_distinct("constituent_key").alias("faith_groups"), F.sum("amount").alias("amount_given"))
     )
-    wanted = w.nonfinancial_target.filter(
-        text.same(F.col("target_description"), "Count of distinct faith groups making donation in month")
-    )
+    wanted = w.nonfinancial_target.filter(text.same(F.col("target_description"), FAITH_GOAL))
     return _targets_with_year(w, wanted).join(actuals, "month", "left").select(*TARGET_KEYS, "faith_groups", "amount_given")
+
+
+def faith_group_payments(w) -> DataFrame:
+    """Single payments of faith groups in the months that have a target."""
+    goal_months = w.nonfinancial_target.filter(text.same(F.col("target_description"), FAITH_GOAL)).select("month").distinct()
+    return (
+        w.payment.join(_faith_groups(w), "constituent_key")
+        .withColumn("month", m.month_of_key(F.col("donation_date_key")))
+        .join(goal_months, "month", "left_semi")
+        .select("constituent_key", "donation_date_key", "month", "payment_id", "amount")
+    )
+
+
+def fiscal_year_totals(metrics: DataFrame, months: DataFrame) -> DataFrame:
+    """Metrics per fiscal year."""
+    return (
+        metrics.join(months.select("month", "fiscal_year"), "month")
+        .groupBy("type", "fiscal_year", "group_id", "forms_part_of", "level", "description")
+        .agg(F.sum("total").cast(TOTAL).alias("total"))
+    )
