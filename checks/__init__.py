@@ -1 +1 @@
-"""Registered queries and the SQL that checks them."""
+"""Registered queries, the SQL that checks them, and the local session they share."""
