@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import functools
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +13,8 @@ from givetide.functions import months as m
 from givetide.operators.calendar import month_spine
 from givetide.sources.schemas import NEWER_CONSTITUENT, RESULTS, TABLES
 
+FOLDER = "spark.givetide.folder"
+
 
 class Warehouse:
     """Tables by role, each read on first use: ``w.gift``, ``w.calendar``, ``w.months`` …"""
@@ -110,19 +110,12 @@ def read_parquet_from(spark: SparkSession, directory: str) -> Callable[[str], Da
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can read: the session's checkpoint directory.
 
-    Only a local session, as in tests, may fall back to a temporary folder.
+    A session that was started without one may name the folder in ``FOLDER``; one of the two must be set.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(FOLDER, None)
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_folder().name
-
-
-@functools.cache
-def _local_folder() -> tempfile.TemporaryDirectory:
-    return tempfile.TemporaryDirectory(prefix="givetide-")
+    return folder.rstrip("/")
 
 
 def run_folder(spark: SparkSession) -> str:
