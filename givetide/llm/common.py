@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,32 +92,76 @@ def hash_word(word: bytes) -> int:
     return int(word_hashes(data, np.array([0]), np.array([len(data)]))[0])
 
 
-def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of true values; the array must end with a false value."""
-    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if len(inside) and inside[0]:
-        edges = np.concatenate([[0], edges])
-    return edges[0::2], edges[1::2]
-
-
 class Words:
     """Words of a batch of texts: hashes in text order, and where each text's words begin.
 
-    ``inside`` holds for each of the 256 bytes whether it belongs to words. A null text has no words.
+    ``column`` is an Arrow array of strings, ``inside`` holds for each of the 256 bytes whether it belongs to words.
+    ASCII letters are lower-cased. A null text has no words.
     """
 
-    def __init__(self, texts: list[bytes | None], inside: np.ndarray):
-        data = np.frombuffer(b"\n".join([t or b"" for t in texts]) + b"\n", np.uint8)
-        lengths = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
-        self.begins, self.ends = runs(inside[data])
-        self.hashes = word_hashes(data, self.begins, self.ends)
-        self.bounds = np.concatenate([[0], np.searchsorted(self.begins, np.cumsum(lengths))])
-        self.data = data
+    def __init__(self, column, inside: np.ndarray):
+        self.data, offsets = bytes_of(column)
+        self.data = _LOWER[self.data]
+        n = len(self.data)
+        word = np.zeros(n + 2, bool)
+        word[1:-1] = inside[self.data]
+        first = np.zeros(n + 1, bool)
+        first[offsets] = True
+        here = word[1:-1]
+        begins = np.flatnonzero(here & (~word[:-2] | first[:-1]))
+        ends = np.flatnonzero(here & (~word[2:] | first[1:])) + 1
+        self.hashes = word_hashes(self.data, begins, ends)
+        self.bounds = np.searchsorted(begins, offsets)
+        self.counts = np.diff(self.bounds)
 
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.bounds[i] : self.bounds[i + 1]]
 
 
+_LOWER = np.frombuffer(LOWER, np.uint8)
+
+
+def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of an Arrow array of strings, end to end, and where each begins; null is empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def pieces(batches, column: str, most: int = 1 << 20):
+    """Cut record batches so that each holds about ``most`` bytes of a text column, or one longer text."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, done = 0, 0
+        while at < len(sizes):
+            end = max(at + 1, int(np.searchsorted(sizes, done + most, "right")))
+            yield batch.slice(at, end - at)
+            at, done = end, int(sizes[end - 1])
+
+
+class Finder:
+    """Finds which of many hashes are among a fixed few: a bit table first, then binary search."""
+
+    def __init__(self, hashes: np.ndarray, bits: int = 20):
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[hashes >> self.shift] = True
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``x`` that hold one of the hashes, and the place of the first such among the given."""
+        at = np.flatnonzero(self.table[x >> self.shift])
+        if not len(at) or not len(self.hashes):
+            return at[:0], at[:0]
+        place = np.searchsorted(self.hashes, x[at])
+        good = place < len(self.hashes)
+        good[good] = self.hashes[place[good]] == x[at[good]]
+        return at[good], self.order[place[good]]
+
+
 #: Bytes that are not ASCII white space, and letters, digits and bytes beyond ASCII.
 NOT_BLANK = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 WORD_BYTES = np.array([b >= 128 or bytes([b]).isalnum() for b in range(256)])

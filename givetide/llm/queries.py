@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from givetide.llm import mixing, shards, sql, tokens
+from givetide.llm import decontaminate, licenses, mixing, quality, shards, sql, tokens
 from givetide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,18 @@ def op8_mix(spark, sf_dir):
     weights = mixing.quality_weights(table(spark, sf_dir, "labels"))
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("source"))
+
+
+@query
+def op6_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
