@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from givetide.llm import decontaminate, licenses, mixing, quality, shards, sql, tokens
+from givetide.llm import decontaminate, jaccard, licenses, mixing, quality, shards, sql, tokens
 from givetide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,9 @@ def op7_quality(spark, sf_dir):
 @query
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_jaccard_join(spark, sf_dir):
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
