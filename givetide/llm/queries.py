@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from givetide.llm import decontaminate, jaccard, licenses, mixing, quality, shards, sql, tokens
+from givetide.llm import decontaminate, jaccard, licenses, mixing, quality, shards, sql, tokens, topk
 from givetide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op9_decontaminate(spark, sf_dir):
 def op5_jaccard_join(spark, sf_dir):
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op4_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)

@@ -30,3 +30,15 @@ select p.doc_id, p.source, p.size::bigint as size, e.source_size, e.target,
   (p.size * (e.epochs + case when e.epochs < 3 and before + p.size / 2.0 <= e.target - e.epochs * e.source_size then 1 else 0 end))::bigint as taken
 from placed p join epochs e on p.source is not distinct from e.source
 """
+
+STATEMENTS["op4_top_k"] = """
+with v as (
+  select vec_id, [floor(64 * x::double)::bigint for x in embedding] as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+scores as (
+  select q.vec_id as query_id, c.vec_id, list_sum([q.v[i] * c.v[i] for i in range(1, len(q.v) + 1)])::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scores)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
