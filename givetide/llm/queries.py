@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from givetide.llm import decontaminate, jaccard, licenses, mixing, quality, shards, sql, tokens, topk
+from givetide.llm import decontaminate, extract, jaccard, licenses, mixing, quality, shards, sql, tokens, topk
 from givetide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op5_jaccard_join(spark, sf_dir):
 @query
 def op4_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query
+def op3_main_text(spark, sf_dir):
+    return extract.main_text(spark, table(spark, sf_dir, "pages"))
