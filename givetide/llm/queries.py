@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from givetide.llm import decontaminate, extract, jaccard, licenses, mixing, quality, shards, sql, tokens, topk
+from givetide.llm import decontaminate, extract, jaccard, licenses, lm, mixing, quality, shards, sql, tokens, topk
 from givetide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op4_top_k(spark, sf_dir):
 @query
 def op3_main_text(spark, sf_dir):
     return extract.main_text(spark, table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_lm_scores(spark, sf_dir):
+    return lm.score_texts(table(spark, sf_dir, "documents"))
