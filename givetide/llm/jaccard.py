@@ -203,8 +203,8 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return forest.roots(np.arange(n))
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row columns of ``docs``, n_shingles, set_id, component_id) for every row; all other columns are kept.
+def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", with_root: bool = False) -> DataFrame:
+    """(doc_id, text_id, n_shingles, set_id, component_id) of every row; other columns are ignored.
 
     Words are runs without ASCII white space, ASCII letters lower-cased; a set holds the distinct shingles of
     ``width`` words, or the whole sequence if there are fewer. Rows are linked when den x intersection >= num x union;
@@ -246,10 +246,11 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     of_set = members.groupBy("set_id").agg(F.min("doc_id").alias("least_id"))
     of_set = settle(of_set.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
     of_root = of_set.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = of_set.join(of_root, "root").select(F.col("set_id").alias("_set"), "component_id")
-    return sketched.select("doc_id", "text_id", "n_shingles", "set_id").join(named, F.col("set_id") == F.col("_set"), "left").select(
-        "doc_id", "text_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    named = of_set.join(of_root, "root").select(F.col("set_id").alias("_set"), "component_id", "root")
+    found = sketched.select("doc_id", "text_id", "n_shingles", "set_id").join(named, F.col("set_id") == F.col("_set"), "left").select(
+        "doc_id", "text_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root"
     )
+    return found if with_root else found.drop("root")
 
 
 def _links(rows: DataFrame, members: DataFrame, trees: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -283,3 +284,21 @@ def _links(rows: DataFrame, members: DataFrame, trees: DataFrame, width: int, nu
         return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return placed.groupBy("group").applyInPandas(join, "a long, b long")
+
+
+def keep_one(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of ``docs`` (with columns doc_id and text) for each component: the one with the least id.
+
+    Among equal ids the least text hash decides, and of fully equal rows one stays. Rows without words all stay.
+    Rows with a null id stay only where their component has no other id.
+    """
+    found = jaccard_components(docs, width=width, num=num, den=den, with_root=True)
+    alone = found.filter("set_id is null")
+    first = found.filter("set_id is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_id")).alias("row"))
+    kept = settle(first.select(F.col("row.doc_id").alias("_id"), F.col("row.text_id").alias("_text"), F.lit(True).alias("_one")))
+    names = docs.columns
+    rows = docs.withColumn("_text_id", F.xxhash64(F.col("text").cast("string")))
+    joined = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_id") == F.col("_text")), "left_semi")
+    one = joined.dropDuplicates(["doc_id", "_text_id"]).select(*names)
+    empty = settle(alone.select(F.col("text_id").alias("_text")).distinct())
+    return one.unionByName(rows.join(empty, F.col("_text_id") == F.col("_text"), "left_semi").select(*names))

@@ -76,3 +76,10 @@ def op3_main_text(spark, sf_dir):
 @query
 def op10_lm_scores(spark, sf_dir):
     return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
