@@ -296,9 +296,10 @@ def keep_one(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100)
     alone = found.filter("set_id is null")
     first = found.filter("set_id is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_id")).alias("row"))
     kept = settle(first.select(F.col("row.doc_id").alias("_id"), F.col("row.text_id").alias("_text"), F.lit(True).alias("_one")))
-    names = docs.columns
-    rows = docs.withColumn("_text_id", F.xxhash64(F.col("text").cast("string")))
-    joined = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_id") == F.col("_text")), "left_semi")
-    one = joined.dropDuplicates(["doc_id", "_text_id"]).select(*names)
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_hash")
+    )
+    joined = packed.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_semi")
+    one = joined.dropDuplicates(["_doc", "_hash"]).select("row.*")
     empty = settle(alone.select(F.col("text_id").alias("_text")).distinct())
-    return one.unionByName(rows.join(empty, F.col("_text_id") == F.col("_text"), "left_semi").select(*names))
+    return one.unionByName(packed.join(empty, F.col("_hash") == F.col("_text"), "left_semi").select("row.*"))

@@ -77,21 +77,24 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.filter("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("weight"))
 
 
-def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns.
 
     Of rows with equal ids and texts each is counted on its own: the mix's decisions are summed over them and dealt
     out in order. Texts without words are taken as often as their source has complete epochs, at least once, as they cost nothing.
     """
-    decided = mix(docs, quality, **options)
+    decided = mix(docs, quality, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     epochs = F.greatest(F.lit(1), F.least(F.lit(MOST), F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))))
     times = F.when(F.col("size") > 0, F.col("taken") / F.greatest(F.col("size"), F.lit(1))).otherwise(epochs).cast("int")
     decided = decided.withColumn("times", times).groupBy("doc_id", "source", "tie").agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
-    decided = settle(decided.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), "_times", "_rows"))
-    names = docs.columns
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_tie"))
-    joined = docs.join(decided.filter("_times > 0"), key)
-    once = joined.filter("_rows = 1")
+    decided = settle(decided.select(F.struct("doc_id", "source", "tie").alias("of"), F.struct(F.col("_times").alias("times"), F.col("_rows").alias("rows")).alias("decided")))
+    # The caller's columns travel as one, so that their names meet no others.
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col).cast("string")).alias("tie")).alias("key"),
+    )
+    joined = packed.join(decided.filter("decided.times > 0"), F.col("key").eqNullSafe(F.col("of")))
+    once = joined.filter("decided.rows = 1")
     # Equal rows are interchangeable: one of them carries what the mix takes of all.
-    many = joined.filter("_rows > 1").dropDuplicates(["_id", "_source", "_tie"])
-    return once.unionByName(many).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*names)
+    many = joined.filter("decided.rows > 1").dropDuplicates(["key"])
+    return once.unionByName(many).select("row", F.explode(F.sequence(F.lit(1), F.col("decided.times").cast("int")))).select("row.*")
