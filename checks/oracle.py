@@ -56,6 +56,11 @@ lines as materialized (
   from lineitem),
 owned as (select l.*, o.o_custkey from lines l join orders o on o.o_orderkey = l.l_orderkey),
 ord as (select *, cast(o_orderdate as date) as day from orders),
+status_date as (
+  select case when o_orderstatus = 'O' and o_orderpriority = '4-NOT SPECIFIED' then -o_orderkey - 1
+      else o_orderkey + {r.SYSTEM_ID} end as gift_system_id, {_pick(r.GIFT_STATUSES, f'{STATUS} - 1')} as status,
+    case when o_orderpriority <> '3-MEDIUM' then day + cast(floor(o_totalprice) as int) % 900 end as status_date from ord),
+act as (select *, cast(ts as date) - cast({r.EVENT_DAYS_BACK} + user_id * 7 % 700 as int) as day from events),
 calendar as materialized (
   select {_key('d')} as date_key, d as date, {_month('d')} as month, cast(year(d) as int) as calendar_year,
     monthname(d) as month_name, cast(year(d) + case when month(d) >= 4 then 1 else 0 end as int) as fiscal_year,
@@ -63,7 +68,14 @@ calendar as materialized (
     cast({AS_OF} - d as int) as days_since, (d = {AS_OF}) as is_current_date,
     (year(d) = year({AS_OF}) and month(d) = month({AS_OF})) as is_current_month,
     (d >= date '2001-04-01' and d < date '2002-04-01') as is_current_fiscal_year
-  from (select cast(g as date) as d from range(date '{r.FIRST_DAY}', date '{r.LAST_DAY}' + 1, interval 1 day) t(g))),
+  from (select cast(unnest(generate_series(
+    make_date(cast(year(low) - case when month(low) < 4 then 1 else 0 end as int), 4, 1),
+    make_date(cast(year(high) + case when month(high) > 3 then 1 else 0 end as int), 3, 31), interval 1 day)) as date) as d from (
+    select least(min(low), {AS_OF}) as low, greatest(max(high), {AS_OF}) as high from (
+      select min(cast(o_orderdate as date)) as low, max(cast(o_orderdate as date) + interval 1 year)::date as high from orders
+      union all select min(cast(l_shipdate as date)), max(cast(l_shipdate as date)) from lineitem
+      union all select min(status_date), max(status_date) from status_date
+      union all select min(day) - 30, max(day) from act)))),
 months as materialized (select distinct month, calendar_year, month_name, fiscal_year, months_since, is_current_fiscal_year from calendar),
 gift as (
   select {ORDER_GIFT} as gift_id, o_orderkey + {r.SYSTEM_ID} as gift_system_id, o_custkey as constituent_key, 30 as gift_type_id,
@@ -130,10 +142,6 @@ constituent_code as (
   select c_custkey as constituent_key, 'Schools' as code from customer where c_nationkey < 5
   union all select c_custkey, 'Faith Groups' from customer where c_nationkey > 2 and c_nationkey < 10
   union all select c_custkey, 'General' from customer where c_nationkey > 6),
-status_date as (
-  select case when o_orderstatus = 'O' and o_orderpriority = '4-NOT SPECIFIED' then -o_orderkey - 1
-      else o_orderkey + {r.SYSTEM_ID} end as gift_system_id, {_pick(r.GIFT_STATUSES, f'{STATUS} - 1')} as status,
-    case when o_orderpriority <> '3-MEDIUM' then day + cast(floor(o_totalprice) as int) % 900 end as status_date from ord),
 cash_gift as (
   select {LINE_GIFT} + seq as gift_id, o_custkey + {r.NEW_PERSON_ID} as constituent_id, ship_day as gift_date,
     {_money('l_extendedprice')} as amount, l_linenumber <> 5 as counted from owned where l_returnflag = 'N'),
@@ -147,7 +155,6 @@ rg_income as (
     from lineitem join ord on o_orderkey = l_orderkey where l_returnflag <> 'N') x
   left join (select appeal_id, {_label('appeal_category', 'campaign_description')} as descriptor from appeal) a using (appeal_id)
   group by month, appeal_id, descriptor, payment_type, started, amended, gift_code),
-act as (select *, cast(ts as date) - cast({r.EVENT_DAYS_BACK} + user_id * 7 % 700 as int) as day from events),
 action as (
   select event_id as action_id, event_id + 7 as action_system_id, user_id as constituent_key,
     {_pick(list(r.ACTION_STATUSES.values()), f"list_position({_list(list(r.ACTION_STATUSES))}, event_type) - 1")} as action_status,
@@ -159,7 +166,7 @@ action_attribute as (
   union all select event_id, 'Event Category', 'WaterAid Mass Participation Event' from events where user_id % 4 = 1
   union all select event_id, 'Fundraising Platform Used', 'Online page' from events where user_id >= 100),
 target as materialized (
-  select type, month, g.group_id, forms_part_of, level, description,
+  select case g.group_id when 33 then upper(type) when 51 then type || '  ' else type end as type, month, g.group_id, forms_part_of, level, description,
     cast(case when g.group_id = 61 then 0 else total * g.group_id end as decimal(29,4)) as target
   from (select {_month('day')} + 100 as month, sum({_money('o_totalprice')}) as total from ord group by 1),
     (select unnest({_list(r.METRIC_TYPES)}) as type), groups g where g.group_id in ({', '.join(map(str, r.TARGET_GROUPS))})),
@@ -404,22 +411,22 @@ compared as materialized (
     cast(coalesce(f.month in (select month from calendar where is_current_fiscal_year), false) as int) as is_in_current_fy,
     coalesce(t.target, 0) as target, f.total - coalesce(t.target, 0) as over_under,
     case when t.target <> 0 and f.total <> 0 then 100 * cast(f.total - t.target as double) / cast(t.target as double) end as pct_over_under
-  from filled f full join target t on t.month = f.month and t.group_id = f.group_id and t.type = f.type
+  from filled f full join target t on t.month = f.month and t.group_id = f.group_id and rtrim(lower(t.type)) = rtrim(lower(f.type))
   where f.month >= (select min(month) from target) or t.month >= (select min(month) from target)),
 ahead as materialized (
   select t.type, t.month, t.group_id, t.forms_part_of, t.level, t.description, 0 as total, 0 as is_current_month, 1 as is_future_month,
     1 as is_in_current_fy, coalesce(t.target, 0) as target, null as over_under, null as pct_over_under
   from target t join months m using (month)
-  join (select t.type, t.month, t.group_id from target t join months m using (month) where m.months_since < 0
-    except select type, month, group_id from compared) v on v.type = t.type and v.month = t.month and v.group_id = t.group_id
+  join (select rtrim(lower(t.type)) as type, t.month, t.group_id from target t join months m using (month) where m.months_since < 0
+    except select rtrim(lower(type)), month, group_id from compared) v on v.type = rtrim(lower(t.type)) and v.month = t.month and v.group_id = t.group_id
   where m.months_since < 0),
 working as materialized (select * from compared union all select * from ahead),
 unmet as materialized (
-  select t.* from target t left join working w on w.group_id = t.group_id and w.type = t.type and w.month = t.month
+  select t.* from target t left join working w on w.group_id = t.group_id and rtrim(lower(w.type)) = rtrim(lower(t.type)) and w.month = t.month
   where w.group_id is null and t.month in (select month from working)),
 zero_ytd as materialized (
-  select type, group_id, sum(target) as ytd_target from unmet
-  where month in (select month from calendar where months_since > -1 and is_current_fiscal_year) group by all),
+  select min(type) as type, group_id, sum(target) as ytd_target from unmet
+  where month in (select month from calendar where months_since > -1 and is_current_fiscal_year) group by rtrim(lower(type)), group_id),
 """
 
 FILESIZE = f"""
@@ -525,17 +532,17 @@ HISTORY_OUT = """constituent_id, gift_id, change_id, sequence, is_original, appe
  cast(change_annual_amount as double) as change_annual_amount, instalments_per_year, previous_instalments_per_year,
  case when previous_instalments_per_year is null or previous_instalments_per_year = instalments_per_year then 'No' else 'Yes' end as frequency_changed,
  cast(annual_amount - change_annual_amount as double) as previous_annual_amount,
- cast(annual_amount - change_annual_amount as double) / previous_instalments_per_year as previous_instalment_amount,
- coalesce(cast(amount as double) - cast(annual_amount - change_annual_amount as double) / previous_instalments_per_year,
-   cast(change_amount as double)) as adjusted_change_amount, descriptor, dash_group, gift_code"""
+ round(cast(annual_amount - change_annual_amount as double) / previous_instalments_per_year, 6) as previous_instalment_amount,
+ round(coalesce(cast(amount as double) - cast(annual_amount - change_annual_amount as double) / previous_instalments_per_year,
+   cast(change_amount as double)), 6) as adjusted_change_amount, descriptor, dash_group, gift_code"""
 FACT_OUT = "gift_id, cast(value as double) as value, month, appeal_type, appeal_identifier, package_category, product, audience, descriptor, gift_code"
 STATUS_OUT = "constituent_id, month, cast(regular_value as double) as regular_value, cast(cash_24_months as double) as cash_24_months, giver_category"
 RETENTION_SUMS = "constituents, gifts, cast(annual_amount as double) as annual_amount"
 
 
 def _classified(facts: str, case: str, join: str, value: str = "value") -> str:
-    return f"""select group_id, count(*) as n, cast(sum({value}) as double) as total from (select f.*, {case} as group_id from {facts} f
-    {join} (select lower(descriptor) as d, rule_number, default_group from known) k on k.d = lower(f.descriptor)) group by 1"""
+    return f"""select gift_id, month, descriptor, cast({value} as double) as {value}, {case} as group_id from {facts} f
+    {join} (select lower(descriptor) as d, rule_number, default_group from known) k on k.d = lower(f.descriptor)"""
 
 
 def statements() -> dict[str, str]:
@@ -610,7 +617,7 @@ def statements() -> dict[str, str]:
         "classify_regular_new": sql(facts, _classified("new_facts", NEW_CASE, "left join")),
         "classify_regular_change": sql(facts, _classified("amend_facts", CHANGE_CASE, "join")),
         "classify_regular_cancel": sql(facts, _classified("cancel_facts", CANCEL_CASE, "join")),
-        "classify_regular_wide": sql(wide, "select group_id, count(*) as n, cast(sum(change_annual_amount) as double) as total from wide group by 1"),
+        "classify_regular_wide": sql(wide, "select gift_id, sequence, month, cast(change_annual_amount as double) as change_annual_amount, group_id from wide"),
         "classify_cash": sql(base + CASH, _classified("cash_facts", CASH_CASE, "left join", "amount")),
         "classify_rg_income": sql(base, f"select * replace (cast(value as double) as value), {INCOME_CASE} as group_id from rg_income"),
         "classify_event": sql(base + SIGNUPS, f"select *, {EVENT_CASE} as group_id, {EVENT_PARENT} as forms_part_of, 8 as level from signups"),
@@ -624,17 +631,17 @@ def statements() -> dict[str, str]:
             cast(ytd_over_under as double) as ytd_over_under, cast(ytd_pct_over_under as double) as ytd_pct_over_under, month, forms_part_of, level,
             description, is_current_month, is_future_month, cast(month_actual as double) as month_actual, cast(target as double) as target,
             cast(over_under as double) as over_under, cast(pct_over_under as double) as pct_over_under from (
-            select y.type, y.group_id, y.ytd_actual, y.ytd_target, y.ytd_actual - coalesce(y.ytd_target, 0) as ytd_over_under,
+            select w.type, y.group_id, y.ytd_actual, y.ytd_target, y.ytd_actual - coalesce(y.ytd_target, 0) as ytd_over_under,
               case when y.ytd_target <> 0 and y.ytd_actual <> 0 then 100 * cast(y.ytd_actual - y.ytd_target as double) / cast(y.ytd_target as double) end
               as ytd_pct_over_under, w.month, w.forms_part_of, w.level, w.description, w.is_current_month, w.is_future_month,
               w.total as month_actual, w.target, w.over_under, w.pct_over_under
-            from (select type, group_id, sum(case when month < {NOW} then total else 0 end) as ytd_actual,
+            from (select rtrim(lower(type)) as type, group_id, sum(case when month < {NOW} then total else 0 end) as ytd_actual,
                 sum(case when month < {NOW} then target else 0 end) as ytd_target from working
               where month in (select month from calendar where is_current_fiscal_year) group by 1, 2) y
-            join working w on w.group_id = y.group_id and w.type = y.type
+            join working w on w.group_id = y.group_id and rtrim(lower(w.type)) = y.type
             union select t.type, t.group_id, null, z.ytd_target, null, null, t.month, t.forms_part_of, t.level, t.description,
               cast(t.month = {NOW} as int), 0, 0, t.target, 0 - t.target, null
-            from unmet t left join zero_ytd z on z.group_id = t.group_id and z.type = t.type)"""),
+            from unmet t left join zero_ytd z on z.group_id = t.group_id and rtrim(lower(z.type)) = rtrim(lower(t.type)))"""),
         "long_term_trends": sql(metrics, f"""select {STORED_AT} as date_stored, * replace (cast(total as double) as total) from (
             select f.*, d.fiscal_year, cast(right(cast(f.month as varchar), 2) as int) as month_number, e.days_since_month_end,
               cast(row_number() over (partition by f.type, f.group_id order by f.month, f.forms_part_of, f.level, f.description, f.total) as int)

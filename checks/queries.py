@@ -16,6 +16,7 @@ from pyspark.sql.types import DecimalType
 from givetide.functions import months as m
 from givetide.operators import actions, calendar, filesize, fill, groups, history, income, metrics, state, targets
 from givetide.operators.spans import expand_months
+from givetide.plans import dashboard, file_size
 from givetide.sources.roles import AS_OF, warehouse_of
 from givetide.sources.warehouse import settle
 
@@ -25,12 +26,14 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
-    return df.select(
-        *[
-            F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, DecimalType) else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    """Money as double, so that it compares across engines; quotients of money to six places first."""
+
+    def column(f):
+        if not isinstance(f.dataType, DecimalType):
+            return F.col(f.name)
+        return (F.round(f.name, 6) if f.dataType.scale > 6 else F.col(f.name)).cast("double").alias(f.name)
+
+    return df.select(*[column(f) for f in df.schema.fields])
 
 
 def registered(fn: Callable) -> Callable:
@@ -42,18 +45,9 @@ def _history(w) -> DataFrame:
     return history.rg_history(w, carry=True)
 
 
-def _unwanted(w) -> DataFrame:
-    return state.unrealistic_gifts(w, w.gift.filter("gift_type_id = 30"))
-
-
 def _details(w) -> DataFrame:
     """Latest change per gift and month, from the changes alone."""
-    found = state.latest_state_per_month(w, history.regular_gift_changes(w))
-    return state.without_gifts(found, _unwanted(w))
-
-
-def _lifespans(w) -> DataFrame:
-    return state.without_gifts(state.gift_lifespan(w), _unwanted(w))
+    return file_size.details(w)
 
 
 @registered
@@ -144,7 +138,7 @@ def zero_fill_since_first(w):
 
 @registered
 def latest_state_per_month(w):
-    return state.latest_state_per_month(w, _history(w))
+    return state.latest_state_per_month(w, history.rule_history(w))
 
 
 @registered
@@ -179,8 +173,7 @@ def gift_lifespan(w):
 
 
 def _retention(w) -> DataFrame:
-    carried = settle(state.carry_forward_spans(_details(w), AS_OF))
-    return filesize.retention_long(carried, _lifespans(w))
+    return filesize.retention_long(*file_size.carried_and_lifespans(w))
 
 
 @registered
@@ -190,7 +183,7 @@ def retention_long(w):
 
 @registered
 def retention_by_mandate_age(w):
-    return filesize.retention_by_mandate_age(w, _retention(w))
+    return filesize.retention_by_mandate_age(w, settle(_retention(w)))
 
 
 @registered
@@ -199,8 +192,7 @@ def rolling_24_month_cash(w):
 
 
 def _giver_status(w) -> DataFrame:
-    regular = filesize.regular_giving_spans(state.carry_forward_spans(_details(w), AS_OF), _lifespans(w))
-    return filesize.giver_status(regular, filesize.rolling_cash_spans(w, AS_OF))
+    return filesize.giver_status(filesize.regular_giving_spans(*file_size.carried_and_lifespans(w)), filesize.rolling_cash_spans(w, AS_OF))
 
 
 @registered
@@ -214,7 +206,7 @@ def exclude_organisations(w):
 
 
 def _individuals(w) -> DataFrame:
-    return filesize.giver_status_of(w, state.carry_forward_spans(_details(w), AS_OF), _lifespans(w), AS_OF)
+    return settle(filesize.giver_status_of(w, *file_size.carried_and_lifespans(w), AS_OF))
 
 
 @registered
@@ -233,8 +225,7 @@ def crossed_giving(w):
 
 
 def _classified_regular(w, variant: str, facts) -> DataFrame:
-    ruled = groups.classify_regular(variant, facts(w, history.rule_history(w)), w.known_descriptor)
-    return ruled.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return groups.classify_regular(variant, facts(w, history.rule_history(w)), w.known_descriptor).select("gift_id", "month", "descriptor", "value", "group_id")
 
 
 @registered
@@ -254,13 +245,13 @@ def classify_regular_cancel(w):
 
 @registered
 def classify_regular_wide(w):
-    return history.grouped_changes(w).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.sum("change_annual_amount").alias("total"))
+    return history.grouped_changes(w).select("gift_id", "sequence", "month", "change_annual_amount", "group_id")
 
 
 @registered
 def classify_cash(w):
     ruled = groups.classify_cash(income.cash_gift_facts(w), w.known_descriptor)
-    return ruled.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
+    return ruled.select("gift_id", "month", "descriptor", "amount", "group_id")
 
 
 @registered
@@ -282,14 +273,11 @@ def _metrics(w) -> DataFrame:
     return metrics.monthly_metrics(w, settle(history.rule_history(w)), AS_OF)
 
 
-def _filled(w) -> DataFrame:
-    monthly = settle(_metrics(w))
-    return settle(monthly.unionByName(fill.fill_missing_fiscal_months(monthly, w.months, w.group)))
+_filled = dashboard.filled_metrics
 
 
 def _working(w) -> DataFrame:
-    compared = settle(targets.compare_to_targets(_filled(w), w.target, w.months, AS_OF))
-    return settle(compared.unionByName(targets.future_targets(compared, w.target, w.months)))
+    return dashboard.working_rows(w, _filled(w))
 
 
 @registered

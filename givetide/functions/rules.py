@@ -21,11 +21,12 @@ def quoted(value: str) -> str:
 
 
 def is_(*values: str) -> Test:
-    return lambda c: f"{c} in ({', '.join(map(quoted, values))})"
+    """Equality ignores trailing blanks."""
+    return lambda c: f"rtrim({c}) in ({', '.join(map(quoted, values))})"
 
 
 def is_not(value: str) -> Test:
-    return lambda c: f"{c} <> {quoted(value)}"
+    return lambda c: f"rtrim({c}) <> {quoted(value)}"
 
 
 def begins(*prefixes: str) -> Test:

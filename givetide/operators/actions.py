@@ -11,6 +11,7 @@ from givetide.functions import months as m
 from givetide.functions import text
 from givetide.operators.fill import zero_fill_since_first
 from givetide.operators.groups import classify_event, classify_pack
+from givetide.sources.warehouse import settle
 
 # Action statuses that make a sign-up.
 SIGNED_UP = ["Participating", "Accepted", "Participated", "Pending Approval", "Day of event"]
@@ -115,6 +116,7 @@ def _with_groups_and_months(w, df: DataFrame, keys: list[str], total: Column, na
 
 
 def _zero_filled(w, df: DataFrame, keys: list[str], name: str, as_of: dt.date) -> DataFrame:
+    df = settle(df)  # read twice: as they are, and for the months they lack
     full = ["type", "group_id", "forms_part_of", "level", "description", *keys]
     months = w.months.select("month", *MONTH_COLUMNS)
     empty = zero_fill_since_first(df, full, m.as_of_index(as_of)).join(months, "month").withColumn(name, F.lit(0).cast("long"))

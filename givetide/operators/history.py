@@ -166,7 +166,7 @@ def rg_history(w, carry: bool = False) -> DataFrame:
         .join(campaigns, "campaign_id", "left")
         .join(codes, "gift_code_id", "left")
         .selectExpr("*", "if(sequence = 1, null, _previous) as _before", "annual_amount - change_annual_amount as _annual_before")
-        .selectExpr("*", "try_divide(cast(_annual_before as double), _before) as _instalment_before")
+        .selectExpr("*", "try_divide(_annual_before, _before) as _instalment_before")
         .selectExpr(
             "constituent_id", "gift_id", "change_id", "sequence", "is_original", "appeal_description", "appeal_identifier",
             "campaign_identifier", "campaign_description", "package_identifier", "package_description", "change_date_key",
@@ -175,7 +175,7 @@ def rg_history(w, carry: bool = False) -> DataFrame:
             "if(_before is null or _before = instalments_per_year, 'No', 'Yes') as frequency_changed",
             "_annual_before as previous_annual_amount",
             "_instalment_before as previous_instalment_amount",
-            "coalesce(cast(amount as double) - _instalment_before, cast(change_amount as double)) as adjusted_change_amount",
+            "coalesce(amount - _instalment_before, change_amount) as adjusted_change_amount",
             "descriptor",
             f"cast(coalesce(default_group, {NO_GROUP}) as int) as dash_group",
             "gift_code",

@@ -28,6 +28,11 @@ def percent_over(actual: Column, target: Column) -> Column:
     return F.when((target != 0) & (actual != 0), 100 * gap / target.cast("double"))
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows with the comparison key of their type: the target table is kept by hand and spells types its own way."""
+    return rows.withColumn("_type", text.fold(F.col("type")))
+
+
 def _flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
@@ -44,7 +49,7 @@ def compare_to_targets(metrics: DataFrame, targets: DataFrame, months: DataFrame
         F.col("type").alias("_t_type"), F.col("month").alias("_t_month"), F.col("group_id").alias("_t_group"), F.col("target").alias("_target")
     )
     same_key = (
-        (F.col("month") == F.col("_t_month")) & (F.col("group_id") == F.col("_t_group")) & (F.col("type") == F.col("_t_type"))
+        (F.col("month") == F.col("_t_month")) & (F.col("group_id") == F.col("_t_group")) & (text.fold(F.col("type")) == text.fold(F.col("_t_type")))
     )
     target = F.col("_target")
     return (
@@ -69,9 +74,9 @@ def future_targets(working: DataFrame, targets: DataFrame, months: DataFrame) ->
     """Targets of future months that have no row yet, to be appended to ``working``."""
     ahead = months.filter("months_since < 0").select("month")
     return (
-        targets.filter("type is not null and group_id is not null")
+        _keyed(targets.filter("type is not null and group_id is not null"))
         .join(ahead, "month", "left_semi")
-        .join(working.select("type", "month", "group_id"), ["type", "month", "group_id"], "left_anti")
+        .join(_keyed(working).select("_type", "month", "group_id"), ["_type", "month", "group_id"], "left_anti")
         .select(
             "type",
             "month",
@@ -93,9 +98,8 @@ def future_targets(working: DataFrame, targets: DataFrame, months: DataFrame) ->
 def _unmet(working: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets without an actual, in months that occur among the actuals."""
     seen = working.select("month").distinct()
-    return targets.join(working.select("type", "month", "group_id"), ["type", "month", "group_id"], "left_anti").join(
-        seen, "month", "left_semi"
-    )
+    met = _keyed(working).select("_type", "month", "group_id")
+    return _keyed(targets).join(met, ["_type", "month", "group_id"], "left_anti").join(seen, "month", "left_semi")
 
 
 def zero_income_ytd_targets(working: DataFrame, targets: DataFrame, months: DataFrame) -> DataFrame:
@@ -104,8 +108,9 @@ def zero_income_ytd_targets(working: DataFrame, targets: DataFrame, months: Data
     return (
         _unmet(working, targets)
         .join(so_far, "month", "left_semi")
-        .groupBy("type", "group_id")
-        .agg(F.sum("target").cast(TOTAL).alias("ytd_target"))
+        .groupBy("_type", "group_id")
+        .agg(F.min("type").alias("type"), F.sum("target").cast(TOTAL).alias("ytd_target"))
+        .select("type", "group_id", "ytd_target")
     )
 
 
@@ -120,8 +125,9 @@ def ytd_results(working: DataFrame, targets: DataFrame, months: DataFrame, as_of
     zero = F.lit(0).cast(TOTAL)
     so_far = F.col("month") < now
     ytd = (
-        working.join(fiscal, "month", "left_semi")
-        .groupBy("type", "group_id")
+        _keyed(working)
+        .join(fiscal, "month", "left_semi")
+        .groupBy("_type", "group_id")
         .agg(
             F.sum(F.when(so_far, F.col("total")).otherwise(zero)).cast(TOTAL).alias("ytd_actual"),
             F.sum(F.when(so_far, F.col("target")).otherwise(zero)).cast(TOTAL).alias("ytd_target"),
@@ -133,10 +139,10 @@ def ytd_results(working: DataFrame, targets: DataFrame, months: DataFrame, as_of
         "type", "group_id", "ytd_actual", "ytd_target", "ytd_over_under", "ytd_pct_over_under", "month", "forms_part_of",
         "level", "description", "is_current_month", "is_future_month", "month_actual", "target", "over_under", "pct_over_under",
     ]
-    met = ytd.join(working, ["type", "group_id"]).withColumnRenamed("total", "month_actual").select(*columns)
+    met = ytd.join(_keyed(working), ["_type", "group_id"]).withColumnRenamed("total", "month_actual").select(*columns)
     missed = (
         _unmet(working, targets)
-        .join(zero_income_ytd_targets(working, targets, months), ["type", "group_id"], "left")
+        .join(_keyed(zero_income_ytd_targets(working, targets, months)).drop("type"), ["_type", "group_id"], "left")
         .select(
             "type",
             "group_id",

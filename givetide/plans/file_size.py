@@ -24,14 +24,19 @@ from givetide.operators.state import (
 from givetide.sources.warehouse import Warehouse, replace_table, settle
 
 
+def details(w: Warehouse, unwanted: DataFrame | None = None) -> DataFrame:
+    """Latest change per gift and month, from the changes alone, without unrealistic gifts."""
+    unwanted = unrealistic_gifts(w, w.gift.filter("gift_type_id = 30")) if unwanted is None else unwanted
+    return without_gifts(latest_state_per_month(w, regular_gift_changes(w)), unwanted)
+
+
 def carried_and_lifespans(w: Warehouse) -> tuple[DataFrame, DataFrame]:
     """Settled amounts in force per gift, as spans, and the settled lifespans.
 
     Unrealistic gifts are left out once, before anything is carried forward.
     """
     unwanted = settle(unrealistic_gifts(w, w.gift.filter("gift_type_id = 30")))
-    details = without_gifts(latest_state_per_month(w, regular_gift_changes(w)), unwanted)
-    return settle(carry_forward_spans(details, w.as_of)), settle(without_gifts(gift_lifespan(w), unwanted))
+    return settle(carry_forward_spans(details(w, unwanted), w.as_of)), settle(without_gifts(gift_lifespan(w), unwanted))
 
 
 def run(w: Warehouse, write: Callable[[DataFrame, str], None] | None = None) -> None:

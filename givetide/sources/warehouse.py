@@ -67,7 +67,7 @@ def dates_of(table: DataFrame, as_of: dt.date) -> DataFrame:
         (F.lit(m.as_of_index(as_of)) - m.index_of(month)).cast("int").alias("months_since"),
         F.datediff(F.lit(as_of), day).alias("days_since"),
     )
-    current_year = days.filter("days_since = 0").agg(F.max("fiscal_year")).scalar()
+    current_year = days.filter("days_since = 0").agg(F.max("fiscal_year")).select(F.expr(f"coalesce(`max(fiscal_year)`, raise_error('the date table has no day {as_of}'))")).scalar()
     return days.select(
         "*",
         (F.col("days_since") == 0).alias("is_current_date"),
