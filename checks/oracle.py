@@ -137,7 +137,11 @@ constituent as (
     case when c_mktsegment = 'MACHINERY' then 'O' else 'I' end as key_indicator, c_acctbal < 0 as died,
     case when c_acctbal < -500 then date '1996-01-01' + c_nationkey * 60 end as deceased_date,
     date '1999-06-01' + c_nationkey * 40 as date_changed,
-    c_mktsegment = 'MACHINERY' and c_nationkey < 15 as is_faith from customer),
+    c_mktsegment = 'MACHINERY' and c_nationkey < 15 as is_faith, 'Category ' || c_nationkey % 3 as organisation_category,
+    case when c_nationkey % 4 > 0 then 'Diocese ' || c_nationkey end as organisation_diocese, c_name as organisation_name from customer),
+appeal_send as (
+  select o_custkey + {r.NEW_PERSON_ID} as constituent_id, lpad(cast(o_orderkey % 20 as varchar), 2, '0') || '/' ||
+    {_pick(r.APPEAL_CODES, 'o_orderkey % 6')} as appeal_identifier, day - cast(o_orderkey % 400 as int) as appeal_date from ord),
 constituent_code as (
   select c_custkey as constituent_key, 'Schools' as code from customer where c_nationkey < 5
   union all select c_custkey, 'Faith Groups' from customer where c_nationkey > 2 and c_nationkey < 10
@@ -659,10 +663,22 @@ def statements() -> dict[str, str]:
               join gift g on g.gift_system_id = t.gift_system_id left join calendar d on d.date = t.status_date
               where t.status in ('Terminated', 'Canceled', 'Completed')) c on c.gift_id = b.gift_id
             where c.month is null or s.month < c.month group by 1, 2"""),
-        "faith_group_payments": sql(base, f"""select o.o_custkey as constituent_key, {_key('o.day')} as donation_date_key, {_month('o.day')} as month,
+        "faith_group_payments": sql(base, f"""select o.o_custkey as constituent_key, p.organisation_category, p.organisation_diocese,
+            p.organisation_name, {_key('o.day')} as donation_date_key, {_month('o.day')} as month,
             o.o_orderkey as payment_id, cast({_money('o_totalprice')} as double) as amount
             from ord o join constituent p on p.constituent_key = o.o_custkey
             where p.key_indicator = 'O' and p.is_faith and {_month('o.day')} in (select month from nonfinancial where what like 'Count of distinct faith%')"""),
+        "last_appeal_attribution": sql(base, """select f.appeal_identifier, d.appeal_description, f.people, cast(f.value as double) as cancelled_value, s.sends, s.people_sent,
+            round(cast(f.value as double) / s.sends, 6) as value_per_send, round(cast(f.value as double) / s.people_sent, 6) as value_per_person_sent
+          from (select appeal_identifier, count(*) as people, sum(amount) as value from (
+              select c.constituent_id, a.appeal_identifier, c.amount,
+                row_number() over (partition by c.constituent_id order by a.appeal_date desc, a.appeal_identifier desc, c.ended desc, c.gift_id desc) as nth
+              from (select p.constituent_id, g.gift_id, g.amount, t.status_date as ended from status_date t join gift g using (gift_system_id)
+                  join constituent p using (constituent_key) where t.status in ('Cancelled', 'Terminated')) c
+              join appeal_send a on a.constituent_id = c.constituent_id and a.appeal_date < c.ended)
+            where nth = 1 and (appeal_identifier like '14%' or appeal_identifier like '15%') group by 1) f
+          left join (select appeal_identifier, count(*) as sends, count(distinct constituent_id) as people_sent from appeal_send group by 1) s using (appeal_identifier)
+          left join (select appeal_identifier, min(appeal_description) as appeal_description from appeal group by 1) d using (appeal_identifier)"""),
         "fiscal_year_totals": sql(metrics, """select type, fiscal_year, group_id, forms_part_of, level, description, cast(sum(total) as double) as total
             from metrics join (select distinct month, fiscal_year from calendar) using (month) group by all"""),
         "pack_requests_vs_target": sql(base, f"""select t.category as target_category, t.what as target_description, t.sub as subcategory,

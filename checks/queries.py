@@ -350,6 +350,11 @@ def faith_group_payments(w):
     return targets.faith_group_payments(w)
 
 
+@registered
+def last_appeal_attribution(w):
+    return history.last_appeal_attribution(w, ["14", "15"])
+
+
 @registered
 def fiscal_year_totals(w):
     return targets.fiscal_year_totals(settle(_metrics(w)), w.months)

@@ -296,6 +296,53 @@ def cancellation_facts(w, changes: DataFrame) -> DataFrame:
     return _movement(ended.join(dated, "gift_system_id", "left"), "-change_annual_amount")
 
 
+# Status texts of gifts whose end is attributed to an appeal.
+ATTRIBUTED_TEXTS = ["Cancelled", "Terminated"]
+
+
+def last_appeal_attribution(w, prefixes: list[str]) -> DataFrame:
+    """Annual value of cancelled gifts by the last appeal that the person got before, per send and per person sent to.
+
+    Only the last cancelled gift of a person counts; among gifts ended on one day the one with the greatest id. The
+    last appeal is the latest with an earlier date; among appeals of one day the greatest identifier. So one
+    aggregate per person and one per person and send suffice, and no person's gifts meet all of its sends. Appeals
+    are kept whose identifier begins with one of ``prefixes``.
+    """
+    ended = (
+        w.gift_status_date.filter(text.one_of(F.col("status"), ATTRIBUTED_TEXTS) & F.col("status_date").isNotNull())
+        .join(w.gift.filter(F.col("gift_type_id") == REGULAR_GIFT).select("gift_system_id", "gift_id", "constituent_key"), "gift_system_id")
+        .join(w.constituent.select("constituent_key", "constituent_id"), "constituent_key")
+        .join(w.rg_fact.select("gift_id", "annual_amount"), "gift_id")
+        .groupBy("constituent_id")
+        .agg(F.max(F.struct("status_date", "gift_id", "annual_amount")).alias("ended"))
+    )
+    last = (
+        w.appeal_send.join(ended, "constituent_id")
+        .filter("appeal_date < ended.status_date")
+        .groupBy("constituent_id")
+        .agg(F.max_by("appeal_identifier", F.struct("appeal_date", "appeal_identifier")).alias("appeal_identifier"), F.first("ended.annual_amount").alias("value"))
+        .filter(text.starts(F.col("appeal_identifier"), *prefixes))
+        .groupBy(text.fold(F.col("appeal_identifier")).alias("_appeal"))
+        .agg(F.min("appeal_identifier").alias("appeal_identifier"), F.count(F.lit(1)).alias("people"), F.sum("value").alias("cancelled_value"))
+    )
+    sent = (
+        w.appeal_send.groupBy(text.fold(F.col("appeal_identifier")).alias("_appeal"), "constituent_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("_appeal")
+        .agg(F.sum("n").alias("sends"), F.count("constituent_id").alias("people_sent"))
+    )
+    described = w.appeal.groupBy(text.fold(F.col("appeal_identifier")).alias("_appeal")).agg(F.min("appeal_description").alias("appeal_description"))
+    return (
+        last.join(sent, "_appeal", "left")
+        .join(described, "_appeal", "left")
+        .select(
+            "appeal_identifier", "appeal_description", "people", "cancelled_value", "sends", "people_sent",
+            F.expr("try_divide(cancelled_value, sends)").alias("value_per_send"),
+            F.expr("try_divide(cancelled_value, people_sent)").alias("value_per_person_sent"),
+        )
+    )
+
+
 def grouped_changes(w) -> DataFrame:
     """Every change with its month and group under the wide rules, narrow."""
     from givetide.operators.groups import classify_regular

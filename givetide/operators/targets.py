@@ -237,13 +237,13 @@ def pack_requests_vs_target(w) -> DataFrame:
 def _faith_groups(w) -> DataFrame:
     return w.constituent.filter(
         text.same(F.col("key_indicator"), "O") & text.same(F.col("organisation_type"), "Faith Groups")
-    ).select("constituent_key")
+    )
 
 
 def faith_groups_vs_target(w) -> DataFrame:
     """Distinct faith groups giving per month, and their total; NULL when none gave."""
     actuals = (
-        w.payment.join(_faith_groups(w), "constituent_key")
+        w.payment.join(_faith_groups(w).select("constituent_key"), "constituent_key")
         .groupBy(m.month_of_key(F.col("donation_date_key")).alias("month"))
         .agg(F.count_distinct("constituent_key").alias("faith_groups"), F.sum("amount").alias("amount_given"))
     )
@@ -258,7 +258,9 @@ def faith_group_payments(w) -> DataFrame:
         w.payment.join(_faith_groups(w), "constituent_key")
         .withColumn("month", m.month_of_key(F.col("donation_date_key")))
         .join(goal_months, "month", "left_semi")
-        .select("constituent_key", "donation_date_key", "month", "payment_id", "amount")
+        .select(
+            "constituent_key", "organisation_category", "organisation_diocese", "organisation_name", "donation_date_key", "month", "payment_id", "amount"
+        )
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from givetide.operators.history import grouped_changes
 from givetide.operators.state import active_gift_value_by_group, latest_change_per_group_month
-from givetide.sources.warehouse import Warehouse, replace_table, settle
+from givetide.sources.warehouse import Warehouse, one_run, replace_table, settle
 
 
 def run(w: Warehouse, write: Callable[[DataFrame, str], None] | None = None) -> None:
@@ -17,5 +17,6 @@ def run(w: Warehouse, write: Callable[[DataFrame, str], None] | None = None) ->
     The grouped changes are read twice (latest sequence, and the amount at it), so they
     are settled first.
     """
-    details = settle(latest_change_per_group_month(w, settle(grouped_changes(w))))
-    replace_table(active_gift_value_by_group(w, details, w.as_of), "active_gift_value_by_group", write)
+    with one_run(w, "older"):
+        details = settle(latest_change_per_group_month(w, settle(grouped_changes(w))))
+        replace_table(active_gift_value_by_group(w, details, w.as_of), "active_gift_value_by_group", write, w.names)

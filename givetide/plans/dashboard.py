@@ -12,7 +12,7 @@ from givetide.operators.fill import fill_missing_fiscal_months
 from givetide.operators.history import rule_history
 from givetide.operators.metrics import monthly_metrics
 from givetide.operators.targets import compare_to_targets, future_targets, long_term_trends, ytd_results
-from givetide.sources.warehouse import Warehouse, replace_table, settle
+from givetide.sources.warehouse import Warehouse, one_run, replace_table, settle
 
 Write = Callable[[DataFrame, str], None]
 
@@ -35,8 +35,9 @@ def run(w: Warehouse, stored_at: dt.datetime, write: Write | None = None) -> Non
     Each intermediate that several steps read is settled once: the rule history, the
     metrics, and the target comparison.
     """
-    metrics = filled_metrics(w)
-    replace_table(event_signups_filled(w, event_signups(w), w.as_of), "event_signups", write)
-    replace_table(pack_sends_filled(w, pack_sends(w), w.as_of), "pack_sends", write)
-    replace_table(ytd_results(working_rows(w, metrics), w.target, w.months, w.as_of), "ytd_results", write)
-    replace_table(long_term_trends(metrics, w.months, stored_at), "long_term_trends", write)
+    with one_run(w, "older"):
+        metrics = filled_metrics(w)
+        replace_table(event_signups_filled(w, event_signups(w), w.as_of), "event_signups", write, w.names)
+        replace_table(pack_sends_filled(w, pack_sends(w), w.as_of), "pack_sends", write, w.names)
+        replace_table(ytd_results(working_rows(w, metrics), w.target, w.months, w.as_of), "ytd_results", write, w.names)
+        replace_table(long_term_trends(metrics, w.months, stored_at), "long_term_trends", write, w.names)

@@ -21,7 +21,7 @@ from givetide.operators.state import (
     unrealistic_gifts,
     without_gifts,
 )
-from givetide.sources.warehouse import Warehouse, replace_table, settle
+from givetide.sources.warehouse import Warehouse, one_run, replace_table, settle
 
 
 def details(w: Warehouse, unwanted: DataFrame | None = None) -> DataFrame:
@@ -41,8 +41,9 @@ def carried_and_lifespans(w: Warehouse) -> tuple[DataFrame, DataFrame]:
 
 def run(w: Warehouse, write: Callable[[DataFrame, str], None] | None = None) -> None:
     """Replace the three file-size tables."""
-    carried, lifespans = carried_and_lifespans(w)
-    replace_table(retention_by_mandate_age(w, settle(retention_long(carried, lifespans))), "retention_by_mandate_age", write)
-    status = settle(giver_status_of(w, carried, lifespans, w.as_of))
-    replace_table(file_size_actuals(status), "file_size_actuals", write)
-    replace_table(crossed_giving(w, status, w.as_of), "crossed_giving", write)
+    with one_run(w, "older"):
+        carried, lifespans = carried_and_lifespans(w)
+        replace_table(retention_by_mandate_age(w, settle(retention_long(carried, lifespans))), "retention_by_mandate_age", write, w.names)
+        status = settle(giver_status_of(w, carried, lifespans, w.as_of))
+        replace_table(file_size_actuals(status), "file_size_actuals", write, w.names)
+        replace_table(crossed_giving(w, status, w.as_of), "crossed_giving", write, w.names)

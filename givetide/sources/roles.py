@@ -453,8 +453,16 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
             "case when c_acctbal < -500 then date_add(date'1996-01-01', c_nationkey * 60) end as deceased_date",
             "date_add(date'1999-06-01', c_nationkey * 40) as date_changed",
             "case when c_mktsegment = 'MACHINERY' and c_nationkey < 15 then 'Faith Groups' else 'Other' end as organisation_type",
+            "concat('Category ', cast(c_nationkey % 3 as string)) as organisation_category",
+            "case when c_nationkey % 4 > 0 then concat('Diocese ', cast(c_nationkey as string)) end as organisation_diocese",
+            "c_name as organisation_name",
         ),
         "constituent_code": constituent_codes,
+        "appeal_send": lambda: orders().selectExpr(
+            f"o_custkey + {NEW_PERSON_ID} as constituent_id",
+            f"concat(lpad(cast(o_orderkey % 20 as string), 2, '0'), '/', {pick(APPEAL_CODES, 'o_orderkey % 6')}) as appeal_identifier",
+            "date_sub(day, cast(o_orderkey % 400 as int)) as appeal_date",
+        ),
         "gift_status_date": status_dates,
         "rg_fact": lambda: orders().selectExpr(
             f"{ORDER_GIFT} as gift_id",

@@ -1,7 +1,7 @@
 """Warehouse tables and the columns read from them.
 
 Each entry maps a role to its warehouse table and lists ``column -> (name here, type)``.
-Table and column names are fixed values: they must match the warehouse. Money is
+A site whose tables or columns have other names gives ``open_warehouse`` a map of them. Money is
 decimal(19,4), a date key is int yyyymmdd, a month is int yyyymm.
 """
 
@@ -143,50 +143,50 @@ TABLES: dict[str, tuple[str, dict[str, tuple[str, str]]]] = {
         "Quantity": ("quantity", "bigint"),
         "ActivitySK_Letter": ("letter_activity_id", "bigint"),
     }),
-    "gift_status_date": ("A_GM_GiftStatusDate", {
+    "gift_status_date": ("GiftStatusDate", {
         "System Record ID": ("gift_system_id", "bigint"),
         "Gift Status": ("status", "string"),
         "Gift Status Date": ("status_date", "date"),
     }),
-    "action_extra": ("A_GM_ActionExtraInfo", {
+    "action_extra": ("ActionExtraInfo", {
         "Action System Record ID": ("action_system_id", "bigint"),
         "Action Date Added": ("date_added", "date"),
     }),
-    "rg_fact": ("A_GM_TBL_RG_Facts", {
+    "rg_fact": ("RegularGiftFacts", {
         "GiftFactID": ("gift_id", "bigint"),
         "First_Installment_Date": ("first_instalment_date", "date"),
         "GiftStatus": ("gift_status", "string"),
         "GiftHasBeenUpgraded": ("has_been_upgraded", "string"),
         "AnnualAmount": ("annual_amount", MONEY),
     }),
-    "cash_gift": ("a_GM_TBL_AllCashGifts", {
+    "cash_gift": ("CashGifts", {
         "GiftFactID": ("gift_id", "bigint"),
         "ConstituentID": ("constituent_id", "bigint"),
         "GiftDate": ("gift_date", "date"),
         "GiftAmount": ("gift_amount", MONEY),
-        "IsDMTOrMajorDonorCashGift?": ("is_counted", "string"),
+        "IsCounted": ("is_counted", "string"),
     }),
-    "rg_income": ("A_GM_REP_YTDSummary_RGPs_PaymentTypeVersion", {
+    "rg_income": ("RegularGiftIncome", {
         "CalendarYearMonth": ("month", "int"),
-        "GM_TIEStyle_CampaignDescriptor": ("descriptor", "string"),
+        "CampaignDescriptor": ("descriptor", "string"),
         "PaymentType": ("payment_type", "string"),
         "BeforeOrAfterApril": ("started", "string"),
         "AmendedThisFYOrNot": ("amended", "string"),
         "GiftCode": ("gift_code", "string"),
         "Value": ("value", MONEY),
     }),
-    "known_descriptor": ("A_GM_Dashboards_KnownDescriptors", {
-        "GM_TIEStyle_CampaignDescriptor": ("descriptor", "string"),
+    "known_descriptor": ("KnownDescriptors", {
+        "CampaignDescriptor": ("descriptor", "string"),
         "DefaultGroupingID": ("default_group", "int"),
         "RuleNumberToApply": ("rule_number", "int"),
     }),
-    "group": ("A_GM_DashBoards_Grouping", {
+    "group": ("ReportingGroups", {
         "ID": ("group_id", "int"),
         "Description": ("description", "string"),
         "FormsPartOf": ("forms_part_of", "int"),
         "Level": ("level", "int"),
     }),
-    "target": ("A_GM_Dashboards_Targets", {
+    "target": ("Targets", {
         "Type": ("type", "string"),
         "CalendarYearMonth": ("month", "int"),
         "ID": ("group_id", "int"),
@@ -195,7 +195,12 @@ TABLES: dict[str, tuple[str, dict[str, tuple[str, str]]]] = {
         "Description": ("description", "string"),
         "Target": ("target", MONEY),
     }),
-    "nonfinancial_target": ("Dashboards_Targets_NonFinancial", {
+    "appeal_send": ("ConstituentAppeals", {
+        "ConstituentID": ("constituent_id", "bigint"),
+        "AppealIdentifier": ("appeal_identifier", "string"),
+        "AppealDate": ("appeal_date", "date"),
+    }),
+    "nonfinancial_target": ("NonFinancialTargets", {
         "Team": ("team", "string"),
         "Target_Category": ("target_category", "string"),
         "Target_Description": ("target_description", "string"),
@@ -210,16 +215,21 @@ NEWER_CONSTITUENT = ("DIM_Constituent", {
     "ConstituentSK": ("constituent_key", "bigint"),
     "KeyIndicator": ("key_indicator", "string"),
     "Organisation_Type": ("organisation_type", "string"),
+    "Organisation_Category": ("organisation_category", "string"),
+    "Organisation_Diocese": ("organisation_diocese", "string"),
+    "Organisation_Name": ("organisation_name", "string"),
 })
 
 # Result tables, fully replaced by each run.
 RESULTS = {
-    "event_signups": "A_GM_DashBoards_EventSignUpsFullerInfo",
-    "pack_sends": "A_GM_DashBoards_PackRequestsFullerInfo",
-    "ytd_results": "A_GM_DASHBOARDS_Results",
-    "long_term_trends": "A_GM_Dashboards_FullResultsForLongTermTrends",
-    "retention_by_mandate_age": "A_GM_Dashboards_RGRetentionByMandateStart",
-    "file_size_actuals": "A_GM_Dashboards_FileSizeActuals",
-    "crossed_giving": "A_GM_Dashboards_FileSizeCrossedGiving",
-    "active_gift_value_by_group": "A_GM_Dashboards_RGFileSizeEndEachMonth",
+    "event_signups": "EventSignUps",
+    "pack_sends": "PackRequests",
+    "ytd_results": "DashboardResults",
+    "long_term_trends": "LongTermTrends",
+    "retention_by_mandate_age": "RetentionByMandateStart",
+    "file_size_actuals": "FileSizeActuals",
+    "crossed_giving": "CrossedGiving",
+    "active_gift_value_by_group": "ActiveGiftsByGroup",
+    "pack_requests_vs_target": "PackRequestsAgainstTarget",
+    "faith_groups_vs_target": "FaithGroupsAgainstTarget",
 }

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,16 @@ from givetide.operators.calendar import month_spine
 from givetide.sources.schemas import NEWER_CONSTITUENT, RESULTS, TABLES
 
 FOLDER = "spark.givetide.folder"
+RUN = "spark.givetide.run"
 
 
 class Warehouse:
     """Tables by role, each read on first use: ``w.gift``, ``w.calendar``, ``w.months`` …"""
 
-    def __init__(self, tables: dict[str, Callable[[], DataFrame]], as_of: dt.date):
+    def __init__(self, tables: dict[str, Callable[[], DataFrame]], as_of: dt.date, names: Mapping[str, str] | None = None, generation: str | None = None):
         self._tables = dict(tables)
+        self.names = dict(names or {})
+        self.generation = generation
         self._open: dict[str, DataFrame] = {}
         self._derived: dict[str, DataFrame] = {}
         self.as_of = as_of
@@ -45,7 +49,12 @@ class Warehouse:
 
     def replace(self, **tables: DataFrame) -> Warehouse:
         """The same warehouse with some roles read from the given frames."""
-        return Warehouse({**self._tables, **{role: (lambda df=df: df) for role, df in tables.items()}}, self.as_of)
+        replaced = {**self._tables, **{role: (lambda df=df: df) for role, df in tables.items()}}
+        return Warehouse(replaced, self.as_of, self.names, self.generation)
+
+    def forget(self) -> None:
+        """Build derived dimensions anew when they are next asked for."""
+        self._derived.clear()
 
 
 def project(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
@@ -81,25 +90,37 @@ def open_warehouse(
     as_of: dt.date,
     read: Callable[[str], DataFrame] | None = None,
     newer: bool = False,
+    names: Mapping[str, str] | None = None,
+    plain_unions: bool = True,
 ) -> Warehouse:
     """Roles over named tables.
 
+    ``names`` maps the table names of ``TABLES`` and ``RESULTS`` to a site's own, which may be qualified with
+    another database, and ``Table.Column`` to the site's column. ``plain_unions`` applies ``guard`` to the session.
+
     ``read`` turns a table name into a DataFrame; by default the session catalog does,
     and a name may be qualified with another database. ``newer`` selects the generation
     keyed by surrogate keys, needed for pack requests and faith groups.
     """
-    guard(spark)
-    read = read or spark.table
+    if plain_unions:
+        guard(spark)
+    names = names or {}
+    read_named, read_default = (lambda table: read_default(names.get(table, table))), read or spark.table
     roles = {**TABLES, **({"constituent": NEWER_CONSTITUENT} if newer else {})}
-    tables = {role: (lambda t=table, c=columns: project(read(t), c)) for role, (table, columns) in roles.items()}
+
+    def own(table: str, columns: dict[str, tuple[str, str]]) -> dict[str, tuple[str, str]]:
+        return {names.get(f"{table}.{column}", column): to for column, to in columns.items()}
+
+    tables = {role: (lambda t=table, c=columns: project(read_named(t), own(t, c))) for role, (table, columns) in roles.items()}
 
     def days() -> DataFrame:
-        table = read("DIM_Date")
+        table = read_named("DIM_Date")
+        table = table.withColumnsRenamed({to: column.split(".")[1] for column, to in names.items() if column.startswith("DIM_Date.")})
         return dates_of(table.withColumnRenamed("DateSK", "DateDimID") if newer else table, as_of)
 
     tables["calendar"] = days
     tables["months"] = lambda: month_spine(days())
-    return Warehouse(tables, as_of)
+    return Warehouse(tables, as_of, names, "newer" if newer else "older")
 
 
 def read_parquet_from(spark: SparkSession, directory: str) -> Callable[[str], DataFrame]:
@@ -119,7 +140,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def run_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/givetide-{spark.sparkContext.applicationId}"
+    """Folder of the run in progress, or of the application outside of runs."""
+    run = spark.conf.get(RUN, None)
+    return f"{shared_folder(spark)}/givetide-{spark.sparkContext.applicationId}" + (f"/run-{run}" if run else "")
+
+
+@contextmanager
+def one_run(w: Warehouse, generation: str) -> Iterator[None]:
+    """A run over tables of one generation, with a folder of its own that is deleted at its end, however it ends."""
+    if w.generation not in (None, generation):
+        raise ValueError(f"this run reads the {generation} tables, but the {w.generation} ones are open")
+    spark = w.calendar.sparkSession
+    before = spark.conf.get(RUN, None)
+    w.forget()
+    spark.conf.set(RUN, uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        release(spark)
+        w.forget()
+        spark.conf.unset(RUN)
+        if before:
+            spark.conf.set(RUN, before)
 
 
 def release(spark: SparkSession) -> None:
@@ -148,9 +190,9 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def replace_table(df: DataFrame, result: str, write: Callable[[DataFrame, str], None] | None = None) -> None:
+def replace_table(df: DataFrame, result: str, write: Callable[[DataFrame, str], None] | None = None, names: Mapping[str, str] | None = None) -> None:
     """Full reload of a result table: created when missing, replaced when present."""
-    name = RESULTS[result]
+    name = (names or {}).get(RESULTS[result], RESULTS[result])
     if write is not None:
         write(df, name)
     else:
