@@ -5,7 +5,7 @@ import pytest
 
 from givetide.llm import jaccard
 from givetide.llm.graph import components
-from tests.llm.cases import documents, edge_rows, prose, syllables, words
+from cases import documents, edge_rows, prose, syllables, words
 
 
 def shingles(text, width):

@@ -9,7 +9,7 @@ import pytest
 
 from givetide.llm import extract, lm, topk
 from givetide.llm.dom import features, parse
-from tests.llm.cases import documents, edge_rows, prose, words
+from cases import documents, edge_rows, prose, words
 
 PAGES = "page_id long, url string, html string, text string, n_chars long"
 

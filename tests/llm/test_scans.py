@@ -4,7 +4,7 @@ import re
 import pytest
 
 from givetide.llm import decontaminate, licenses, quality
-from tests.llm.cases import LOWER, documents, edge_rows, prose, syllables
+from cases import LOWER, documents, edge_rows, prose, syllables
 
 LABELS = "doc_id long, quality int, toxic int"
 

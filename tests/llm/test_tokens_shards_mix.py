@@ -7,7 +7,7 @@ import pytest
 from givetide.llm import mixing, shards, tokens
 from givetide.llm.common import running
 from givetide.sources.warehouse import run_folder
-from tests.llm.cases import documents, edge_rows, prose, words
+from cases import documents, edge_rows, prose, words
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
