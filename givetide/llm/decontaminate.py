@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from givetide.llm.common import STEP, WORD_BYTES, Finder, Words, mixed, pieces
 
 #: Errors allowed per word of an item; bytes of item text that a task holds at a time.
-RATE = 0.2
+RATE = 0.3
 BLOCK_BYTES = 16 << 20
 
 
