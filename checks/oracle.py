@@ -164,7 +164,8 @@ action as (
     {_pick(list(r.ACTION_STATUSES.values()), f"list_position({_list(list(r.ACTION_STATUSES))}, event_type) - 1")} as action_status,
     cast(floor(value) as int) % 25 as action_type_id, {_key('day')} as action_date_key, day as action_date, day - 30 as date_added from act),
 action_attribute as (
-  select event_id as action_id, 'Event Name' as category, case when event_type <> 'click' then 'Event ' || user_id % 7 end as value from events
+  select event_id as action_id, 'Event Name' as category, case when event_type <> 'click' then
+    case when event_id % 5 = 0 then 'EVENT ' else 'Event ' end || user_id % 7 || case when event_id % 3 = 0 then ' ' else '' end end as value from events
   union all select event_id, 'Event Registration Type', 'Team' from events where user_id < 75
   union all select event_id, 'Event Category', 'Peer to peer event' from events where user_id % 4 = 0
   union all select event_id, 'Event Category', 'WaterAid Mass Participation Event' from events where user_id % 4 = 1
@@ -334,7 +335,9 @@ cash_facts as materialized (
 
 SIGNUPS = """
 signups as materialized (
-  select e.calendar_year as event_year, d.month, n.value as event_name, coalesce(rt.value, 'Neither') as registration_type,
+  select event_year, month, min(event_name) over (partition by rtrim(lower(event_name))) as event_name, registration_type, event_type, platform,
+    action_type, event_date_key, signups from (
+  select e.calendar_year as event_year, d.month, min(n.value) as event_name, coalesce(rt.value, 'Neither') as registration_type,
     coalesce(et.value, 'Other') as event_type, coalesce(fp.value, '') as platform, t.action_type, a.action_date_key as event_date_key,
     count(p.constituent_id) as signups
   from action a join action_attribute n on n.action_id = a.action_id and n.category = 'Event Name' and n.value is not null
@@ -345,7 +348,8 @@ signups as materialized (
   left join action_attribute fp on fp.action_id = a.action_id and fp.category = 'Fundraising Platform Used'
   where a.action_status in ('Participating', 'Accepted', 'Participated', 'Pending Approval', 'Day of event')
     and lower(t.action_type) like '%fr event - %'
-  group by all),
+  group by rtrim(lower(n.value)), e.calendar_year, d.month, coalesce(rt.value, 'Neither'), coalesce(et.value, 'Other'), coalesce(fp.value, ''),
+    t.action_type, a.action_date_key)),
 sends as materialized (
   select fiscal_year, month, action_type, constituent_type, count(constituent_id) as sends from (
     select distinct p.constituent_id, d.month, a.action_date_key, d.fiscal_year, t.action_type, k.constituent_type

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from givetide.functions import months as m
@@ -32,11 +32,35 @@ def _past_days(w, date: str, *extra: str) -> DataFrame:
     return days.select(F.col("date").alias(date), F.col("month"), *extra)
 
 
+# Categories of the action attributes that describe a sign-up, and what stands for a missing one.
+EVENT_ATTRIBUTES = {
+    "event_name": ("Event Name", None),
+    "registration_type": ("Event Registration Type", "Neither"),
+    "event_type": ("Event Category", "Other"),
+    "platform": ("Fundraising Platform Used", ""),
+}
+
+
+def _event_attributes(w) -> DataFrame:
+    """Action -> its event name, registration, category and platform, from one reading of the attributes.
+
+    An action with several attributes of a category has a row for each, with every combination of categories. Their
+    number is that of one action's attributes, so gathering them per action is bounded.
+    """
+    category, value = F.col("attribute_category"), F.col("attribute_description")
+    wanted = w.action_attribute.filter(text.one_of(category, [c for c, _ in EVENT_ATTRIBUTES.values()]))
+    lists = [F.collect_list(F.when(text.same(category, c), F.struct(value.alias("value")))).alias(name) for name, (c, _) in EVENT_ATTRIBUTES.items()]
+    found = wanted.groupBy("action_id").agg(*lists)
+    for name, (_, missing) in EVENT_ATTRIBUTES.items():
+        found = found.withColumn(name, F.explode_outer(name)).withColumn(name, F.coalesce(F.col(name)["value"], F.lit(missing)))
+    return found.filter("event_name is not null")
+
+
 def event_signups(w) -> DataFrame:
-    """Sign-ups per event, month added, registration, category, platform and event date."""
-    attribute = lambda category, out: w.action_attribute.filter(
-        text.same(F.col("attribute_category"), category)
-    ).select("action_id", F.col("attribute_description").alias(out))
+    """Sign-ups per event, month added, registration, category, platform and event date.
+
+    Spellings of an event's name that differ in case or trailing blanks only are one event, under the least of them.
+    """
     event_days = w.calendar.select(F.col("date_key").alias("action_date_key"), F.col("calendar_year").alias("event_year"))
     signups = (
         _actions(w, SIGNED_UP, "FR Event - ")
@@ -44,28 +68,13 @@ def event_signups(w) -> DataFrame:
         .join(_past_days(w, "date_added"), "date_added")
         .join(event_days, "action_date_key")
         .join(w.constituent.select("constituent_key", "constituent_id"), "constituent_key")
-        .select("action_id", "constituent_id", "month", "event_year", "action_date_key", "action_type")
+        .select("action_id", "constituent_id", "month", "event_year", F.col("action_date_key").alias("event_date_key"), "action_type")
     )
     keys = ["event_year", "month", "event_name", "registration_type", "event_type", "platform", "action_type", "event_date_key"]
-    return (
-        signups.join(attribute("Event Name", "event_name").filter("event_name is not null"), "action_id")
-        .join(attribute("Event Registration Type", "_registration"), "action_id", "left")
-        .join(attribute("Event Category", "_category"), "action_id", "left")
-        .join(attribute("Fundraising Platform Used", "_platform"), "action_id", "left")
-        .select(
-            "constituent_id",
-            "event_year",
-            "month",
-            "event_name",
-            F.coalesce("_registration", F.lit("Neither")).alias("registration_type"),
-            F.coalesce("_category", F.lit("Other")).alias("event_type"),
-            F.coalesce("_platform", F.lit("")).alias("platform"),
-            "action_type",
-            F.col("action_date_key").alias("event_date_key"),
-        )
-        .groupBy(*keys)
-        .agg(F.count("constituent_id").alias("signups"))
-    )
+    counted = signups.join(_event_attributes(w), "action_id").groupBy(*keys).agg(F.count("constituent_id").alias("n"))
+    # Counts, not sign-ups, meet in the window: at most one row per key.
+    one_name = F.min("event_name").over(Window.partitionBy(text.fold(F.col("event_name"))))
+    return counted.withColumn("event_name", one_name).groupBy(*keys).agg(F.sum("n").alias("signups"))
 
 
 def constituent_types(w, people: DataFrame) -> DataFrame:

@@ -316,7 +316,7 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
             .selectExpr(
                 "event_id as action_id",
                 """stack(4,
-                    'Event Name', case when event_type <> 'click' then concat('Event ', cast(user_id % 7 as string)) end,
+                    'Event Name', case when event_type <> 'click' then concat(if(event_id % 5 = 0, 'EVENT ', 'Event '), cast(user_id % 7 as string), if(event_id % 3 = 0, ' ', '')) end,
                     'Event Registration Type', case when user_id < 75 then 'Team' end,
                     'Event Category', case when user_id % 4 = 0 then 'Peer to peer event'
                         when user_id % 4 = 1 then 'WaterAid Mass Participation Event' end,
