@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from givetide.llm.common import about
 from givetide.llm.dom import Node, features, parse
 from givetide.sources.warehouse import settle
 
-#: Pages whose sentences fill the training pages, training pages, and size of the model.
+#: Pages whose sentences fill the training pages (about), training pages, and size of the model.
 SAMPLE_PAGES = 200
 TRAINING_PAGES = 700
 TREES = 20
@@ -191,18 +192,18 @@ def _flat(node) -> list[tuple[int, float, int, int, float]]:
 
 
 def train(spark: SparkSession, pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", trees: int = TREES, training: int = TRAINING_PAGES) -> Trees:
-    """Fit the node classifier on ``training`` made pages, filled with sentences of ``SAMPLE_PAGES`` pages at most."""
+    """Fit the node classifier on ``training`` made pages, filled with sentences of about ``SAMPLE_PAGES`` pages."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    chosen = pages.filter(F.col(html_col).isNotNull()).orderBy(F.xxhash64(F.col(id_col).cast("string")), F.xxhash64(html_col)).limit(SAMPLE_PAGES)
+    chosen = about(pages.filter(F.col(html_col).isNotNull()), SAMPLE_PAGES, pages.count(), id_col, html_col)
 
     def cut(batches):
         for batch in batches:
             found = sorted({n.text for page in batch.column("page").to_pylist() for n in parse(page) if n.tag == "#text" and 10 < len(n.text) < 400})
             yield pa.RecordBatch.from_pydict({"text": pa.array(found, pa.string())})
 
-    sentences = sorted(r[0] for r in chosen.select(F.col(html_col).cast("string").alias("page")).mapInArrow(cut, "text string").distinct().orderBy("text").limit(5000).collect())
+    sentences = sorted(r[0] for r in chosen.select(F.col(html_col).cast("string").alias("page")).mapInArrow(cut, "text string").distinct().limit(50_000).collect())
 
     def make(batches):
         for batch in batches:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from givetide.llm.common import about
 from givetide.sources.warehouse import settle
 
 #: Vectors in a shard, points in a leaf, and queries that meet a shard in one task.
@@ -126,7 +127,7 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64,
         F.col(id_col).cast("long").alias("vec_id"), F.transform(value, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v")
     )
     n = rows.count()
-    pivots = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(min(MOST_PIVOTS, -(-n // shard) if n else 1)).collect()
+    pivots = sorted(about(rows, min(MOST_PIVOTS, max(1, -(-n // shard))), n, "vec_id").select("vec_id", "v").limit(4 * MOST_PIVOTS).collect())
     by_length: dict[int, list[np.ndarray]] = {}
     for r in pivots:
         by_length.setdefault(len(r["v"]), []).append(np.array(r["v"]))
@@ -145,7 +146,7 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64,
                     p = by_length[length]
                     points = flat[starts[at][:, None] + np.arange(length)]
                     near = ((p**2).sum(axis=1)[None] - 2 * points @ p.T).argmin(axis=1)
-                out[at] = length * MOST_PIVOTS + near
+                out[at] = length * 4 * MOST_PIVOTS + near
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=["vec_id", "v", "place"])
 
     placed = settle(rows.mapInArrow(place, "vec_id long, v array<double>, place long"))
