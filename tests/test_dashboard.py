@@ -70,7 +70,7 @@ def test_history_amounts_frequencies_and_defaults(spark):
     assert got == [
         (1, None, "No", None, 3.0, 999, None, None),
         (2, 4, "Yes", 25.0, -15.0, 999, None, None),
-        (3, 12, "No", 100 / 12, 10 - 100 / 12, 999, None, None),
+        (3, 12, "No", Decimal("8.333333333333333"), Decimal("1.666666666666667"), 999, None, None),
         (4, 4, "Yes", 25.0, -15.0, 999, None, None),
     ]
 
