@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,10 @@ from pyspark.sql import functions as F
 from givetide.sources.warehouse import run_folder, settle
 
 NO_ID = -(1 << 63)
-#: Stems and pieces kept by a worker between batches; beyond that it starts afresh, which changes no result.
-KEPT_PIECES = 600_000
+#: Pieces kept by a worker between batches; beyond that it starts afresh, which changes no result.
+KEPT_PIECES = 900_000
 SHARD_BYTES = 32 << 20
 
-_odd = re.compile(r"\s\s|^\s|\s\Z")
 _tail = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)\Z")
 
 
@@ -41,6 +41,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
 
 
+#: Letters below this are letters in any version of Unicode that a tokenizer may follow.
+OLD_LETTERS = "\u0530"
+
+
+class _Index(dict):
+    """Numbers of pieces; a new one is encoded when it is first asked for."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = self.add(key)
+        return number
+
+
 class Encoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, and remembers what pieces became.
 
@@ -58,67 +73,68 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.stems: dict[str, list[int]] = {}
-        self.pool, self.size, self.starts, self.counts = np.zeros(1 << 20, np.uint32), 0, [], []
+        """Forget all pieces. A piece's ids are pool[ends[number]:ends[number + 1]]."""
+        self.index, self.signs, self.pool, self.ends = _Index(self.add), {}, array("I"), [0]
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def letters_only(self, word: str) -> list[int]:
-        ids = self.stems.get(word)
-        if ids is None:
-            mapped = (" " + word).encode().decode("latin-1").translate(self.letters)
-            ids = self.stems[word] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-        return ids
+    def word(self, word: str) -> list[int]:
+        """A run of letters, or a space and one: what the tokenizer's own cutting leaves as it is."""
+        mapped = word.replace(" ", self.letters[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
 
-    def piece(self, key: str) -> list[int]:
-        """A piece as cut by ``pieces``: a word after a space, a line end with what follows, or the first word."""
-        if key[:1] == "\0":
-            return self.whole(key[1:])
-        if key.isalpha():
-            return self.letters_only(key)
-        if (m := _tail.match(key)) and m[1].isalpha():
-            return self.letters_only(m[1]) + self.letters_only_tail(m[2])
-        return self.whole(key if key[:1] == "\n" else " " + key)
-
-    def letters_only_tail(self, signs: str) -> list[int]:
-        ids = self.stems.get("\0" + signs)
+    def alone(self, signs: str) -> list[int]:
+        ids = self.signs.get(signs)
         if ids is None:
-            ids = self.stems["\0" + signs] = self.whole(signs)
+            ids = self.signs[signs] = self.whole(signs)
         return ids
 
+    def piece(self, key: str) -> list[int] | None:
+        """A piece that is more than letters after a space; none if white space at its ends met other white space."""
+        lead, body = (key[0], key[1:]) if key[:1] in ("\n", "\0") else (" ", key)
+        if not body:
+            return [] if lead == "\0" else None
+        if body[0].isspace() or body[-1].isspace():
+            return None
+        if (m := _tail.match(body)) and m[1].isalpha() and max(m[1]) < OLD_LETTERS:
+            stem = self.index[m[1] if lead == " " else lead + m[1]]
+            return self.pool[self.ends[stem] : self.ends[stem + 1]].tolist() + self.alone(m[2])
+        if lead == " ":
+            return self.whole(lead + body)
+        first = self.word(body) if body.isalpha() and max(body) < OLD_LETTERS else self.whole(body)
+        return self.alone("\n") + first if lead == "\n" else first
+
     def add(self, key: str) -> int:
-        ids = self.piece(key)
-        if self.size + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-        self.pool[self.size : self.size + len(ids)] = ids
-        self.starts.append(self.size)
-        self.counts.append(len(ids))
-        self.size += len(ids)
-        self.index[key] = i = len(self.index)
-        return i
+        """Encode a new piece: a word after a space, a line end with what follows, or the first word after NUL."""
+        ids = self.word(" " + key) if key.isalpha() and max(key) < OLD_LETTERS else self.piece(key)
+        if ids is None:
+            return -1
+        self.pool.extend(ids)
+        self.ends.append(len(self.pool))
+        return len(self.ends) - 2
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > KEPT_PIECES:
             self.clear()
-        out, cut = [], []
+        out, cut, number = [], [], self.index.__getitem__
         for text in texts:
-            if not text or "\0" in text or _odd.search(text) or any(s in text for s in self.special):
+            if not text or "\0" in text or any(s in text for s in self.special):
                 out.append(np.array(self.whole(text) if text else [], np.uint32))
                 continue
             parts = text.replace("\n", " \n").split(" ")
             parts[0] = "\0" + parts[0]
-            got = list(map(self.index.get, parts))
-            if None in got:
-                add, known = self.add, self.index
-                got = [known[k] if k in known else add(k) for k in parts]
+            got = np.fromiter(map(number, parts), np.int64, len(parts))
+            if got.min() < 0 or text[0].isspace():
+                out.append(np.array(self.whole(text), np.uint32))
+                continue
             cut.append(len(out))
-            out.append(np.array(got, np.int64))
-        starts, counts = np.array(self.starts, np.int64), np.array(self.counts, np.int64)
+            out.append(got)
+        pool, ends = np.array(self.pool, np.uint32), np.array(self.ends, np.int64)
         for i in cut:
-            n = counts[out[i]]
-            out[i] = self.pool[np.repeat(starts[out[i]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            begin = ends[out[i]]
+            n = ends[out[i] + 1] - begin
+            out[i] = pool[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         return out
 
 
