@@ -22,6 +22,14 @@ def about(df: DataFrame, most: int, n: int, *key: str) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(max(1, -(-n // most)))) == 0)
 
 
+def forget(settled: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    spark = settled.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in settled.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def in_order(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
     """The rows in a total order over range partitions, settled, with ``part_`` and the position ``pos_`` in it."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

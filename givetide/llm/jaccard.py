@@ -6,10 +6,10 @@ vector of its group counts; the overlap of two sets is at most the sum of the sm
 
 The forest's upper level must spread over a cluster without losing a pair, so it is degenerate boxes: groups are laid
 out in k segments, k above the number of differences, so that two similar sets agree exactly in at least one segment.
-Sets that agree in a segment are linked, and the components of those links are the trees: every similar pair lies
-within one. In each tree an R-tree over the count vectors is joined with itself: pairs of boxes, then pairs of
-points, survive if the sum of coordinate minima reaches the overlap they need, and surviving pairs are verified by
-intersection. Pairs already connected need no verification, so a group of thousands of near copies costs few of those.
+Over the sets that agree in a segment, an R-tree over the count vectors is joined with itself: pairs of boxes, then
+pairs of points, survive if the sum of coordinate minima reaches the overlap they need. The components of surviving
+pairs are few and small; within each, the same join runs once more, and now surviving pairs are verified by
+intersection. Pairs already connected need no second look, so a group of thousands of near copies costs few of those.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from givetide.llm.common import NOT_BLANK, Words, mixed, pieces
+from givetide.llm.common import NOT_BLANK, Words, forget, mixed, pieces
 from givetide.llm.decontaminate import grams
 from givetide.llm.graph import components
 from givetide.sources.warehouse import settle
@@ -31,8 +31,11 @@ from givetide.sources.warehouse import settle
 GROUPS = 64
 LEAF = 32
 BAND = 1.4
-#: Shingles that a task holds of one tree: larger trees are joined chunk by chunk.
-CHUNK = 1_500_000
+#: Shingles that a task holds of one component, and sets that it holds of one segment: larger ones are joined chunk by chunk.
+CHUNK = 1_000_000
+CROWD = 20_000
+#: Candidates that are broadcast to the texts at most (48 bytes each); more of them meet the texts in a shuffled join.
+MOST_BROADCAST = 500_000
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +149,19 @@ class Forest:
         self.parent[max(i, j)] = min(i, j)
 
 
-def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """The least member each set of a tree is connected with, through pairs of similarity num / den or more."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    vectors = np.stack([np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+def count_vectors(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Number of shingles of each set in each group."""
+    n = len(bounds) - 1
+    cell = np.repeat(np.arange(n), np.diff(bounds)) * GROUPS + (sets % np.uint64(GROUPS)).astype(np.int64)
+    return np.bincount(cell, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
+
+
+def linked(sizes: np.ndarray, vectors: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
+    """The least member that each point is connected with, by an R-tree joined with itself.
+
+    Pairs whose bound admits a similarity of num / den are connected; with ``sets``, if their intersection confirms it.
+    """
+    n = len(sizes)
     forest = Forest(n)
     # Leaves hold points of nearly equal size that are close in the coordinate that varies most.
     spread = int(np.argmax(vectors.var(axis=0))) if n > LEAF else 0
@@ -168,10 +179,10 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         survive &= forest.roots(a)[:, None] != forest.roots(b)[None]
         x, y = np.nonzero(survive)
         for i, j in zip(a[x[(o := np.argsort(-bound[x, y], kind="stable"))]].tolist(), b[y[o]].tolist(), strict=True):
-            if forest.root(i) != forest.root(j):
-                shared = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-                if shared * (den + num) >= num * (sizes[i] + sizes[j]):
-                    forest.join(i, j)
+            if forest.root(i) != forest.root(j) and (
+                sets is None or np.intersect1d(sets[i], sets[j], assume_unique=True).size * (den + num) >= num * (sizes[i] + sizes[j])
+            ):
+                forest.join(i, j)
 
     def descend(a: tuple[int, int], b: tuple[int, int]) -> None:
         """Join the leaves of two subtrees, given as ranges of leaves, as long as their boxes may hold a pair."""
@@ -203,6 +214,51 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return forest.roots(np.arange(n))
 
 
+def _crowd_links(num: int, den: int):
+    """Links of the sets that share a segment, from rows sorted by segment and chunk; one bucket of rows at a time."""
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        key, low, high, ids, sizes = [table.column(c).to_numpy() for c in ("key", "low", "high", "set_id", "n")]
+        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.int32).reshape(-1, GROUPS)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        starts = np.flatnonzero(new)
+        bucket = np.cumsum(new) - 1
+        first = starts[bucket]
+        bound = np.minimum(vectors, vectors[first]).sum(axis=1)
+        good = bound * (den + num) >= num * (sizes + sizes[first])
+        out_a, out_b = [ids[first[good & ~new]]], [ids[good & ~new]]
+        # Where all are near the first, they are connected; elsewhere every pair counts.
+        ends = np.append(starts[1:], len(ids))
+        for i in np.flatnonzero((np.bincount(bucket, ~good) > 0) & (ends - starts > 2)).tolist():
+            part = slice(starts[i], ends[i])
+            root = linked(sizes[part], vectors[part], num, den)
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            out_a.append(ids[part][root[moved]])
+            out_b.append(ids[part][moved])
+        return pa.RecordBatch.from_pydict({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    def join(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            last = [batch.column(c)[-1] for c in ("key", "low", "high")]
+            same = np.ones(batch.num_rows, bool)
+            for c, v in zip(("key", "low", "high"), last, strict=True):
+                same &= batch.column(c).to_numpy() == v.as_py()
+            if same.all():
+                continue  # the bucket may go on; its chunks bound it
+            table = pa.Table.from_batches(held)
+            cut = table.num_rows - int(same.sum())
+            yield links(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return join
+
+
 def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", with_root: bool = False) -> DataFrame:
     """(doc_id, text_id, n_shingles, set_id, component_id) of every row; other columns are ignored.
 
@@ -232,16 +288,30 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
                     batch.column("text_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(whole.view(np.int64), mask=sizes == 0),
+                    pa.array([v.tobytes() for v in count_vectors(sets, bounds)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(keys[order].view(np.int64))),
                 ],
-                names=["doc_id", "text_id", "n_shingles", "set_id", "keys"],
+                names=["doc_id", "text_id", "n_shingles", "set_id", "vector", "keys"],
             )
 
-    sketched = settle(rows.mapInArrow(sketch, "doc_id long, text_id long, n_shingles long, set_id long, keys array<long>"))
+    keyed = settle(rows.mapInArrow(sketch, "doc_id long, text_id long, n_shingles long, set_id long, vector binary, keys array<long>"))
+    sketched = settle(keyed.drop("keys"))
     members = sketched.filter("set_id is not null")
-    one = members.dropDuplicates(["set_id"]).select("set_id", F.explode("keys").alias("key"))
-    roots = one.withColumn("root", F.min("set_id").over(Window.partitionBy("key"))).filter("root <> set_id")
-    trees = settle(components(roots.select(F.col("root").alias("a"), F.col("set_id").alias("b"))))
+    one = keyed.filter("set_id is not null").select("set_id", "keys").dropDuplicates(["set_id"]).select("set_id", F.explode("keys").alias("key"))
+    many = settle(one.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("many > 1"))
+    forget(keyed)
+    points = members.select(F.col("set_id").alias("_set"), F.col("n_shingles").alias("n"), "vector").dropDuplicates(["_set"])
+    chunked = many.withColumn("chunks", F.ceil(F.col("many") / CROWD).cast("int"))
+    own = F.pmod(F.xxhash64("set_id", F.lit("crowd")), F.col("chunks")).cast("int")
+    crowds = (
+        chunked.select("key", "set_id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        .select("key", "set_id", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        .join(points, F.col("set_id") == F.col("_set"))
+        .select("key", "low", "high", "set_id", "n", "vector")
+        .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "low", "high")
+        .sortWithinPartitions("key", "low", "high", "set_id")
+    )
+    trees = settle(components(crowds.mapInArrow(_crowd_links(num, den), "a long, b long")))
     joined = components(_links(rows, members, trees, width, num, den))
     of_set = members.groupBy("set_id").agg(F.min("doc_id").alias("least_id"))
     of_set = settle(of_set.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
@@ -263,6 +333,8 @@ def _links(rows: DataFrame, members: DataFrame, trees: DataFrame, width: int, nu
     total = weight.agg(F.sum("total")).first()[0] or 0
     tasks = max(1, -(-total // CHUNK), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (CHUNK // 8))))
     held = held.join(weight, "tree").withColumn("chunks", F.ceil(F.col("total") / CHUNK).cast("int"))
+    if held.count() <= MOST_BROADCAST:
+        held = F.broadcast(held)
     texts = rows.join(held, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_id") == F.col("_text"))).dropDuplicates(["set_id"])
     own = F.pmod(F.xxhash64("set_id", F.lit("chunk")), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
@@ -275,9 +347,12 @@ def _links(rows: DataFrame, members: DataFrame, trees: DataFrame, width: int, nu
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
         for _, tree in frame.groupby(["tree", "low", "high"], sort=False):
-            sets, bounds = shingle_sets(Words(pa.array(tree["text"], pa.string()), NOT_BLANK), width)
-            ids = tree["set_id"].to_numpy()
-            root = linked([sets[bounds[i] : bounds[i + 1]] for i in range(len(ids))], num, den)
+            ids, sets, vectors = tree["set_id"].to_numpy(), [], []
+            for batch in pieces([pa.RecordBatch.from_pydict({"text": pa.array(tree["text"], pa.string())})], "text"):
+                found, bounds = shingle_sets(Words(batch.column("text"), NOT_BLANK), width)
+                sets += [found[bounds[i] : bounds[i + 1]] for i in range(batch.num_rows)]
+                vectors.append(count_vectors(found, bounds))
+            root = linked(np.array([len(x) for x in sets]), np.concatenate(vectors), num, den, sets)
             moved = np.flatnonzero(root != np.arange(len(ids)))
             out_a.append(ids[moved])
             out_b.append(ids[root[moved]])
