@@ -27,8 +27,10 @@ from givetide.llm.decontaminate import grams
 from givetide.llm.graph import components
 from givetide.sources.warehouse import settle
 
-#: Coordinates of a count vector; points in a leaf of an R-tree; growth of the size bands.
+#: Least coordinates of a count vector, and more for a set of more shingles, so that unrelated large sets stay apart;
+#: points in a leaf of an R-tree; growth of the size bands.
 GROUPS = 64
+GROUPS_PER_SHINGLE = 0.16
 LEAF = 32
 BAND = 1.4
 #: Shingles that a task holds of one component, and sets that it holds of one segment: larger ones are joined chunk by chunk.
@@ -149,11 +151,19 @@ class Forest:
         self.parent[max(i, j)] = min(i, j)
 
 
-def count_vectors(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Number of shingles of each set in each group."""
-    n = len(bounds) - 1
-    cell = np.repeat(np.arange(n), np.diff(bounds)) * GROUPS + (sets % np.uint64(GROUPS)).astype(np.int64)
-    return np.bincount(cell, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
+def groups_of(sizes: np.ndarray) -> np.ndarray:
+    """Coordinates of the vectors of sets of these sizes: powers of two, so that vectors fold onto shorter ones."""
+    return np.maximum(GROUPS, 1 << np.ceil(np.log2(np.maximum(sizes, 1) * GROUPS_PER_SHINGLE)).astype(np.int64).clip(0))
+
+
+def count_vector(shingles: np.ndarray, groups: int) -> np.ndarray:
+    """Number of a set's shingles in each group."""
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def folded(vectors: list[bytes], groups: int) -> np.ndarray:
+    """Stored vectors with as many coordinates as the shortest of them."""
+    return np.stack([np.frombuffer(v, np.int32).reshape(-1, groups).sum(axis=0, dtype=np.int32) for v in vectors])
 
 
 def linked(sizes: np.ndarray, vectors: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
@@ -219,19 +229,28 @@ def _crowd_links(num: int, den: int):
 
     def links(table: pa.Table) -> pa.RecordBatch:
         key, low, high, ids, sizes = [table.column(c).to_numpy() for c in ("key", "low", "high", "set_id", "n")]
-        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.int32).reshape(-1, GROUPS)
+        vectors = table.column("vector").to_pylist()
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
         starts = np.flatnonzero(new)
         bucket = np.cumsum(new) - 1
         first = starts[bucket]
-        bound = np.minimum(vectors, vectors[first]).sum(axis=1)
-        good = bound * (den + num) >= num * (sizes + sizes[first])
+        ends = np.append(starts[1:], len(ids))
+        # Each bucket is compared at the coordinates of its shortest vector.
+        shortest = np.minimum.reduceat(groups_of(sizes), starts)
+        good = np.zeros(len(ids), bool)
+        for groups in np.unique(shortest).tolist():
+            of = np.flatnonzero(shortest[bucket] == groups)
+            step = max(1, (1 << 21) // groups)
+            for i in range(0, len(of), step):
+                at = of[i : i + step]
+                heads, place = np.unique(first[at], return_inverse=True)
+                bound = np.minimum(folded([vectors[j] for j in at.tolist()], groups), folded([vectors[j] for j in heads.tolist()], groups)[place]).sum(axis=1)
+                good[at] = bound * (den + num) >= num * (sizes[at] + sizes[first[at]])
         out_a, out_b = [ids[first[good & ~new]]], [ids[good & ~new]]
         # Where all are near the first, they are connected; elsewhere every pair counts.
-        ends = np.append(starts[1:], len(ids))
         for i in np.flatnonzero((np.bincount(bucket, ~good) > 0) & (ends - starts > 2)).tolist():
             part = slice(starts[i], ends[i])
-            root = linked(sizes[part], vectors[part], num, den)
+            root = linked(sizes[part], folded(vectors[part], int(shortest[i])), num, den)
             moved = np.flatnonzero(root != np.arange(len(root)))
             out_a.append(ids[part][root[moved]])
             out_b.append(ids[part][moved])
@@ -288,7 +307,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
                     batch.column("text_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(whole.view(np.int64), mask=sizes == 0),
-                    pa.array([v.tobytes() for v in count_vectors(sets, bounds)], pa.binary()),
+                    pa.array([count_vector(sets[a:b], g).tobytes() for a, b, g in zip(bounds[:-1].tolist(), bounds[1:].tolist(), groups_of(sizes).tolist(), strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(keys[order].view(np.int64))),
                 ],
                 names=["doc_id", "text_id", "n_shingles", "set_id", "vector", "keys"],
@@ -347,12 +366,13 @@ def _links(rows: DataFrame, members: DataFrame, trees: DataFrame, width: int, nu
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
         for _, tree in frame.groupby(["tree", "low", "high"], sort=False):
-            ids, sets, vectors = tree["set_id"].to_numpy(), [], []
+            ids, sets = tree["set_id"].to_numpy(), []
             for batch in pieces([pa.RecordBatch.from_pydict({"text": pa.array(tree["text"], pa.string())})], "text"):
                 found, bounds = shingle_sets(Words(batch.column("text"), NOT_BLANK), width)
                 sets += [found[bounds[i] : bounds[i + 1]] for i in range(batch.num_rows)]
-                vectors.append(count_vectors(found, bounds))
-            root = linked(np.array([len(x) for x in sets]), np.concatenate(vectors), num, den, sets)
+            sizes = np.array([len(x) for x in sets])
+            groups = int(groups_of(sizes).min())
+            root = linked(sizes, np.stack([count_vector(x, groups) for x in sets]), num, den, sets)
             moved = np.flatnonzero(root != np.arange(len(ids)))
             out_a.append(ids[moved])
             out_b.append(ids[root[moved]])
