@@ -117,6 +117,14 @@ def test_language_model_beats_the_base_on_held_out_text(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_do_not_depend_on_how_documents_are_dealt(spark, monkeypatch):
+    rows = [(i, r[1] + " " + r[1] if i % 3 else r[1], *r[2:]) for i, r in enumerate(prose(8, 200))]
+    score = lambda: {r["doc_id"]: r["score"] for r in lm.score_texts(documents(spark, rows)).collect()}
+    whole = score()
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 10_000)
+    assert score() == pytest.approx(whole, rel=1e-6)
+
+
 def test_language_model_of_nothing(spark):
     assert lm.score_texts(documents(spark, [])).count() == 0
 
