@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from givetide.llm import extract, lm, topk
@@ -129,6 +130,17 @@ def test_language_model_of_nothing(spark):
     assert lm.score_texts(documents(spark, [])).count() == 0
 
 
+def bit_counts(*tokens):
+    batch = pa.RecordBatch.from_pydict({"token": pa.array(tokens, pa.binary())})
+    return np.concatenate([np.frombuffer(b["counts"][0].as_py(), np.float32) for b in lm._bit_counts([batch])])
+
+
+def test_all_of_a_long_word_is_learned():
+    long = bytes(range(97, 123)) * 4
+    assert (bit_counts(long) == bit_counts(long[:40], long[40:80], long[80:])).all()
+    assert bit_counts(long).sum() == lm.ORDERS * 8 * (len(long) + 3)
+
+
 def test_spelling_costs_are_those_of_a_distribution():
     counts = np.random.default_rng(2).integers(0, 9, lm.ORDERS << lm.BITS + 1).astype(np.float32)
     mixer = lm.Mixer(counts)
