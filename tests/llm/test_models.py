@@ -141,6 +141,21 @@ def test_all_of_a_long_word_is_learned():
     assert bit_counts(long).sum() == lm.ORDERS * 8 * (len(long) + 3)
 
 
+def test_weights_and_map_are_learned_from_all_training_words(spark, monkeypatch):
+    rows = [(i, f"{r[1]} {'long' * 12}{i} w{i}x", *r[2:]) for i, r in enumerate(prose(9, 60))]
+    seen, learned = [], lm._learned
+    monkeypatch.setattr(lm, "_learned", lambda known, path: seen.append((known, path, learned(known, path))) or seen[0][2])
+    lm.score_texts(documents(spark, rows))
+    known, path, (weights, refined) = seen[0]
+    stretches = [w[a : a + 40] for w, in known.select("token").collect() if bytes(w) != lm.END for a in range(0, len(w), 40)]
+    mixer = lm.Mixer(lm._load_counts(path))
+    mixer.learn(list(map(bytes, stretches)))
+    assert weights == pytest.approx(mixer.weights, abs=1e-4) and refined == pytest.approx(mixer.refined, abs=1e-2)
+    # The map's sums hold every bit of every training word.
+    total = mixer.sums(list(map(bytes, stretches)), True)
+    assert total[: len(total) // 2].sum() == pytest.approx(8 * sum(len(w) + 1 for w in stretches))
+
+
 def test_spelling_costs_are_those_of_a_distribution():
     counts = np.random.default_rng(2).integers(0, 9, lm.ORDERS << lm.BITS + 1).astype(np.float32)
     mixer = lm.Mixer(counts)
