@@ -159,6 +159,20 @@ def test_quality_edge_cases(spark):
     assert quality.score_documents(documents(spark, []), labels).count() == 0
 
 
+def test_quality_tells_junk_in_a_rare_script(spark):
+    rng = random.Random(11)
+    printable = "".join(map(chr, range(33, 127)))
+    cyrillic = "абвгдежзиклмнопрстуфхцчшщыэюя"
+    rows = [(i, " ".join("".join(rng.choice(printable) for _ in range(5)) for _ in range(400)), "en", "a", 0) for i in range(600)]
+    parts = ("при", "ход", "ство", "ние", "вер", "ло", "на", "ка", "ся")
+    rows += [(1000 + i, syllables(rng, 20, parts), "ru", "a", 0) for i in range(400)]
+    junk = [(2000 + i, "".join(c if c == " " else rng.choice(cyrillic) for c in syllables(rng, 20, parts)), "ru", "a", 0) for i in range(40)]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], LABELS)
+    got = {r["doc_id"]: r["rejected"] for r in quality.score_documents(documents(spark, rows + junk), labels).collect()}
+    assert all(got[r[0]] for r in junk)
+    assert sum(got[r[0]] for r in rows) <= len(rows) // 50
+
+
 def test_probabilities_of_a_context_add_up(spark):
     import numpy as np
 
