@@ -42,3 +42,67 @@ scores as (
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scores)
 select query_id, rank, vec_id, score from ranked where rank <= 20
 """
+
+STATEMENTS["op13_repair"] = r"""
+with recursive
+crc_table as (
+  select list(v order by i) as t from (
+    select i, list_reduce(list_prepend(i, [0::bigint for k in range(8)]), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+    from range(256) r(i))),
+keyed as (
+  select conv_id as conv, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key
+  from conversations),
+fated as (
+  select conv, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295, [ascii(c)::bigint for c in string_split(key, '')]),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 as fate
+  from keyed, crc_table),
+damaged as (
+  select conv, turn, case when fate = 4 then 'user' else role end as role,
+    case when fate = 1 then '' when fate = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, copy
+  from fated, range(2) r(copy) where fate <> 0 and (copy = 0 or fate = 3)),
+placed as (
+  select *, row_number() over (partition by conv order by turn nulls first, role, sha256(text), copy) as i, left(role, 1) as initial from damaged),
+faults as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+      when row_number() over (partition by conv, role, text order by i) > 1 then 'duplicate'
+      when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else '' end as fault,
+    lead(initial) over (partition by conv order by i) as following
+  from placed),
+places(q, r, "to") as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+nexts(q, "to", role) as (values (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+inserted(q, stop, audit, added) as (
+  select q, q, '', '' from nexts
+  union all
+  select i.q, n."to", i.audit || 'I', i.added || chr(10) || n.role || ':' from inserted i join nexts n on i.stop = n.q where len(i.audit) < 4),
+edits as (
+  select f.conv, f.i, 'D' as letter, 4 as cost, q, q as "to", '' as line from faults f, nexts
+  union all
+  select f.conv, f.i, 'K', case when fault = 'truncated' then 3 else 0 end, p.q, p."to", chr(10) || f.role || ':' || f.text
+  from faults f join places p on p.r = f.initial where fault not in ('blank', 'duplicate')
+  union all
+  select f.conv, f.i, 'R', case when fault = 'truncated' then 6 else 3 end, n.q, n."to", chr(10) || n.role || ':' || f.text
+  from faults f, nexts n where fault not in ('blank', 'duplicate')),
+runs(conv, i, q, cost, audit, lines) as (
+  select distinct conv, 0::bigint, 0, 0, '', '' from damaged
+  union all
+  select conv, i, q, b.cost, b.audit, b.lines from (
+    select r.conv, e.i, e."to" as q, min({'cost': r.cost + 3 * len(n.audit)::int + e.cost, 'audit': r.audit || n.audit || e.letter, 'lines': r.lines || n.added || e.line}) as b
+    from runs r join inserted n on n.q = r.q join edits e on e.conv is not distinct from r.conv and e.i = r.i + 1 and e.q = n.stop
+    group by r.conv, e.i, e."to")),
+lengths as (select conv, max(i) as n from faults group by conv),
+ended as (
+  select r.conv, min({'cost': r.cost + 3 * len(n.audit)::int, 'audit': r.audit || n.audit, 'lines': r.lines || n.added}) as b
+  from runs r join lengths l on r.conv is not distinct from l.conv and r.i = l.n join inserted n on n.q = r.q where n.stop in (0, 3) group by r.conv),
+counts as (
+  select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (following is not null and initial || following not in ('su', 'ua', 'au')) as illegal
+  from faults group by conv)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(b.cost, 0)::bigint as cost,
+  coalesce(b.audit, '') as audit, sha256(coalesce(substr(b.lines, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counts c on c.conv is not distinct from o.conv_id
+left join ended e on e.conv is not distinct from o.conv_id
+"""

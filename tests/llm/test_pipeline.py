@@ -43,7 +43,7 @@ def test_run_is_the_stages_one_after_another(spark):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 14))
 
 
 def test_nothing_else_imports_the_package():
