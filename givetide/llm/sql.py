@@ -106,3 +106,31 @@ from (select distinct conv_id from conversations) o
 left join counts c on c.conv is not distinct from o.conv_id
 left join ended e on e.conv is not distinct from o.conv_id
 """
+
+STATEMENTS["op12_collocations"] = r"""
+with pieces as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents where text is not null)),
+grams as (select lang, w[i:i + k - 1] as g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from pieces, range(1, 4) r(k))),
+counts as materialized (select lang, lang || chr(10) || array_to_string(g, ' ') as key, any_value(g) as g, count(*)::hugeint as f from grams group by lang, 2),
+totals as (select lang, sum(f) as n from counts where len(g) = 1 group by lang),
+candidates as materialized (select lang, g, f as a from counts where len(g) > 1 and f >= 10),
+parts as materialized (
+  select lang, g, a, k, lang || chr(10) || array_to_string(g[1:k], ' ') as first_part, lang || chr(10) || array_to_string(g[k + 1:], ' ') as rest
+  from candidates, range(1, 3) r(k) where k < len(g)),
+cuts as (
+  select p.*, x.f as l, y.f as r, (1000000 * p.a * p.a) // (x.f * y.f) as score
+  from parts p join counts x on x.key = p.first_part join counts y on y.key = p.rest),
+least_cut as (select lang, g, a, unnest(arg_min({'l': l, 'r': r, 'score': score}, score * 10 + k)) from cuts group by lang, g, a),
+inner_parts as (select lang, unnest([g[1:2], g[2:3]]) as g, a from candidates where len(g) = 3),
+covering as (select lang, g, max(a) as a from inner_parts group by lang, g),
+kept as (
+  select c.* from least_cut c left join covering v on v.lang = c.lang and v.g = c.g
+  where v.a is null or 100 * v.a < 50 * c.a),
+ranked as (
+  select *, array_to_string(g, ' ') as phrase,
+    row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank from kept)
+select r.lang, r.rank, r.phrase, r.a::bigint as a, r.l::bigint as l, r.r::bigint as r, t.n::bigint as n, r.score::bigint as score
+from ranked r join totals t on t.lang = r.lang where r.rank <= 2000
+"""
