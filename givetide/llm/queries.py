@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from givetide.llm import collocations, conversations, decontaminate, extract, jaccard, licenses, lm, mixing, quality, shards, sql, tokens, topk
+from givetide.llm import collocations, conversations, decontaminate, extract, jaccard, licenses, lm, mixing, pii, quality, shards, sql, tokens, topk
 from givetide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,11 @@ def op10_lm_scores(spark, sf_dir):
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_personal_data(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
