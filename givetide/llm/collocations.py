@@ -36,7 +36,7 @@ COVERED = 50
 REPORTED = 2000
 SHARE, SAMPLE_LEAST = 4, 2
 UNKNOWN = "und"
-WINDOW_BYTES = 8 << 20
+WINDOW_BYTES = 2 << 20
 #: A bit table has 32 bits for each word or pair proposed, but at most this many (16 MB).
 MOST_BITS = 27
 
@@ -122,7 +122,7 @@ class Texts:
         self.lang = lang.indices.to_numpy()[doc]
         salts = np.array([hash_word(f"{salt}\0{x}".encode()) for x in self.langs], np.uint64)
         self.hashes = mixed(word_hashes(self.data, self.begins, self.ends) + salts[self.lang]) if len(self.begins) else np.zeros(0, np.uint64)
-        stops = np.zeros(n + 1, np.int64)
+        stops = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)
         np.cumsum(_STOP[self.data], out=stops[1:])
         #: Whether word i + 1 follows word i in the same piece.
         self.follows = (doc[1:] == doc[:-1]) & (stops[self.begins[1:]] == stops[self.ends[:-1]])
