@@ -102,6 +102,15 @@ def sieve_of(members: DataFrame, bits: int, before: DataFrame | None = None) ->
     return settled, (files[0].rsplit("/", 1)[0] if files else "", bits)
 
 
+def _word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Hashes of all words, some thousand at a time, so that the running sums behind them stay short."""
+    found = np.zeros(len(begins), np.uint64)
+    for i in range(0, len(begins), step):
+        b, e = begins[i : i + step], ends[i : i + step]
+        found[i : i + step] = word_hashes(data[b[0] : e[-1]], b - b[0], e - b[0])
+    return found
+
+
 class Texts:
     """The words of a batch of texts: hashes with the language, spellings, and which of them follow directly."""
 
@@ -121,7 +130,7 @@ class Texts:
         self.langs = lang.dictionary.to_pylist()
         self.lang = lang.indices.to_numpy()[doc]
         salts = np.array([hash_word(f"{salt}\0{x}".encode()) for x in self.langs], np.uint64)
-        self.hashes = mixed(word_hashes(self.data, self.begins, self.ends) + salts[self.lang]) if len(self.begins) else np.zeros(0, np.uint64)
+        self.hashes = mixed(_word_hashes(self.data, self.begins, self.ends) + salts[self.lang])
         stops = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)
         np.cumsum(_STOP[self.data], out=stops[1:])
         #: Whether word i + 1 follows word i in the same piece.
