@@ -564,7 +564,7 @@ def statements() -> dict[str, str]:
     wide = hist + WIDE
 
     def sql(prelude: str, select: str) -> str:
-        return f"with {prelude.strip().rstrip(',')} {select}"
+        return f"with {prelude.strip().rstrip(',')}{'' if select[0] == ',' else ' '}{select}"
 
     return {
         "month_spine": sql(base, """select month, calendar_year, month_name, fiscal_year, months_since, is_current_month, is_current_fiscal_year,
@@ -685,6 +685,19 @@ def statements() -> dict[str, str]:
           left join (select appeal_identifier, min(appeal_description) as appeal_description from appeal group by 1) d using (appeal_identifier)"""),
         "fiscal_year_totals": sql(metrics, """select type, fiscal_year, group_id, forms_part_of, level, description, cast(sum(total) as double) as total
             from metrics join (select distinct month, fiscal_year from calendar) using (month) group by all"""),
+        "metrics_by_level": sql(metrics, """, tree as materialized (
+            select group_id, forms_part_of, level, description from groups
+            union all select r_regionkey + 10, r_regionkey % 2 + 2, 7, 'Region ' || r_name from region
+            union all select distinct r_regionkey % 2 + 2, 1, 6, 'Half ' || r_regionkey % 2 from region
+            union all select 1, null, 5, 'Whole'),
+          up as (with recursive u as (select group_id, group_id as ancestor from tree
+            union all select u.group_id, tree.forms_part_of from u join tree on tree.group_id = u.ancestor where tree.forms_part_of is not null) select * from u),
+          raised as (select m.type, m.month, coalesce(up.ancestor, m.group_id) as group_id, m.total,
+              case when coalesce(up.ancestor, m.group_id) is not distinct from m.group_id then m.total end as own
+            from metrics m left join up on up.group_id = m.group_id)
+          select x.type, x.month, cast(x.group_id as int) as group_id, cast(forms_part_of as int) as forms_part_of, level, description,
+            cast(sum(own) as double) as own_total, cast(sum(total) as double) as total
+          from raised x left join tree on tree.group_id = x.group_id group by all"""),
         "pack_requests_vs_target": sql(base, f"""select t.category as target_category, t.what as target_description, t.sub as subcategory,
             d.fiscal_year, t.month, cast(t.n as double) as target_value, count(x.material) as actual_value,
             cast(coalesce(sum(x.quantity), 0) as bigint) as extra_stat_value, 'Sum_IndividualPacksRequested' as extra_stat_description

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from givetide.functions import months as m
-from givetide.operators import actions, calendar, filesize, fill, groups, history, income, metrics, state, targets
+from givetide.operators import actions, calendar, filesize, fill, groups, history, income, metrics, rollup, state, targets
 from givetide.operators.spans import expand_months
 from givetide.plans import dashboard, file_size
 from givetide.sources.roles import AS_OF, warehouse_of
@@ -355,6 +355,11 @@ def last_appeal_attribution(w):
     return history.last_appeal_attribution(w, ["14", "15"])
 
 
+@registered
+def metrics_by_level(w):
+    return rollup.metrics_by_level(_metrics(w), w.group.unionByName(w.upper_group))
+
+
 @registered
 def fiscal_year_totals(w):
     return targets.fiscal_year_totals(settle(_metrics(w)), w.months)

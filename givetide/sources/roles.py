@@ -377,6 +377,20 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
             .selectExpr("group_id", "concat('Group ', cast(group_id as string)) as description", "group_id % regions + 10 as forms_part_of", "8 as level")
         )
 
+    def upper_groups() -> DataFrame:
+        """The levels above the groups: one group a region, two halves, and the whole."""
+        half = "cast(r_regionkey % 2 as int)"
+        return (
+            raw("region")
+            .selectExpr(
+                f"""stack(3,
+                    cast(r_regionkey as int) + 10, 'Region ' || r_name, {half} + 2, 7,
+                    {half} + 2, 'Half ' || cast({half} as string), 1, 6,
+                    1, 'Whole', cast(null as int), 5) as (group_id, description, forms_part_of, level)"""
+            )
+            .distinct()
+        )
+
     def targets() -> DataFrame:
         """Per type and group: a share of the orders one year earlier."""
         return (
@@ -445,6 +459,7 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
         "instalment_frequency": lambda: from_region("frequency_id", "instalments_per_year", INSTALMENTS),
         "known_descriptor": known_descriptors,
         "group": groups,
+        "upper_group": upper_groups,
         "constituent": lambda: raw("customer").selectExpr(
             "c_custkey as constituent_key",
             f"c_custkey + {NEW_PERSON_ID} as constituent_id",
