@@ -566,7 +566,7 @@ def statements() -> dict[str, str]:
     def sql(prelude: str, select: str) -> str:
         return f"with {prelude.strip().rstrip(',')}{'' if select[0] == ',' else ' '}{select}"
 
-    return {
+    found = {
         "month_spine": sql(base, """select month, calendar_year, month_name, fiscal_year, months_since, is_current_month, is_current_fiscal_year,
             min(days_since) as days_since_month_end from calendar where date in (select day from ord union select ship_day from lines) group by all"""),
         "upgrade_appeals": sql(hist, "select appeal_identifier from upgrades"),
@@ -715,3 +715,5 @@ def statements() -> dict[str, str]:
               from ord o join constituent p on p.constituent_key = o.o_custkey where p.key_indicator = 'O' and p.is_faith group by 1) a
               on a.month = t.month where t.what like 'Count of distinct faith%'"""),
     }
+    # A rebuild from a month on must not differ from building all.
+    return found | {"file_size_rebuilt": found["file_size_actuals"], "active_gifts_rebuilt": found["active_gift_value_by_group"]}

@@ -147,16 +147,24 @@ def run_folder(spark: SparkSession) -> str:
 
 @contextmanager
 def one_run(w: Warehouse, generation: str) -> Iterator[None]:
-    """A run over tables of one generation, with a folder of its own that is deleted at its end, however it ends."""
+    """A run over tables of one generation, with a folder of its own that is deleted at its end, however it ends.
+
+    Catalog tables that the run replaces are written aside and exchanged together when the run is through; a run that
+    fails leaves all of them as they were.
+    """
     if w.generation not in (None, generation):
         raise ValueError(f"this run reads the {generation} tables, but the {w.generation} ones are open")
     spark = w.calendar.sparkSession
     before = spark.conf.get(RUN, None)
     w.forget()
-    spark.conf.set(RUN, uuid.uuid4().hex)
+    spark.conf.set(RUN, run := uuid.uuid4().hex)
+    _aside[run] = {}
     try:
         yield
+        exchange_tables(spark, _aside[run])
     finally:
+        for aside in _aside.pop(run).values():
+            spark.sql(f"drop table if exists {aside}")
         release(spark)
         w.forget()
         spark.conf.unset(RUN)
@@ -164,6 +172,33 @@ def one_run(w: Warehouse, generation: str) -> Iterator[None]:
             spark.conf.set(RUN, before)
 
 
+#: Tables that the runs in progress have written aside, by their names.
+_aside: dict[str, dict[str, str]] = {}
+
+
+def _beside(name: str, suffix: str) -> str:
+    """A table name next to another one, which may be qualified and quoted."""
+    return f"{name[:-1]}__{suffix}`" if name.endswith("`") else f"{name}__{suffix}"
+
+
+def exchange_tables(spark: SparkSession, aside: Mapping[str, str]) -> None:
+    """Put each written table in the place of its name, by renaming only; undone if one of them can't be."""
+    former = {name: _beside(name, f"before_{uuid.uuid4().hex[:8]}") for name in aside if spark.catalog.tableExists(name)}
+    done: list[tuple[str, str]] = []
+    try:
+        for name, written in aside.items():
+            steps = [(name, former[name])] if name in former else []
+            for old, new in [*steps, (written, name)]:
+                spark.sql(f"alter table {old} rename to {new}")
+                done.append((old, new))
+    except BaseException:
+        for old, new in reversed(done):
+            spark.sql(f"alter table {new} rename to {old}")
+        raise
+    for name in former.values():
+        spark.sql(f"drop table {name}")
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this application settled; call it once its results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
@@ -191,9 +226,23 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def replace_table(df: DataFrame, result: str, write: Callable[[DataFrame, str], None] | None = None, names: Mapping[str, str] | None = None) -> None:
-    """Full reload of a result table: created when missing, replaced when present."""
+    """Full reload of a result table: created when missing, replaced when present.
+
+    The table is written aside and takes its place when the run that writes it is through; outside of runs, at once.
+    """
     name = (names or {}).get(RESULTS[result], RESULTS[result])
     if write is not None:
         write(df, name)
-    else:
-        df.write.mode("overwrite").saveAsTable(name)
+        return
+    spark = df.sparkSession
+    run = spark.conf.get(RUN, None)
+    aside = {} if run is None else _aside[run]
+    written = _beside(name, f"aside_{run or uuid.uuid4().hex}")
+    try:
+        df.write.saveAsTable(written)
+    except BaseException:
+        spark.sql(f"drop table if exists {written}")
+        raise
+    aside[name] = written
+    if run is None:
+        exchange_tables(spark, aside)
