@@ -83,7 +83,7 @@ def monthly_cash(w) -> DataFrame:
     """Flagged cash per person and month."""
     days = w.calendar.select(F.col("date").alias("gift_date"), "month")
     return (
-        w.cash_gift.filter(text.same(F.col("is_counted"), "Yes"))
+        w.cash_given.filter(text.same(F.col("is_counted"), "Yes"))
         .join(days, "gift_date")
         .groupBy("constituent_id", "month")
         .agg(F.sum("gift_amount").alias("given"))

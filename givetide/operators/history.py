@@ -137,7 +137,7 @@ def regular_gift_changes(w) -> DataFrame:
     This is the history without its dimensions: enough for everything that follows
     amounts through time, at the cost of the two fact joins only.
     """
-    gifts = w.gift.filter(F.col("gift_type_id") == REGULAR_GIFT).select("gift_id", "gift_code_id", *CORE_GIFT_COLUMNS)
+    gifts = w.regular_gift.select("gift_id", "gift_code_id", *CORE_GIFT_COLUMNS)
     persons = w.constituent.select("constituent_key", "constituent_id")
     return w.gift_change.join(gifts, "gift_id").join(persons, "constituent_key")
 
@@ -310,7 +310,7 @@ def last_appeal_attribution(w, prefixes: list[str]) -> DataFrame:
     """
     ended = (
         w.gift_status_date.filter(text.one_of(F.col("status"), ATTRIBUTED_TEXTS) & F.col("status_date").isNotNull())
-        .join(w.gift.filter(F.col("gift_type_id") == REGULAR_GIFT).select("gift_system_id", "gift_id", "constituent_key"), "gift_system_id")
+        .join(w.regular_gift.select("gift_system_id", "gift_id", "constituent_key"), "gift_system_id")
         .join(w.constituent.select("constituent_key", "constituent_id"), "constituent_key")
         .join(w.rg_fact.select("gift_id", "annual_amount"), "gift_id")
         .groupBy("constituent_id")

@@ -128,7 +128,7 @@ def cut_cancelled(w, spans: DataFrame, as_of: dt.date) -> DataFrame:
     )
     ended = w.gift_status.filter(text.one_of(F.col("gift_status"), ENDED_STATUSES)).select("gift_status_id")
     cancelled = (
-        w.gift.filter("gift_type_id = 30")
+        w.regular_gift
         .join(ended, "gift_status_id")
         .join(dated, "gift_system_id", "left")
         .select("gift_id", month.alias("_cancelled"))
@@ -161,7 +161,7 @@ def gift_lifespan(w) -> DataFrame:
     Undated inactive gifts take the month in which the gift was last changed. A held gift
     has no cancellation month but may have a final active month.
     """
-    gifts = w.gift.filter("gift_type_id = 30").select(
+    gifts = w.regular_gift.select(
         "gift_id", "gift_system_id", "constituent_key", "gift_status_id", "gift_date", "changed_date_key"
     )
     days = w.calendar.select(F.col("date"), F.col("month"))

@@ -26,7 +26,7 @@ from givetide.sources.warehouse import Warehouse, one_run, replace_table, settle
 
 def details(w: Warehouse, unwanted: DataFrame | None = None) -> DataFrame:
     """Latest change per gift and month, from the changes alone, without unrealistic gifts."""
-    unwanted = unrealistic_gifts(w, w.gift.filter("gift_type_id = 30")) if unwanted is None else unwanted
+    unwanted = unrealistic_gifts(w, w.regular_gift) if unwanted is None else unwanted
     return without_gifts(latest_state_per_month(w, regular_gift_changes(w)), unwanted)
 
 
@@ -35,7 +35,7 @@ def carried_and_lifespans(w: Warehouse) -> tuple[DataFrame, DataFrame]:
 
     Unrealistic gifts are left out once, before anything is carried forward.
     """
-    unwanted = settle(unrealistic_gifts(w, w.gift.filter("gift_type_id = 30")))
+    unwanted = settle(unrealistic_gifts(w, w.regular_gift))
     return settle(carry_forward_spans(details(w, unwanted), w.as_of)), settle(without_gifts(gift_lifespan(w), unwanted))
 
 

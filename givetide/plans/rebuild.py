@@ -86,7 +86,7 @@ def file_size(w: Warehouse, results: Results, from_month: int | None = None, onl
     """
     before = None if from_month is None else _snapshot(results, OPEN_AMOUNTS, from_month)
     with one_run(w, "older"), results.publish() as write:
-        unwanted = settle(state.unrealistic_gifts(w, w.gift.filter("gift_type_id = 30")))
+        unwanted = settle(state.unrealistic_gifts(w, w.regular_gift))
         carried = settle(carried_from(w, unwanted, from_month, before))
         lifespans = settle(state.without_gifts(state.gift_lifespan(w), unwanted))
 

@@ -12,14 +12,15 @@ from __future__ import annotations
 import datetime as dt
 import functools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from givetide.operators.calendar import calendar, month_spine
 from givetide.operators.groups import ACTIVE_TYPES, CLUBS
 from givetide.operators.history import TEAM_LABELS, descriptor
-from givetide.sources.warehouse import Warehouse, guard
+from givetide.operators.numbering import number_rows
+from givetide.sources.warehouse import Warehouse, guard, settle
 
 AS_OF = dt.date(2001, 9, 15)
 
@@ -104,6 +105,7 @@ LINE_GIFT = f"l_orderkey * {LINES_PER_ORDER}"
 LINE_APPEAL = "cast(l_quantity * 10 + l_linenumber as int)"
 STATUS_ID = """case when o_orderstatus = 'O' then 1 when o_orderstatus = 'P' then 2
     when o_orderpriority = '1-URGENT' then 3 when o_orderpriority = '5-LOW' then 4 else 5 end"""
+STATUS_DATE = "case when o_orderpriority <> '3-MEDIUM' then date_add(day, cast(floor(o_totalprice) % 900 as int)) end"
 CODE_ID = "cast(substring(o_orderpriority, 1, 1) as int) - 2"
 PAYMENT_TYPE_ID = "cast(floor(o_totalprice) % 5 as int) + 1"
 
@@ -112,31 +114,16 @@ PAYMENT_TYPE_ID = "cast(floor(o_totalprice) % 5 as int) + 1"
 _SCHEMAS: dict[str, StructType] = {}
 
 
+LINE_ORDER = [
+    "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus",
+]
+
+
 def numbered_lines(lines: DataFrame) -> DataFrame:
-    """Lines with their sequence within the order, by ship date and then all columns.
-
-    Rows are ranked within (order, day) and shifted by the lines of earlier days, counted
-    per day first. No window holds a whole order's lines, so one very large order is
-    spread over its days.
-    """
-    rows = lines.selectExpr("*", "to_date(l_shipdate) as ship_day")
-    earlier = Window.partitionBy("l_orderkey").orderBy("ship_day").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        rows.groupBy("l_orderkey", "ship_day")
-        .count()
-        .select("l_orderkey", "ship_day", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
-    )
-    within = Window.partitionBy("l_orderkey", "ship_day").orderBy(
-        "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus",
-    )
-    return (
-        rows.withColumn("_nth", F.row_number().over(within))
-        # A left join on a unique key, so that a reader without sequence neither ranks nor joins.
-        .join(before, ["l_orderkey", "ship_day"], "left")
-        .withColumn("sequence", F.expr(f"if(_before + _nth < {LINES_PER_ORDER}, int(_before + _nth), raise_error('an order has too many lines'))"))
-        .drop("_nth", "_before")
-    )
+    """Lines with their sequence within the order, by ship date and then all columns; settled."""
+    days = lines.selectExpr("*", "to_date(l_shipdate) as ship_day")
+    return number_rows(days, "l_orderkey", ["ship_day", *LINE_ORDER], most=LINES_PER_ORDER - 1)
 
 
 def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) -> Warehouse:
@@ -153,21 +140,34 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
     def orders() -> DataFrame:
         return raw("orders").selectExpr("*", "to_date(o_orderdate) as day")
 
-    @functools.cache
+    def with_owners(rows: DataFrame) -> DataFrame:
+        owners = raw("orders").selectExpr("o_orderkey as l_orderkey", "o_custkey", "true as has_order")
+        return rows.join(owners, "l_orderkey", "left")
+
+    def lines() -> DataFrame:
+        """Numbered lines with the customer, NULL without an order; settled once, as several tables are made of them."""
+        return warehouse.settled("lines", lambda: numbered_lines(with_owners(raw("lineitem"))))
+
+    def cash(rows: DataFrame, *ids: str) -> DataFrame:
+        return rows.filter("l_returnflag = 'N'").selectExpr(
+            *ids,
+            f"o_custkey + {NEW_PERSON_ID} as constituent_id",
+            "to_date(l_shipdate) as gift_date",
+            f"{money('l_extendedprice')} as gift_amount",
+            "case when l_linenumber = 5 then 'No' else 'Yes' end as is_counted",
+        )
+
     def owned_lines() -> DataFrame:
-        owners = raw("orders").selectExpr("o_orderkey as l_orderkey", "o_custkey")
-        return numbered_lines(raw("lineitem")).join(owners, "l_orderkey")
+        return lines().filter("has_order")
 
     @functools.cache
     def days() -> DataFrame:
         """The calendar: whole fiscal years around every date that a fact has, and around ``as_of``."""
         spans = [
-            orders().selectExpr("min(day) as first", "max(day) as last"),
             # Targets lie a year after the orders, the gifts' last changes 200 days.
-            orders().selectExpr("min(day) as first", "add_months(max(day), 12) as last"),
+            orders().selectExpr(f"least(min(day), min({STATUS_DATE})) as first", f"greatest(add_months(max(day), 12), max({STATUS_DATE})) as last"),
             raw("lineitem").selectExpr("to_date(min(l_shipdate)) as first", "to_date(max(l_shipdate)) as last"),
             actions().selectExpr("date_sub(min(day), 30) as first", "max(day) as last"),
-            status_dates().selectExpr("min(status_date) as first", "max(status_date) as last"),
         ]
         span = spans[0]
         for other in spans[1:]:
@@ -182,11 +182,11 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
             f"""case when o_orderstatus = 'O' and o_orderpriority = '4-NOT SPECIFIED' then -o_orderkey - 1
                 else o_orderkey + {SYSTEM_ID} end as gift_system_id""",
             f"{pick(GIFT_STATUSES, f'{STATUS_ID} - 1')} as status",
-            "case when o_orderpriority <> '3-MEDIUM' then date_add(day, cast(floor(o_totalprice) % 900 as int)) end as status_date",
+            f"{STATUS_DATE} as status_date",
         )
 
-    def gifts() -> DataFrame:
-        regular = orders().selectExpr(
+    def regular_gifts() -> DataFrame:
+        return orders().selectExpr(
             f"{ORDER_GIFT} as gift_id",
             f"o_orderkey + {SYSTEM_ID} as gift_system_id",
             "o_custkey as constituent_key",
@@ -204,6 +204,8 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
             f"{day_key('date_add(day, 200)')} as changed_date_key",
             f"{money('o_totalprice')} as amount",
         )
+
+    def gifts() -> DataFrame:
         payments = owned_lines().selectExpr(
             f"{LINE_GIFT} + sequence as gift_id",
             "cast(null as bigint) as gift_system_id",
@@ -222,7 +224,7 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
             f"{day_key('ship_day')} as changed_date_key",
             f"{money('l_extendedprice')} as amount",
         )
-        return regular.unionByName(payments)
+        return regular_gifts().unionByName(payments)
 
     def changes() -> DataFrame:
         rate = "(cast(l_discount as decimal(4,2)) - cast(l_tax as decimal(4,2)))"
@@ -274,7 +276,7 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
         )
 
     def gift_attributes() -> DataFrame:
-        return numbered_lines(raw("lineitem")).selectExpr(
+        return lines().selectExpr(
             f"{LINE_GIFT} + sequence as gift_id",
             "case when l_linestatus = 'F' then 'Target Audience' else 'Thank you' end as attribute_category",
             f"case when l_linenumber < 4 then {pick(AUDIENCES, 'l_suppkey % 25')} end as attribute_description",
@@ -435,6 +437,7 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
         "calendar": days,
         "months": lambda: month_spine(days()),
         "gift": gifts,
+        "regular_gift": regular_gifts,
         "gift_change": changes,
         "gift_attribute": gift_attributes,
         "appeal": appeals,
@@ -457,7 +460,7 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
         "gift_status": lambda: from_region("gift_status_id", "gift_status", GIFT_STATUSES, 1),
         "action_status": lambda: from_region("action_status_id", "action_status", list(ACTION_STATUSES.values()), 1),
         "instalment_frequency": lambda: from_region("frequency_id", "instalments_per_year", INSTALMENTS),
-        "known_descriptor": known_descriptors,
+        "known_descriptor": lambda: warehouse.settled("known_descriptor", lambda: settle(known_descriptors())),
         "group": groups,
         "upper_group": upper_groups,
         "constituent": lambda: raw("customer").selectExpr(
@@ -486,15 +489,8 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
             "case when floor(o_totalprice) % 3 = 0 then 'Yes' else 'No' end as has_been_upgraded",
             f"{money('o_totalprice')} as annual_amount",
         ),
-        "cash_gift": lambda: owned_lines()
-        .filter("l_returnflag = 'N'")
-        .selectExpr(
-            f"{LINE_GIFT} + sequence as gift_id",
-            f"o_custkey + {NEW_PERSON_ID} as constituent_id",
-            "ship_day as gift_date",
-            f"{money('l_extendedprice')} as gift_amount",
-            "case when l_linenumber = 5 then 'No' else 'Yes' end as is_counted",
-        ),
+        "cash_gift": lambda: cash(owned_lines(), f"{LINE_GIFT} + sequence as gift_id"),
+        "cash_given": lambda: cash(with_owners(raw("lineitem")).filter("has_order")),
         "rg_income": rg_income,
         "action": lambda: actions().selectExpr(
             "event_id as action_id",
@@ -523,4 +519,5 @@ def warehouse_of(spark: SparkSession, directory: str, as_of: dt.date = AS_OF) ->
         "nonfinancial_target": nonfinancial_targets,
         "target": targets,
     }
-    return Warehouse(tables, as_of)
+    warehouse = Warehouse(tables, as_of)
+    return warehouse

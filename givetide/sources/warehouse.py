@@ -18,6 +18,10 @@ FOLDER = "spark.givetide.folder"
 RUN = "spark.givetide.run"
 
 
+#: Roles that a source may keep apart, and what they are part of.
+PART_OF = {"regular_gift": "gift", "cash_given": "cash_gift"}
+
+
 class Warehouse:
     """Tables by role, each read on first use: ``w.gift``, ``w.calendar``, ``w.months`` …"""
 
@@ -27,11 +31,26 @@ class Warehouse:
         self.generation = generation
         self._open: dict[str, DataFrame] = {}
         self._derived: dict[str, DataFrame] = {}
+        #: What the tables themselves settled, common to all copies made by ``replace``.
+        self._settled: dict[str, DataFrame] = {}
         self.as_of = as_of
 
+    @property
+    def regular_gift(self) -> DataFrame:
+        """The regular gifts; a source that keeps them apart needn't read the others."""
+        return self._table("regular_gift") if "regular_gift" in self._tables else self.gift.filter("gift_type_id = 30")
+
+    @property
+    def cash_given(self) -> DataFrame:
+        """Cash without the ids of its gifts; a source that has to make these up needn't do so here."""
+        return self._table("cash_given") if "cash_given" in self._tables else self.cash_gift.drop("gift_id")
+
     def __getattr__(self, role: str) -> DataFrame:
         if role.startswith("_") or role not in self._tables:
             raise AttributeError(role)
+        return self._table(role)
+
+    def _table(self, role: str) -> DataFrame:
         if role not in self._open:
             self._open[role] = self._tables[role]()
         return self._open[role]
@@ -47,14 +66,25 @@ class Warehouse:
             self._derived[name] = settle(build())
         return self._derived[name]
 
+    def settled(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What several tables of a source are read from, built once for this warehouse and its copies."""
+        if name not in self._settled:
+            self._settled[name] = build()
+        return self._settled[name]
+
     def replace(self, **tables: DataFrame) -> Warehouse:
         """The same warehouse with some roles read from the given frames."""
-        replaced = {**self._tables, **{role: (lambda df=df: df) for role, df in tables.items()}}
-        return Warehouse(replaced, self.as_of, self.names, self.generation)
+        kept = {role: read for role, read in self._tables.items() if PART_OF.get(role) not in tables}
+        copy = Warehouse({**kept, **{role: (lambda df=df: df) for role, df in tables.items()}}, self.as_of, self.names, self.generation)
+        copy._settled = self._settled
+        return copy
 
     def forget(self) -> None:
-        """Build derived dimensions anew when they are next asked for."""
+        """Build everything that was settled anew when it is next asked for."""
         self._derived.clear()
+        if self._settled:
+            self._settled.clear()
+            self._open.clear()
 
 
 def project(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:

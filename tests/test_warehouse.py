@@ -98,13 +98,18 @@ def test_every_status_date_finds_a_month(spark):
     assert dated.join(known, "status_date", "left_anti").count() == 0
 
 
-def test_lines_without_sequence_are_read_once(spark):
-    from givetide.sources.roles import numbered_lines
-
-    lines = numbered_lines(spark.read.parquet(f"{SMALLEST}/lineitem.parquet")).select("l_orderkey", "ship_day")
-    plan = lines._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan
-    assert "Window" not in plan
+def test_lines_without_sequence_are_not_numbered(spark):
+    w = warehouse_of(spark, SMALLEST)
+    assert w.regular_gift.count() > 0
+    assert w.cash_given.count() > 0
+    assert not w._settled
+    assert rows(w.cash_given) == rows(w.cash_gift.drop("gift_id"))
+    assert rows(w.regular_gift, "gift_id") == rows(w.gift.filter("gift_type_id = 30"), "gift_id")
+    assert list(w._settled) == ["lines"]
+    # A copy shares what was settled, but not the parts of a role that it replaces.
+    copy = w.replace(gift=w.gift.limit(0))
+    assert copy._settled is w._settled
+    assert copy.regular_gift.count() == 0
 
 
 def test_result_tables_are_replaced(spark):
