@@ -37,8 +37,8 @@ REPORTED = 2000
 SHARE, SAMPLE_LEAST = 4, 2
 UNKNOWN = "und"
 WINDOW_BYTES = 2 << 20
-#: A bit table has 32 bits for each word or pair proposed, but at most this many (16 MB).
-MOST_BITS = 27
+#: A bit table has 32 bits for each word or pair proposed, but at most this many (8 MB).
+MOST_BITS = 26
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _STOP = np.array([bytes([b]) in (b".", b",", b";", b":", b"!", b"?") or 10 <= b <= 13 for b in range(256)])
@@ -73,14 +73,14 @@ class Sieve:
 _sieves: dict[str, Sieve] = {}
 
 
-def load(sieve: tuple[str, int]) -> Sieve:
-    if not sieve[0]:
-        return Sieve(*sieve)
-    if sieve[0] not in _sieves:
-        if len(_sieves) > 3:
-            _sieves.clear()
-        _sieves[sieve[0]] = Sieve(*sieve)
-    return _sieves[sieve[0]]
+def load(*wanted: tuple[str, int]) -> list[Sieve]:
+    """The bit tables of a task; a worker keeps no others."""
+    for folder in _sieves.keys() - {folder for folder, _ in wanted}:
+        del _sieves[folder]
+    for folder, bits in wanted:
+        if folder not in _sieves:
+            _sieves[folder] = Sieve(folder, bits)
+    return [_sieves[folder] if folder else Sieve(folder, bits) for folder, bits in wanted]
 
 
 def sieve_of(members: DataFrame, bits: int, before: DataFrame | None = None) -> tuple[DataFrame, tuple[str, int]]:
@@ -200,7 +200,7 @@ def _full(docs: DataFrame, salt: int, words, pairs, earlier=None) -> DataFrame:
     """
 
     def count(batches):
-        by_word, by_pair = load(words), load(pairs)
+        by_word, by_pair, *before = load(words, pairs, *(earlier or ()))
         for batch in pieces(batches, "text", WINDOW_BYTES):
             t = Texts(batch, salt)
             if not len(t.hashes):
@@ -218,9 +218,9 @@ def _full(docs: DataFrame, salt: int, words, pairs, earlier=None) -> DataFrame:
             proposed = t.follows & by_pair.has(paired)
             three = proposed[1:] & proposed[:-1]
             if earlier is not None:
-                known = load(earlier[0]).has(distinct)[codes]
+                known = before[0].has(distinct)[codes]
                 two &= ~(known[1:] & known[:-1])
-                proposed = load(earlier[1]).has(paired)
+                proposed = before[1].has(paired)
                 three &= ~(proposed[1:] & proposed[:-1])
             if two.any():
                 yield _pairs(t, codes, distinct, two)
@@ -235,7 +235,7 @@ def _missed(members: DataFrame, sieve: tuple[str, int]) -> DataFrame:
     """Those of the frequent words (a) or pairs (a, b) that weren't proposed: the failures of the border."""
 
     def check(batches):
-        table = load(sieve)
+        (table,) = load(sieve)
         for batch in batches:
             a = batch.column(0).to_numpy().view(np.uint64)
             keys = pair_hashes(a, batch.column(1).to_numpy().view(np.uint64)) if batch.num_columns > 1 else a
