@@ -171,11 +171,13 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64,
 
     kinds = "kind string, shard long, length int, query_id long, vec_id long, score long, centre array<double>, radius double"
     home = settle(placed.groupBy("shard").applyInPandas(at_home, kinds))
-    found = home.filter("kind = 'found'").select("query_id", "vec_id", "score")
+    # A repeated id may ask in several shards; its least vector decides which of them is the query's own.
+    asks = home.filter("kind = 'query'").select("shard", "length", "query_id", F.col("centre").alias("v"))
+    one = settle(asks.groupBy("query_id").agg(F.min(F.struct("v", "shard", "length")).alias("row")))
+    own = one.select(F.col("query_id").alias("_asked"), F.col("row.shard").alias("_home"))
+    found = home.filter("kind = 'found'").join(own, (F.col("query_id") == F.col("_asked")) & (F.col("shard") == F.col("_home"))).select("query_id", "vec_id", "score")
     kth = found.groupBy(F.col("query_id").alias("_query")).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
     kth = kth.select("_query", F.when(F.col("n") >= k, F.col("least").cast("double")).alias("least"))
-    asks = home.filter("kind = 'query'").select("shard", "length", "query_id", F.col("centre").alias("v"))
-    one = asks.groupBy("query_id").agg(F.min(F.struct("v", "shard", "length")).alias("row"))
     asks = one.select("query_id", "row.v", "row.length", F.col("row.shard").alias("home")).join(kth, F.col("query_id") == F.col("_query"), "left")
     balls = settle(home.filter("kind = 'shard'").select("shard", "length", "centre", "radius"))
     balls_path = balls.inputFiles()[0].rsplit("/", 1)[0] if n else ""

@@ -94,6 +94,15 @@ def test_top_k_equals_brute_force(spark, shard):
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 20, 20)
 
 
+@pytest.mark.parametrize("shard", [4096, 60, 20])
+def test_a_repeated_query_id_in_distant_shards(spark, shard):
+    rng = np.random.default_rng(3)
+    rows = [(i + 1, [float(x) for x in rng.normal(0, 0.3, 4) + 5 * (i % 2 * 2 - 1) * np.array([1, 0, 0, 0])]) for i in range(400)]
+    rows += [(1000, [5.0, 0.1, 0.2, 0.3]), (1000, [-5.0, 0.1, 0.2, 0.3])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(frame, k=20, every=20, shard=shard).collect())) == brute_top(rows, 20, 20)
+
+
 def test_top_k_of_nothing(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(frame).count() == 0
