@@ -16,6 +16,8 @@ from givetide.sources.schemas import NEWER_CONSTITUENT, RESULTS, TABLES
 
 FOLDER = "spark.givetide.folder"
 RUN = "spark.givetide.run"
+#: Whether Spark deletes the shuffle files of a query when it ends.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 #: Roles that a source may keep apart, and what they are part of.
@@ -248,11 +250,18 @@ def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
     Used where several later steps read the same expensive result. The written table cuts
-    the lineage, survives lost executors, and keeps column pruning for its readers.
+    the lineage, survives lost executors, and keeps column pruning for its readers. Nothing reads the shuffles behind it
+    again, so their files go as soon as it is written, not when the driver next collects garbage.
     """
-    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def replace_table(df: DataFrame, result: str, write: Callable[[DataFrame, str], None] | None = None, names: Mapping[str, str] | None = None) -> None:
