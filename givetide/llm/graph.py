@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from givetide.llm.common import forget
 from givetide.sources.warehouse import settle
 
 
@@ -14,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round hangs every node's larger neighbours on its least neighbour, then every node and its smaller
     neighbours on the least of those (large star, small star). The table never holds more rows than links and nodes,
     a node of many links is joined and pre-aggregated, never gathered, and the number of rounds grows with the
-    logarithm of the largest component. Every round is settled.
+    logarithm of the largest component. Every round is settled, and what the round before left is deleted.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
@@ -25,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = settle(small.distinct())
+        done, edges = edges, settle(small.distinct())
+        forget(done)
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break

@@ -10,6 +10,8 @@ Over the sets that agree in a segment, an R-tree over the count vectors is joine
 pairs of points, survive if the sum of coordinate minima reaches the overlap they need. The components of surviving
 pairs are few and small; within each, the same join runs once more, and now surviving pairs are verified by
 intersection. Pairs already connected need no second look, so a group of thousands of near copies costs few of those.
+Segments in which the same sets agree are joined once, so two long near copies exchange their vectors once, whatever
+the number of segments that they share.
 """
 
 from __future__ import annotations
@@ -317,7 +319,12 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     sketched = settle(keyed.drop("keys"))
     members = sketched.filter("set_id is not null")
     one = keyed.filter("set_id is not null").select("set_id", "keys").dropDuplicates(["set_id"]).select("set_id", F.explode("keys").alias("key"))
-    many = settle(one.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("many > 1"))
+    # Near copies agree in many segments. Buckets of the same sets, told by their number and the exclusive or of their
+    # hashes, are one bucket from here on; two that share this by chance only meet more sets than they need to.
+    together = Window.partitionBy("key")
+    counted = one.select("set_id", F.count(F.lit(1)).over(together).alias("many"), F.bit_xor(F.xxhash64("set_id")).over(together).alias("same"))
+    crowded = counted.filter("many > 1").select("set_id", "many", F.xxhash64("many", "same").alias("key"))
+    many = settle(crowded.dropDuplicates(["key", "set_id", "many"]))
     forget(keyed)
     points = members.select(F.col("set_id").alias("_set"), F.col("n_shingles").alias("n"), "vector").dropDuplicates(["_set"])
     chunked = many.withColumn("chunks", F.ceil(F.col("many") / CROWD).cast("int"))
@@ -331,6 +338,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
         .sortWithinPartitions("key", "low", "high", "set_id")
     )
     trees = settle(components(crowds.mapInArrow(_crowd_links(num, den), "a long, b long")))
+    forget(many)
     joined = components(_links(rows, members, trees, width, num, den))
     of_set = members.groupBy("set_id").agg(F.min("doc_id").alias("least_id"))
     of_set = settle(of_set.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
