@@ -553,6 +553,30 @@ def _classified(facts: str, case: str, join: str, value: str = "value") -> str:
     {join} (select lower(descriptor) as d, rule_number, default_group from known) k on k.d = lower(f.descriptor)"""
 
 
+def _broken() -> str:
+    """Every rule of the constraint report, one plain select for each."""
+    keys = [("gift", "gift_id"), ("gift_change", "gift_id, sequence"), ("appeal", "appeal_id"), ("package", "package_id"), ("campaign", "campaign_id"),
+            ("calendar", "date_key"), ("appeal", "appeal_identifier"), ("package", "package_identifier"), ("package", "package_description"),
+            ("gift", "constituent_key, gift_date_key")]
+    names = ("appeal_identifier", "package_identifier", "package_description")
+    nulls = [("gift_change", "gift_id"), ("gift_change", "sequence"), ("gift_change", "change_date_key"), ("gift", "appeal_id"), ("gift", "gift_system_id")]
+    refers = [("gift_change", "change_date_key", "calendar", "date_key"), ("gift_change", "appeal_id", "appeal", "appeal_id"),
+              ("gift_change", "package_id", "package", "package_id"), ("gift", "audience_id", "audience", "audience_id")]
+    parts = [
+        f"""select 'unique {t}({k})' as rule, cast(coalesce(sum(n) filter (n > 1), 0) as bigint) as failing_rows, count(*) filter (n > 1) as failing_keys,
+          cast(coalesce(max(n) filter (n > 1), 0) as bigint) as largest, cast(coalesce(sum(n * n), 0) as bigint) as rows_joined
+        from (select count(*) as n from {t} where ({k.replace(", ", " is not null and ")} is not null) group by {f"lower(rtrim({k}))" if k in names else k})"""
+        for t, k in keys
+    ]
+    parts += [f"select 'filled {t}({k})', count(*) filter ({k} is null), null, null, null from {t}" for t, k in nulls]
+    parts += [
+        f"""select 'refers {t}({k}) in {o}({c})', cast(coalesce(sum(n), 0) as bigint), count(*), cast(coalesce(max(n), 0) as bigint), null
+        from (select {k}, count(*) as n from {t} where {k} not in (select {c} from {o}) group by 1)"""
+        for t, k, o, c in refers
+    ]
+    return " union all ".join(parts)
+
+
 def statements() -> dict[str, str]:
     base, hist = ROLES, ROLES + HISTORY
     facts = hist + FACTS
@@ -569,6 +593,7 @@ def statements() -> dict[str, str]:
     found = {
         "month_spine": sql(base, """select month, calendar_year, month_name, fiscal_year, months_since, is_current_month, is_current_fiscal_year,
             min(days_since) as days_since_month_end from calendar where date in (select day from ord union select ship_day from lines) group by all"""),
+        "constraint_report": sql(base, f"select * from ({_broken()})"),
         "upgrade_appeals": sql(hist, "select appeal_identifier from upgrades"),
         "rolling_sms_appeals": sql(base + CASH, "select id as rolling_sms_appeal from rolling"),
         "descriptor": sql(base, f"""select appeal_id, appeal_category, campaign_description,

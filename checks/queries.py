@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from givetide.functions import months as m
-from givetide.operators import actions, calendar, filesize, fill, groups, history, income, metrics, rollup, state, targets
+from givetide.operators import actions, calendar, constraints, filesize, fill, groups, history, income, metrics, rollup, state, targets
 from givetide.operators.spans import expand_months
 from givetide.plans import dashboard, file_size, rebuild
 from givetide.sources.results import Results
@@ -363,6 +363,20 @@ def metrics_by_level(w):
     return rollup.metrics_by_level(_metrics(w), w.group.unionByName(w.upper_group))
 
 
+@registered
+def constraint_report(w):
+    """The needed rules and names, and references and nulls of which some fail here."""
+    some = [
+        constraints.refers("gift_change", "appeal_id", "appeal"),
+        constraints.refers("gift_change", "package_id", "package"),
+        constraints.refers("gift", "audience_id", "audience"),
+        constraints.filled("gift", "appeal_id"),
+        constraints.filled("gift", "gift_system_id"),
+        constraints.unique("gift", "constituent_key", "gift_date_key"),
+    ]
+    return constraints.constraint_report(w, [*constraints.NEEDED, *constraints.NAMES, *some])
+
+
 @registered
 def fiscal_year_totals(w):
     return targets.fiscal_year_totals(settle(_metrics(w)), w.months)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from givetide.operators.constraints import require
 from givetide.operators.filesize import (
     crossed_giving,
     file_size_actuals,
@@ -39,9 +40,11 @@ def carried_and_lifespans(w: Warehouse) -> tuple[DataFrame, DataFrame]:
     return settle(carry_forward_spans(details(w, unwanted), w.as_of)), settle(without_gifts(gift_lifespan(w), unwanted))
 
 
-def run(w: Warehouse, write: Callable[[DataFrame, str], None] | None = None) -> None:
-    """Replace the three file-size tables."""
+def run(w: Warehouse, write: Callable[[DataFrame, str], None] | None = None, check: bool = False) -> None:
+    """Replace the three file-size tables; ``check`` raises an error if the tables break a constraint that the operators need."""
     with one_run(w, "older"):
+        if check:
+            require(w)
         carried, lifespans = carried_and_lifespans(w)
         replace_table(retention_by_mandate_age(w, settle(retention_long(carried, lifespans))), "retention_by_mandate_age", write, w.names)
         status = settle(giver_status_of(w, carried, lifespans, w.as_of))
