@@ -21,6 +21,7 @@ from array import array
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ NO_ID = -(1 << 63)
 #: Pieces kept by a worker between batches; beyond that it starts afresh, which changes no result.
 KEPT_PIECES = 900_000
 SHARD_BYTES = 32 << 20
+#: Text cut at a time, for memory; a longer text is cut alone.
+CUT_BYTES = 8 << 20
 
 _tail = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)\Z")
 
@@ -114,28 +117,42 @@ class Encoder:
         self.ends.append(len(self.pool))
         return len(self.ends) - 2
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Arrow cuts the texts and finds the distinct pieces; only these are looked up."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).cumsum()
+        out, start = [], 0
+        while start < len(texts):
+            before = sizes[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, before + CUT_BYTES, "right")))
+            out += self._cut(texts.slice(start, stop - start).cast(pa.large_string()))
+            start = stop
+        return out
+
+    def _cut(self, texts: pa.Array) -> list[np.ndarray]:
         if len(self.index) > KEPT_PIECES:
             self.clear()
-        out, cut, number = [], [], self.index.__getitem__
-        for text in texts:
-            if not text or "\0" in text or any(s in text for s in self.special):
-                out.append(np.array(self.whole(text) if text else [], np.uint32))
-                continue
-            parts = text.replace("\n", " \n").split(" ")
-            parts[0] = "\0" + parts[0]
-            got = np.fromiter(map(number, parts), np.int64, len(parts))
-            if got.min() < 0 or text[0].isspace():
-                out.append(np.array(self.whole(text), np.uint32))
-                continue
-            cut.append(len(out))
-            out.append(got)
+        entire = pc.match_substring_regex(texts, r"^(\s|\z)")
+        for s in ["\0", *self.special]:
+            entire = pc.or_(entire, pc.match_substring(texts, s))
+        entire = entire.to_numpy(zero_copy_only=False)
+        nul, nothing = pa.scalar("\0", texts.type), pa.scalar("", texts.type)
+        parts = pc.split_pattern(pc.binary_join_element_wise(nul, pc.replace_substring(texts, "\n", " \n"), nothing), " ")
+        first = parts.offsets.to_numpy()
+        pieces = parts.values.dictionary_encode()
+        known = np.fromiter(map(self.index.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(pieces.dictionary))
+        got = known[pieces.indices.to_numpy()]
+        entire |= np.minimum.reduceat(got, first[:-1]) < 0
+        got[got < 0] = 0
         pool, ends = np.array(self.pool, np.uint32), np.array(self.ends, np.int64)
-        for i in cut:
-            begin = ends[out[i]]
-            n = ends[out[i] + 1] - begin
-            out[i] = pool[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        return out
+        begin = ends[got]
+        n = ends[got + 1] - begin
+        past = np.cumsum(n)
+        ids = pool[np.repeat(begin - (past - n), n) + np.arange(past[-1])]
+        cuts = np.concatenate([[0], past])[first]
+        found = [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in np.flatnonzero(entire):
+            found[i] = np.array(self.whole(texts[i].as_py()), np.uint32)
+        return found
 
 
 def open_files(folder: str) -> tuple[fs.FileSystem, str]:
@@ -183,8 +200,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str =
         ids, lengths, names = [], [], []
         task = TaskContext.get()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a in encoder.batch(texts):
+            for a in encoder.batch(batch.column("text")):
                 ids.append(np.append(a, end_id).astype(f"<u{width}").tobytes())
                 lengths.append(len(a) + 1)
             names.append(batch.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False))

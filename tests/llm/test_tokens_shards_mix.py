@@ -2,6 +2,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from givetide.llm import mixing, shards, tokens
@@ -52,14 +53,18 @@ def test_no_documents_no_tokens(spark):
     assert tokens.token_files(documents(spark, []), PATH).count() == 0
 
 
-def test_pieces_are_encoded_as_whole_texts_are(tokenizer):
+def test_pieces_are_encoded_as_whole_texts_are(tokenizer, monkeypatch):
     import random
 
     rng = random.Random(2)
     texts = ["".join(rng.choice(" \n\tab'.éß1!_ 中") for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    texts += ["", " ", "\n", " a", "\u3000a", "a\0b", "a<|endoftext|>b", "x " * 5000, "ab"]
     encoder = tokens.Encoder(PATH)
-    for got, text in zip(encoder.batch(texts), texts, strict=True):
-        assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    for size in (tokens.CUT_BYTES, 100):
+        monkeypatch.setattr(tokens, "CUT_BYTES", size)
+        for got, text in zip(encoder.batch(pa.array(texts)), texts, strict=True):
+            assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encoder.batch(pa.array([], pa.string())) == []
 
 
 def test_shards(spark):
