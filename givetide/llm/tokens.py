@@ -77,7 +77,7 @@ class Encoder:
 
     def clear(self) -> None:
         """Forget all pieces. A piece's ids are pool[ends[number]:ends[number + 1]]."""
-        self.index, self.signs, self.pool, self.ends = _Index(self.add), {}, array("I"), [0]
+        self.index, self.signs, self.pool, self.ends = _Index(self.add), {}, array("I"), array("q", [0])
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
