@@ -590,6 +590,19 @@ def statements() -> dict[str, str]:
     def sql(prelude: str, select: str) -> str:
         return f"with {prelude.strip().rstrip(',')}{'' if select[0] == ',' else ' '}{select}"
 
+    tree = """, tree as materialized (
+        select group_id, forms_part_of, level, description from groups
+        union all select r_regionkey + 10, r_regionkey % 2 + 2, 7, 'Region ' || r_name from region
+        union all select distinct r_regionkey % 2 + 2, 1, 6, 'Half ' || r_regionkey % 2 from region
+        union all select 1, null, 5, 'Whole'),
+      up as (with recursive u as (select group_id, group_id as ancestor from tree
+        union all select u.group_id, tree.forms_part_of from u join tree on tree.group_id = u.ancestor where tree.forms_part_of is not null) select * from u)"""
+    in_force = """select s.month, b.group_id, b.constituent_id, b.gift_id, b.change_annual_amount
+        from spine s join by_group b on b.gift_id = s.gift_id and b.month <= s.month
+        left join (select g.gift_id, case when t.status_date is null then 197912 else d.month end as month from status_date t
+          join gift g on g.gift_system_id = t.gift_system_id left join calendar d on d.date = t.status_date
+          where t.status in ('Terminated', 'Canceled', 'Completed')) c on c.gift_id = b.gift_id
+        where c.month is null or s.month < c.month"""
     found = {
         "month_spine": sql(base, """select month, calendar_year, month_name, fiscal_year, months_since, is_current_month, is_current_fiscal_year,
             min(days_since) as days_since_month_end from calendar where date in (select day from ord union select ship_day from lines) group by all"""),
@@ -685,13 +698,17 @@ def statements() -> dict[str, str]:
         "widened_history": sql(wide, f"""select {HISTORY_OUT}, product, package_category, audience, appeal_type, month, group_id,
             forms_part_of, level, group_description from wide"""),
         "latest_change_per_group_month": sql(wide, "select * replace (cast(change_annual_amount as double) as change_annual_amount) from by_group"),
-        "active_gift_value_by_group": sql(size + WIDE, f"""select s.month, b.group_id, count(distinct b.constituent_id) as givers,
-            count(distinct b.gift_id) as gifts, cast(sum(b.change_annual_amount) as double) as value
-            from spine s join by_group b on b.gift_id = s.gift_id and b.month <= s.month
-            left join (select g.gift_id, case when t.status_date is null then 197912 else d.month end as month from status_date t
-              join gift g on g.gift_system_id = t.gift_system_id left join calendar d on d.date = t.status_date
-              where t.status in ('Terminated', 'Canceled', 'Completed')) c on c.gift_id = b.gift_id
-            where c.month is null or s.month < c.month group by 1, 2"""),
+        "active_gift_value_by_group": sql(size + WIDE, f"""select month, group_id, count(distinct constituent_id) as givers,
+            count(distinct gift_id) as gifts, cast(sum(change_annual_amount) as double) as value from ({in_force}) group by 1, 2"""),
+        "active_gifts_by_level": sql(size + WIDE, f"""{tree}, in_force as materialized ({in_force}),
+          raised as materialized (select f.*, coalesce(up.ancestor, f.group_id) as above from in_force f left join up on up.group_id = f.group_id),
+          summed as (select month, above, sum(n) as givers_summed from (
+            select month, above, group_id, count(distinct constituent_id) as n from raised group by all) group by all)
+          select r.month, cast(r.above as int) as group_id, cast(tree.forms_part_of as int) as forms_part_of, tree.level, tree.description,
+            count(distinct r.constituent_id) as givers, any_value(cast(s.givers_summed as bigint)) as givers_summed, count(distinct r.gift_id) as gifts,
+            cast(sum(r.change_annual_amount) as double) as value
+          from raised r join summed s on s.month = r.month and s.above is not distinct from r.above left join tree on tree.group_id = r.above
+          group by r.month, r.above, tree.forms_part_of, tree.level, tree.description"""),
         "faith_group_payments": sql(base, f"""select o.o_custkey as constituent_key, p.organisation_category, p.organisation_diocese,
             p.organisation_name, {_key('o.day')} as donation_date_key, {_month('o.day')} as month,
             o.o_orderkey as payment_id, cast({_money('o_totalprice')} as double) as amount
@@ -710,13 +727,7 @@ def statements() -> dict[str, str]:
           left join (select appeal_identifier, min(appeal_description) as appeal_description from appeal group by 1) d using (appeal_identifier)"""),
         "fiscal_year_totals": sql(metrics, """select type, fiscal_year, group_id, forms_part_of, level, description, cast(sum(total) as double) as total
             from metrics join (select distinct month, fiscal_year from calendar) using (month) group by all"""),
-        "metrics_by_level": sql(metrics, """, tree as materialized (
-            select group_id, forms_part_of, level, description from groups
-            union all select r_regionkey + 10, r_regionkey % 2 + 2, 7, 'Region ' || r_name from region
-            union all select distinct r_regionkey % 2 + 2, 1, 6, 'Half ' || r_regionkey % 2 from region
-            union all select 1, null, 5, 'Whole'),
-          up as (with recursive u as (select group_id, group_id as ancestor from tree
-            union all select u.group_id, tree.forms_part_of from u join tree on tree.group_id = u.ancestor where tree.forms_part_of is not null) select * from u),
+        "metrics_by_level": sql(metrics, f"""{tree},
           raised as (select m.type, m.month, coalesce(up.ancestor, m.group_id) as group_id, m.total,
               case when coalesce(up.ancestor, m.group_id) is not distinct from m.group_id then m.total end as own
             from metrics m left join up on up.group_id = m.group_id)

@@ -363,6 +363,11 @@ def metrics_by_level(w):
     return rollup.metrics_by_level(_metrics(w), w.group.unionByName(w.upper_group))
 
 
+@registered
+def active_gifts_by_level(w):
+    return rollup.active_gifts_by_level(w, settle(_by_group(w)), w.group.unionByName(w.upper_group), AS_OF)
+
+
 @registered
 def constraint_report(w):
     """The needed rules and names, and references and nulls of which some fail here."""

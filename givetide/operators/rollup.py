@@ -1,11 +1,15 @@
-"""Totals of reporting groups rolled up along the hierarchy they form part of."""
+"""Totals and distinct people of reporting groups rolled up along the hierarchy they form part of."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from givetide.operators.metrics import TOTAL
+from givetide.operators.spans import MONEY, merge_spans, span_totals
+from givetide.operators.state import group_spans, totals_by_group
 from givetide.sources.warehouse import settle
 
 
@@ -53,3 +57,35 @@ def metrics_by_level(metrics: DataFrame, groups: DataFrame) -> DataFrame:
         .join(names, F.col("group_id") == F.col("_id"), "left")
         .select("type", "month", "group_id", "forms_part_of", "level", "description", "own_total", "total")
     )
+
+
+def active_gifts_by_level(w, details: DataFrame, groups: DataFrame, as_of: dt.date) -> DataFrame:
+    """Distinct givers and gifts, and cumulative value, per month and group of every level.
+
+    Someone who gives in several groups counts once in each group above them; ``givers_summed`` is the sum of the distinct
+    givers of the assigned groups, which counts them once in each. The months in which someone gives in a group are merged
+    before they are raised, and again for each group above, so no row per person and month arises; values and summed
+    givers are raised as monthly totals. Groups that aren't listed, and no group, stay by themselves, without a level.
+    """
+    spans = settle(group_spans(w, details, as_of))
+    up = settle(ancestors(groups).select(F.col("group_id").alias("_group"), "ancestor_id"))
+
+    def raised(df: DataFrame) -> DataFrame:
+        found = df.join(up, F.col("group_id") == F.col("_group"), "left")
+        return found.withColumn("group_id", F.coalesce("ancestor_id", "group_id")).drop("_group", "ancestor_id")
+
+    def present(key: str, givers: int, gifts: int) -> DataFrame:
+        keys = [key, "group_id"]
+        merged = merge_spans(raised(merge_spans(spans.select(*keys, "start", "stop"), keys)), keys)
+        return merged.select("group_id", "start", "stop", F.lit(givers).alias("p"), F.lit(gifts).alias("g"))
+
+    distinct = span_totals(present("constituent_id", 1, 0).unionByName(present("gift_id", 0, 1)), ["group_id"], {}, {"givers": "p", "gifts": "g"})
+    summed = raised(totals_by_group(spans)).select("month", "group_id", F.col("givers").alias("givers_summed"), "value")
+    names = groups.select(F.col("group_id").alias("_id"), "forms_part_of", "level", "description").distinct()
+    return (
+        distinct.unionByName(summed, allowMissingColumns=True)
+        .groupBy("month", "group_id")
+        .agg(*[F.sum(c).alias(c) for c in ("givers", "givers_summed", "gifts")], F.sum("value").cast(MONEY).alias("value"))
+        .join(names, F.col("group_id") == F.col("_id"), "left")
+        .select("month", "group_id", "forms_part_of", "level", "description", "givers", "givers_summed", "gifts", "value")
+    )

@@ -244,7 +244,11 @@ def active_gift_value_by_group(w, details: DataFrame, as_of: dt.date) -> DataFra
     Distinct counts need no gift-month rows: the months in which a giver (or gift) is
     present form merged spans, and each merged span adds one from start to stop.
     """
-    spans = group_spans(w, details, as_of)
+    return totals_by_group(group_spans(w, details, as_of))
+
+
+def totals_by_group(spans: DataFrame) -> DataFrame:
+    """Givers, gifts and value per month and group of the spans of :func:`group_spans`."""
     none, one = F.lit(0), F.lit(1)
     value = spans.select("group_id", "start", "stop", F.col("change_annual_amount").alias("v"), none.alias("p"), none.alias("g"))
     people = merge_spans(spans.select("constituent_id", "group_id", "start", "stop"), ["constituent_id", "group_id"])
