@@ -7,13 +7,15 @@ written before the next stage reads it. All but the last return the columns of `
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from givetide.llm import decontaminate, jaccard, mixing, quality, tokens
-from givetide.llm.common import table
+from givetide.llm.common import forget, table
 from givetide.llm.queries import tokenizer_path
-from givetide.sources.warehouse import run_folder
+from givetide.sources.warehouse import RUN, release, run_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +58,35 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@contextmanager
+def inner_tables(spark: SparkSession) -> Iterator[None]:
+    """A folder for what a stage settles, deleted once the stage is written, or has failed."""
+    before = spark.conf.get(RUN, None)
+    spark.conf.set(RUN, uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        release(spark)
+        spark.conf.unset(RUN)
+        if before:
+            spark.conf.set(RUN, before)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{run_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name.split()[0].replace('/', '-')}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    A stage's rows are deleted when the next stage is written, and its inner tables when it is written itself. The token
+    files, in the folder of the run around, and the last stage's rows stay.
+    """
+    docs, home = table(spark, sf_dir, "documents"), f"{run_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for n, (name, stage) in enumerate(STAGES, 1):
+        path, former = f"{home}/{name.split()[0].replace('/', '-')}", docs
+        if n < len(STAGES):
+            with inner_tables(spark):
+                stage(spark, docs, sf_dir).write.parquet(path)
+        else:
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if n > 1:
+            forget(former)
     return docs

@@ -1,5 +1,6 @@
 import subprocess
 import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -36,7 +37,10 @@ def test_stages_keep_the_columns_of_documents(spark):
 def test_run_is_the_stages_one_after_another(spark):
     import corpus_pipeline
 
-    got = corpus_pipeline.run(spark, SMALL).orderBy("start").collect()
+    result = corpus_pipeline.run(spark, SMALL)
+    got = result.orderBy("start").collect()
+    home = Path(result.inputFiles()[0].removeprefix("file://")).parent.parent
+    assert [f.name for f in home.iterdir()] == [corpus_pipeline.STAGES[-1][0].split()[0].replace("/", "-")]
     assert [r["start"] for r in got][1:] == [r["start"] + r["n_tokens"] for r in got][:-1]
     texts = duckdb.sql(f"select doc_id, text from '{SMALL}/documents.parquet'").fetchall()
     assert {r["doc_id"] for r in got} < {i for i, _ in texts}
