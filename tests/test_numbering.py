@@ -1,11 +1,13 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import difference
-from givetide.operators.numbering import number_rows, placed_in_order
-from givetide.sources.roles import LINE_ORDER
+from givetide.operators import numbering
+from givetide.operators.numbering import number_groups, number_rows, placed_in_order
+from givetide.sources.roles import LINE_ORDER, warehouse_of
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -75,3 +77,27 @@ def test_hot_lines_equal_a_window(spark, tmp_path):
         f"select l_orderkey, {', '.join(LINE_ORDER)}, row_number() over (partition by l_orderkey order by {', '.join(LINE_ORDER)}) as sequence from '{tmp_path}/lineitem/*.parquet'"
     ).df()
     assert difference(got, want) is None
+
+
+@pytest.mark.parametrize("gathered", [1_000_000, 60, 0])
+def test_numbers_by_window_and_by_ranges_equal_sorting(spark, gathered):
+    """Small groups are numbered by a window, crowded ones and a crowded null group over ranges."""
+    rng = random.Random(gathered)
+    data = [(rng.choice([None, 1, 1, 1, 2, *range(3, 40)]), rng.randint(0, 5), i) for i in range(900)]
+    df = spark.createDataFrame(data, "g int, v int, id int")
+    got = number_groups(df, "g", ["v", "id"], df.select("g"), gathered=gathered).collect()
+    nth = Counter()
+    want = []
+    for g, v, i in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+        nth[g] += 1
+        want.append((g, v, i, nth[g]))
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+    with pytest.raises(Exception, match="a g has more than 3 rows"):
+        number_groups(df, "g", ["id"], df.select("g"), most=3, gathered=gathered).collect()
+
+
+def test_lines_of_small_orders_need_no_range_partitions(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "number_rows", None)
+    w = warehouse_of(spark, SMALLEST)
+    assert w.gift_change.count() == spark.read.parquet(f"{SMALLEST}/lineitem.parquet").join(
+        spark.read.parquet(f"{SMALLEST}/orders.parquet").selectExpr("o_orderkey as l_orderkey"), "l_orderkey", "left_semi").count()

@@ -9,6 +9,7 @@ from givetide.plans import active_gifts, dashboard, file_size, outreach
 from givetide.sources import warehouse as wh
 from givetide.sources.roles import warehouse_of
 from givetide.sources.schemas import NEWER_CONSTITUENT, TABLES
+from givetide.sources.warehouse import ADVISORY, INITIAL, SHUFFLED, TASK_BYTES, guard
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -149,3 +150,20 @@ def test_runs_write_what_the_queries_return(spark):
     for query, name in {**wh.RESULTS, "event_signups_filled": wh.RESULTS["event_signups"], "pack_sends_filled": wh.RESULTS["pack_sends"]}.items():
         if query not in ("event_signups", "pack_sends"):
             assert difference(results[name], REGISTERED[query](spark, SMALLEST).toPandas()) is None, query
+
+
+def test_a_tasks_share_of_a_shuffle_is_bounded_at_any_size(spark):
+    """Adaptive execution merges up to 64 MB by default, and a fixed number of partitions grows with the input."""
+    kept = {k: spark.conf.get(k, None) for k in (ADVISORY, INITIAL)}
+    try:
+        spark.conf.set(ADVISORY, "64MB")
+        guard(spark, 10 * TASK_BYTES)
+        assert int(spark.conf.get(ADVISORY)) == TASK_BYTES
+        assert int(spark.conf.get(INITIAL)) == 10 * SHUFFLED
+        spark.conf.set(ADVISORY, "8m")
+        guard(spark, 1)
+        assert spark.conf.get(ADVISORY) == "8m"
+        assert spark.conf.get(INITIAL, None) is None
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
