@@ -173,3 +173,22 @@ def test_single_months_merged_equal_a_full_run(spark, tmp_path, run, tables):
         assert len(want) > 100
         assert difference(got, want) is None
     assert merged.publication()[0] == 5
+
+
+def test_the_shuffle_files_of_a_published_table_go_when_it_is_written(spark, results):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    with results.publish() as write:
+        write(spark.range(1000).selectExpr("cast(200101 + id % 3 as int) as month", "id").groupBy("month").count(), "a")
+    assert files() <= before
+
+
+def test_what_no_later_step_reads_is_deleted(spark):
+    kept, done = wh.settle(spark.range(3)), wh.settle(spark.range(5))
+    wh.unsettle(done)
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        done.collect()
