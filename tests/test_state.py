@@ -184,3 +184,11 @@ def test_a_change_under_two_groups_counts_in_each_with_all_its_rows(spark):
 
 def test_undated_cancellations_are_long_ago():
     assert s.LONG_AGO == 197912
+
+
+def test_value_by_group_meets_the_cancellations_once(spark):
+    from givetide.sources.roles import warehouse_of
+
+    w = warehouse_of(spark, "/root/testdata/sf0.001")
+    details = settle(s.latest_change_per_group_month(w, settle(h.grouped_changes(w))))
+    assert "Join" not in s.active_gift_value_by_group(w, details, AS_OF)._jdf.queryExecution().executedPlan().toString()
