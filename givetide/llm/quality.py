@@ -12,20 +12,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from givetide.llm.common import about, bytes_of, pieces
+from givetide.llm.common import bytes_of, pieces
 from givetide.sources.warehouse import settle
 
 ORDER = 4
 CLASSES = 256
-#: Trusted documents that the model is trained on, about at most, the share of labelled ones held out for the limits, and
-#: the quantile of their perplexity that is the limit.
-MOST_TRUSTED = 20_000
+#: One in so many trusted documents is held out for the limits, and the quantile of their perplexity that is the limit.
 HELD_OUT = 5
 QUANTILE = 0.999
 #: Bytes of average trusted text that a short document's perplexity is drawn towards; held-out documents needed for
 #: a limit of a language's own.
 PRIOR_BYTES = 40
 LEAST_HELD_OUT = 50
+#: Distinct grams that a task holds before it hands their counts on.
+MOST_HELD = 1 << 21
 
 
 def coded(column, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,17 +62,31 @@ def byte_classes(texts: DataFrame) -> np.ndarray:
 
 
 def gram_counts(texts: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(gram, n) of trusted text: counted in each task, then added up by gram."""
+    """(gram, n) of trusted text: counted in each task, then added up by gram.
+
+    New counts are merged into those held once they are as many, so a task's work is in proportion to its text.
+    """
+
+    def merged(counts):
+        gram, place = np.unique(np.concatenate([g for g, _ in counts]), return_inverse=True)
+        return gram, np.bincount(place, np.concatenate([n for _, n in counts]), len(gram)).astype(np.int64)
+
+    def handed_on(gram, total):
+        for i in range(0, len(gram), 100_000):
+            yield pa.RecordBatch.from_pydict({"gram": gram[i : i + 100_000].astype(np.int64), "n": total[i : i + 100_000]})
 
     def count(batches):
-        gram, total = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        held, waiting = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))], 0
         for batch in pieces(batches, "text"):
             padded, at, _ = coded(batch.column("text"), classes)
-            new, n = np.unique(gram_index(padded, at), return_counts=True)
-            gram, place = np.unique(np.concatenate([gram, new]), return_inverse=True)
-            total = np.bincount(place, np.concatenate([total, n]), len(gram)).astype(np.int64)
-        for i in range(0, len(gram), 100_000):
-            yield pa.RecordBatch.from_pydict({"gram": gram[i : i + 100_000].astype(np.int64), "n": total[i : i + 100_000]})
+            held.append(np.unique(gram_index(padded, at), return_counts=True))
+            waiting += len(held[-1][0])
+            if waiting > len(held[0][0]):
+                held, waiting = [merged(held)], 0
+                if len(held[0][0]) > MOST_HELD:
+                    yield from handed_on(*held[0])
+                    held = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        yield from handed_on(*merged(held))
 
     return texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -160,8 +174,8 @@ def _model(path: str) -> Model:
     return _models[path]
 
 
-def trusted_ids(labels: DataFrame, most: int = MOST_TRUSTED) -> tuple[DataFrame, DataFrame]:
-    """Ids of trusted documents for training, about ``most`` of them or fewer, and those held out. Trusted: good and not toxic."""
+def trusted_ids(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids of the trusted documents for training, and of those held out. Trusted: good and not toxic."""
     good = (
         labels.filter("doc_id is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -171,16 +185,15 @@ def trusted_ids(labels: DataFrame, most: int = MOST_TRUSTED) -> tuple[DataFrame,
     )
     good = settle(good)
     held = F.pmod("fold", F.lit(HELD_OUT)) == 0
-    train = good.filter(~held)
-    return about(train, most, train.count(), "doc_id").select("doc_id"), good.filter(held).select("doc_id")
+    return good.filter(~held).select("doc_id"), good.filter(held).select("doc_id")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                    most: int = MOST_TRUSTED, quantile: float = QUANTILE) -> DataFrame:
+                    quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, limit, rejected) of every document row.
 
-    The model is trained on documents labelled good and not toxic: about ``most`` of them at most, chosen by hash of the
-    id, one in ``HELD_OUT`` left out. Perplexity is per byte of the whole text. A language's limit is the given
+    The model is trained on all documents labelled good and not toxic but one in ``HELD_OUT``, chosen by hash of the
+    id. Perplexity is per byte of the whole text. A language's limit is the given
     quantile of all held-out trusted documents of that language; languages with fewer than ``LEAST_HELD_OUT`` of those share the limit of
     all. Short texts prove little, so ``PRIOR_BYTES`` bytes of average trusted text are added to each before it is compared.
 
@@ -189,14 +202,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     Labels with null or unknown ids are ignored; repeated labels count as the worst of them.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    scored, limits = _scored(rows, labels, most, quantile)
+    scored, limits = _scored(rows, labels, quantile)
     return _limited(scored, limits).select("doc_id", "lang", "n_bytes", "perplexity", "limit", "rejected")
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, *, most: int = MOST_TRUSTED, quantile: float = QUANTILE) -> DataFrame:
+def keep_documents(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE) -> DataFrame:
     """The rows of ``documents`` that are not rejected, with their columns."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    _, limits, path, classes = _fitted(rows, labels, most, quantile, only_held=True)
+    _, limits, path, classes = _fitted(rows, labels, quantile, only_held=True)
     if limits is None:
         return docs
     own, of_all, mean = limits
@@ -224,11 +237,10 @@ def _bits(path: str, classes: np.ndarray):
     return bits
 
 
-def _fitted(rows: DataFrame, labels: DataFrame, most: int, quantile: float, only_held: bool = False):
+def _fitted(rows: DataFrame, labels: DataFrame, quantile: float, only_held: bool = False):
     """Scores, limits, model and classes; with ``only_held`` scores of the trusted documents held out, which set the limits."""
-    train, held = trusted_ids(labels, most)
-    train = settle(train)
-    texts = rows.join(F.broadcast(train), "doc_id", "left_semi").select("text")  # about ``most`` ids at most
+    train, held = trusted_ids(labels)
+    texts = rows.join(train, "doc_id", "left_semi").select("text")
     if train.isEmpty():
         return rows.select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("bits")), None, None, None
     classes = byte_classes(texts)
@@ -258,8 +270,8 @@ def _fitted(rows: DataFrame, labels: DataFrame, most: int, quantile: float, only
     return scored, (own, of_all, mean), path, classes
 
 
-def _scored(rows: DataFrame, labels: DataFrame, most: int, quantile: float):
-    scored, limits, _, _ = _fitted(rows, labels, most, quantile)
+def _scored(rows: DataFrame, labels: DataFrame, quantile: float):
+    scored, limits, _, _ = _fitted(rows, labels, quantile)
     return scored, limits
 
 

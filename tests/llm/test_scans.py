@@ -1,6 +1,8 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from givetide.llm import decontaminate, licenses, quality
@@ -182,3 +184,24 @@ def test_probabilities_of_a_context_add_up(spark):
     bits = quality.dense(*[model[c].to_numpy() for c in ("order", "gram", "share", "gamma")]).astype(np.float64)
     sums = np.exp2(-bits).reshape(-1, quality.CLASSES).sum(axis=1)
     assert np.allclose(sums, 1, atol=0.02)
+
+
+def test_quality_trains_on_every_trusted_document(spark):
+    labels = spark.range(30_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    train, held = quality.trusted_ids(labels)
+    assert train.unionByName(held).distinct().count() == 30_000
+    assert train.count() > 23_000
+
+
+def test_gram_counts_handed_on_in_parts_add_up(spark, monkeypatch):
+    texts = [r[1] for r in prose(8, 60) if r[1]]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    classes = np.arange(256, dtype=np.uint32)
+    whole = {r["gram"]: r["n"] for r in quality.gram_counts(frame, classes).collect()}
+    want = Counter()
+    for t in texts:
+        padded = b"\n" * 3 + t.encode()
+        want.update(int.from_bytes(padded[i - 3 : i + 1], "big") for i in range(3, len(padded)))
+    assert whole == want
+    monkeypatch.setattr(quality, "MOST_HELD", 50)
+    assert {r["gram"]: r["n"] for r in quality.gram_counts(frame, classes).collect()} == want
