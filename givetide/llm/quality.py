@@ -240,9 +240,10 @@ def _bits(path: str, classes: np.ndarray):
 def _fitted(rows: DataFrame, labels: DataFrame, quantile: float, only_held: bool = False):
     """Scores, limits, model and classes; with ``only_held`` scores of the trusted documents held out, which set the limits."""
     train, held = trusted_ids(labels)
-    texts = rows.join(train, "doc_id", "left_semi").select("text")
     if train.isEmpty():
         return rows.select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("bits")), None, None, None
+    # Read twice: settled, so that texts are shuffled once and their shuffle files go before the model is built.
+    texts = settle(rows.join(train, "doc_id", "left_semi").select("text"))
     classes = byte_classes(texts)
     model = kneser_ney(gram_counts(texts, classes)).repartition(16, "gram")
     from givetide.sources.warehouse import run_folder
