@@ -9,7 +9,7 @@ from givetide.plans import active_gifts, dashboard, file_size, outreach
 from givetide.sources import warehouse as wh
 from givetide.sources.roles import warehouse_of
 from givetide.sources.schemas import NEWER_CONSTITUENT, TABLES
-from givetide.sources.warehouse import ADVISORY, INITIAL, SHUFFLED, TASK_BYTES, guard
+from givetide.sources.warehouse import ADVISORY, INITIAL, SCAN, SCAN_BYTES, SHUFFLED, TASK_BYTES, guard
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -167,3 +167,17 @@ def test_a_tasks_share_of_a_shuffle_is_bounded_at_any_size(spark):
     finally:
         for k, v in kept.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_tasks_share_of_files_is_bounded_at_any_size(spark):
+    """Spark reads up to 128 MB in a task by default, and what that task sorts before a shuffle grows with it."""
+    before = spark.conf.get(SCAN)
+    try:
+        spark.conf.set(SCAN, "128MB")
+        guard(spark)
+        assert int(spark.conf.get(SCAN)) == SCAN_BYTES
+        spark.conf.set(SCAN, "1m")
+        guard(spark)
+        assert spark.conf.get(SCAN) == "1m"
+    finally:
+        spark.conf.set(SCAN, before)
