@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from givetide.llm.collocations import load, sieve_of
 from givetide.llm.common import bytes_of, pieces
 from givetide.sources.warehouse import settle
 
@@ -26,6 +27,8 @@ PRIOR_BYTES = 40
 LEAST_HELD_OUT = 50
 #: Distinct grams that a task holds before it hands their counts on.
 MOST_HELD = 1 << 21
+#: Bits of the table of wanted ids (8 MB), of which a row has one.
+ID_BITS = 26
 
 
 def coded(column, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,6 +191,26 @@ def trusted_ids(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.filter(~held).select("doc_id"), good.filter(held).select("doc_id")
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``doc_id`` is among the distinct ``ids``.
+
+    Rows that a bit table of the ids rules out never leave their task, so about the wanted texts are shuffled, and not all.
+    The join settles the rest exactly. It is never a broadcast: the ids grow with the documents, and a plan that changes with
+    their number says nothing of larger ones.
+    """
+    hashes = ids.select(F.xxhash64("doc_id").alias("a"))
+    _, table = sieve_of(hashes, ID_BITS)
+
+    def sift(batches):
+        [sieve] = load(table)
+        for batch in batches:
+            found = sieve.has(batch.column("_hash").to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(found)).drop_columns(["_hash"])
+
+    hashed = rows.filter("doc_id is not null").withColumn("_hash", F.xxhash64("doc_id"))
+    return hashed.mapInArrow(sift, rows.schema).join(ids.hint("merge"), "doc_id", "left_semi")
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                     quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, limit, rejected) of every document row.
@@ -243,7 +266,7 @@ def _fitted(rows: DataFrame, labels: DataFrame, quantile: float, only_held: bool
     if train.isEmpty():
         return rows.select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("bits")), None, None, None
     # Read twice: settled, so that texts are shuffled once and their shuffle files go before the model is built.
-    texts = settle(rows.join(train, "doc_id", "left_semi").select("text"))
+    texts = settle(only(rows.select("doc_id", "text"), train).select("text"))
     classes = byte_classes(texts)
     model = kneser_ney(gram_counts(texts, classes)).repartition(16, "gram")
     from givetide.sources.warehouse import run_folder
@@ -258,7 +281,7 @@ def _fitted(rows: DataFrame, labels: DataFrame, quantile: float, only_held: bool
             n, total = bits(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(n), pa.array(total)], names=["doc_id", "lang", "n_bytes", "bits"])
 
-    asked = rows.join(held, "doc_id", "left_semi") if only_held else rows
+    asked = only(rows, held) if only_held else rows
     scored = settle(asked.mapInArrow(score, "doc_id long, lang string, n_bytes long, bits double"))
     trusted = scored.filter("n_bytes > 0") if only_held else settle(scored.filter("n_bytes > 0").join(held, "doc_id", "left_semi"))
     mean = trusted.agg(F.sum("bits") / F.sum("n_bytes")).first()[0]

@@ -193,6 +193,23 @@ def test_quality_trains_on_every_trusted_document(spark):
     assert train.count() > 23_000
 
 
+def test_only_wanted_texts_leave_their_task(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("if(id % 50 = 7, null, id % 2000) as doc_id", "repeat(string(id), 9) as text")
+    ids = spark.range(0, 6000, 40).selectExpr("id as doc_id")
+    want = sorted(map(tuple, rows.join(ids, "doc_id", "left_semi").collect()))
+    found = quality.only(rows, ids)
+    assert sorted(map(tuple, found.collect())) == want and found.columns == rows.columns
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    sifted, semi = [], type(rows).join
+    monkeypatch.setattr(type(rows), "join", lambda self, *a, **k: sifted.append(self) or semi(self, *a, **k))
+    quality.only(rows, ids)
+    assert sifted[0].count() < len(want) * 1.1
+    # A table that is too small only lets more rows through to the join.
+    monkeypatch.setattr(quality, "ID_BITS", 6)
+    assert sorted(map(tuple, quality.only(rows, ids).collect())) == want
+    assert quality.only(rows, ids.limit(0)).count() == 0
+
+
 def test_gram_counts_handed_on_in_parts_add_up(spark, monkeypatch):
     texts = [r[1] for r in prose(8, 60) if r[1]]
     frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
