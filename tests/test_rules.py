@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from givetide.functions.rules import begins, first_match, is_, number, rule
 from givetide.operators.groups import classify_cash, classify_event, classify_pack, classify_regular, classify_rg_income
 
 RULES = [(f"d{n}", 40 + n, n) for n in (0, 4, 5, 6, 7, 17, 20, 21, 22, 23, 24, 26, 99)] + [
@@ -179,3 +180,46 @@ def test_event_and_pack_arms(spark):
     packs = spark.createDataFrame([("School",), ("Faith Group",), ("Neither",)], "constituent_type string")
     rows = classify_pack(packs).orderBy(F.col("group_id")).collect()
     assert [(r.group_id, r.forms_part_of, r.level) for r in rows] == [(28, 14, 8), (29, 14, 8), (31, 14, 8)]
+
+
+def test_the_wide_rules_are_small_enough_for_the_jvm_to_compile(spark):
+    """HotSpot interprets methods of over 8,000 bytes, however often they run."""
+    import re
+
+    from givetide.operators.history import grouped_changes
+    from givetide.sources.roles import warehouse_of
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = grouped_changes(warehouse_of(spark, "/root/testdata/sf0.001"))._jdf.queryExecution()
+        code = spark._jvm.PythonSQLUtils.explainString(plan, "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_numbered_values_and_shared_tests_read_like_plain_ones(spark):
+    rules = [
+        rule(1, a=is_("One", "two"), b=begins("x")),
+        rule(2, a=is_("TWO"), n=number(0, 3)),
+        rule(3, b=begins("x"), n=number(-1)),
+        rule("n", a=is_("it's")),
+    ]
+    values = [(a, b, n) for a in ("one", "TWO  ", " two", "It's", "other", "", None) for b in ("Xy", "y", None) for n in (-2, -1, 0, 3, 4, None)]
+    df = spark.createDataFrame(values, "a string, b string, n int")
+
+    def want(a, b, n):
+        a, x = None if a is None else a.lower().rstrip(" "), b is not None and b.lower().startswith("x")
+        if a in ("one", "two") and x:
+            return 1
+        if a == "two" and n in (0, 3):
+            return 2
+        if x and n == -1:
+            return 3
+        return n if a == "it's" else 9
+
+    got = first_match(df, rules, 9)
+    assert got.columns == ["a", "b", "n", "group_id"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((*v, want(*v))) for v in values)
