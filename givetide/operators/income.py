@@ -43,7 +43,8 @@ def cash_gift_facts(w) -> DataFrame:
     gift itself overrides the appeal's, but is read only where the appeal has one.
     """
     products = _appeal_attributes(w, "Product", "product")
-    audiences = _appeal_attributes(w, "Target Audience", "_appeal_audience").withColumn("_has_audience", F.lit(True))
+    audiences = _appeal_attributes(w, "Target Audience", "_appeal_audience")
+    with_audience = audiences.select("appeal_id").distinct().withColumn("_has_audience", F.lit(True))
     overrides = w.gift_attribute.filter(
         text.same(F.col("attribute_category"), "Target Audience") & F.col("attribute_description").isNotNull()
     ).select(F.col("gift_id").alias("_override_gift"), F.col("attribute_description").alias("_override"))
@@ -53,15 +54,17 @@ def cash_gift_facts(w) -> DataFrame:
     gifts = w.gift.filter(F.col("gift_type_id") == CASH_GIFT).select(
         "gift_id", "constituent_key", "gift_date_key", "amount", "appeal_id", "team_id", "gift_code_id"
     )
+    # The joins that move gifts come first, while these hold nothing but numbers.
     return (
-        gifts.join(days, "gift_date_key")
+        gifts.join(with_audience, "appeal_id", "left")
+        .join(overrides, F.col("_has_audience") & (F.col("gift_id") == F.col("_override_gift")), "left")
+        .join(w.constituent.select("constituent_key", "constituent_id"), "constituent_key")
+        .join(days, "gift_date_key")
         .join(w.team.select("team_id", "team"), "team_id")
         .join(w.dimension("cash_appeals", lambda: _cash_appeals(w)), "appeal_id")
         .join(codes, (F.col("gift_code_id") > -1) & (F.col("gift_code_id") == F.col("_code")), "left")
         .join(products, "appeal_id", "left")
         .join(audiences, "appeal_id", "left")
-        .join(overrides, F.col("_has_audience") & (F.col("gift_id") == F.col("_override_gift")), "left")
-        .join(w.constituent.select("constituent_key", "constituent_id"), "constituent_key")
         .select(
             "constituent_id",
             "gift_id",

@@ -19,7 +19,7 @@ Write = Callable[[DataFrame, str], None]
 
 def filled_metrics(w: Warehouse) -> DataFrame:
     """Monthly metrics with zero rows for the missing months of each fiscal year."""
-    monthly = settle(monthly_metrics(w, settle(rule_history(w)), w.as_of))
+    monthly = settle(monthly_metrics(w, settle(rule_history(w, counted=True)), w.as_of))
     return settle(monthly.unionByName(fill_missing_fiscal_months(monthly, w.months, w.group)))
 
 

@@ -4,8 +4,10 @@ from decimal import Decimal
 from fixture import AS_OF, D, rows, table, warehouse
 from pyspark.sql import functions as F
 
+from givetide.functions.rules import named_values
 from givetide.operators import actions, fill, history, income, targets
-from givetide.operators.metrics import KEYS, cash_metric
+from givetide.operators.groups import CASH_RULES, REGULAR_RULES
+from givetide.operators.metrics import KEYS, cash_metric, regular_metric
 
 
 def test_descriptor_labels_and_nulls(spark):
@@ -103,6 +105,39 @@ def test_movements_drop_unknown_appeals_and_fan_out_on_shared_names(spark):
     assert rows(full, *columns) == rows(history.grouped_changes(w), *columns)
 
 
+def test_counted_changes_stand_for_all_packages_of_a_name(spark):
+    def package(i, name, category):
+        return dict(package_id=i, package_identifier=f"P{i}", package_description=name, package_category=category)
+
+    shared = [package(i, "Letter " if i % 2 else "letter", ["Mail", "Phone", None][i % 3]) for i in range(30)]
+    w = _regular(
+        spark,
+        gift_change=[_change(1, appeal_id=1, package_id=1), _change(2, appeal_id=1, package_id=40), _change(3, appeal_id=1), _change(4, appeal_id=1, package_id=99), _change(5, appeal_id=1, package_id=50)],
+        appeal=[dict(appeal_id=1, appeal_identifier="A", product="p", appeal_category="CF/IS", campaign_description="c", campaign_id=1)],
+        # One identifier stands twice, one package has no name.
+        package=[*shared, shared[1], package(40, "Card", "Mail"), package(50, None, "Mail")],
+    )
+    columns = ["gift_id", "sequence", "change_annual_amount", "package_category"]
+    counted, whole = history.rule_history(w, counted=True), history.rule_history(w)
+    assert counted.filter("sequence = 1").count() == 3 and whole.filter("sequence = 1").count() == 62
+    assert rows(counted.selectExpr(*columns, "explode(sequence(1, copies))").drop("col")) == rows(whole, *columns)
+    totals = [rows(regular_metric(w, history.amendment_facts(w, x), "m", "NEW")) for x in (counted, whole)]
+    assert totals[0] == totals[1] and len(totals[0]) == 1
+    totals = [rows(regular_metric(w, history.new_gift_facts(w, x), "m", "NEW"), "total") for x in (counted, whole)]
+    assert totals[0] == totals[1] == [(Decimal(62 * 20),)]
+
+
+def test_values_that_no_rule_names_are_one(spark):
+    data = [("High Value Supporter ", "PPC", "x", True), ("Warm", "General", "Event - Running", False), (None, "ppc ", None, None)]
+    df = spark.createDataFrame(data, "audience string, product string, descriptor string, rolling_sms boolean")
+    assert named_values(df, CASH_RULES).collect() == [
+        ("high value supporter", "ppc", "x", True), (None, None, "Event - Running", False), (None, "ppc", None, None),
+    ]
+    facts = [(200101, "SRec - x", None, a, None, None, 1) for a in ("Warm", "Cold", "warm", None, "High Value Supporter")]
+    seen = named_values(spark.createDataFrame(facts, "month int, descriptor string, product string, audience string, appeal_type string, package_category string, value int"), REGULAR_RULES["NEW"])
+    assert seen.distinct().count() == 2
+
+
 def test_cash_audience_override_needs_an_audience_on_the_appeal(spark):
     gift = lambda i, appeal: dict(
         gift_id=i, constituent_key=1, gift_type_id=1, gift_code_id=-1, team_id=1, appeal_id=appeal, gift_date_key=20010105, amount=i
