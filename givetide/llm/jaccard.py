@@ -163,9 +163,16 @@ def count_vector(shingles: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
+def packed(vector: np.ndarray) -> bytes:
+    """A vector as it is stored: a byte for each count, or four where one of them needs more, and their number last."""
+    wide = vector.max(initial=0) > 255
+    return vector.astype(np.int32 if wide else np.uint8).tobytes() + (b"\x04" if wide else b"\x01")
+
+
 def folded(vectors: list[bytes], groups: int) -> np.ndarray:
     """Stored vectors with as many coordinates as the shortest of them."""
-    return np.stack([np.frombuffer(v, np.int32).reshape(-1, groups).sum(axis=0, dtype=np.int32) for v in vectors])
+    counts = [np.frombuffer(v, np.int32 if v[-1] == 4 else np.uint8, (len(v) - 1) // v[-1]) for v in vectors]
+    return np.stack([c.reshape(-1, groups).sum(axis=0, dtype=np.int32) for c in counts])
 
 
 def linked(sizes: np.ndarray, vectors: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
@@ -309,7 +316,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
                     batch.column("text_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(whole.view(np.int64), mask=sizes == 0),
-                    pa.array([count_vector(sets[a:b], g).tobytes() for a, b, g in zip(bounds[:-1].tolist(), bounds[1:].tolist(), groups_of(sizes).tolist(), strict=True)], pa.binary()),
+                    pa.array([packed(count_vector(sets[a:b], g)) for a, b, g in zip(bounds[:-1].tolist(), bounds[1:].tolist(), groups_of(sizes).tolist(), strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(keys[order].view(np.int64))),
                 ],
                 names=["doc_id", "text_id", "n_shingles", "set_id", "vector", "keys"],

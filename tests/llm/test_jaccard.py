@@ -53,6 +53,13 @@ def test_components_equal_all_pairs(spark, width, num, den):
     assert len({c for _, _, c in want}) < len(rows) - 50
 
 
+def test_stored_vectors_take_a_byte_for_each_count(spark):
+    small, large = np.arange(128, dtype=np.int32) % 7, np.full(64, 300, np.int32)
+    stored = [jaccard.packed(small), jaccard.packed(large)]
+    assert [len(v) for v in stored] == [129, 257]
+    assert (jaccard.folded(stored, 64) == np.stack([small[:64] + small[64:], large])).all()
+
+
 def test_edge_cases(spark):
     got = jaccard.jaccard_components(documents(spark))
     want = brute(edge_rows(), 3, 90, 100)
