@@ -185,3 +185,20 @@ def test_spelling_costs_are_those_of_a_distribution():
     words = [b"abc", b"abd", b"abd", b"b", b"one", b"x" * 95]
     alone = [lm.spelled(mixer, [w])[0] for w in words]
     assert np.allclose(lm.spelled(mixer, words), alone)
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_a_block_counts_its_words_slice_by_slice(monkeypatch, size):
+    monkeypatch.setattr(lm, "SLICE_BYTES", size)
+    texts = ["A b\x0ba  c ", None, "", " b\x1cb É\u0085 ", "a", "B c a"]
+    held, kinds = [False, False, True, False, True, False], [0, 0, 1, 5, 0, 5]
+    block = pa.table({"block": pa.array([7] * 6, pa.int32()), "text": pa.array(texts), "held_out": held, "class": pa.array(kinds, pa.int32())})
+    want = {}
+    for text, h, k in zip(texts, held, kinds, strict=True):
+        for w in [*(text or "").encode().lower().split(), lm.END]:
+            want.setdefault(w, Counter())[k] += not h
+    got = lm._block_counts([0, 1, 5])(block)
+    # Counts of classes that no document has aren't moved.
+    assert got.column_names == ["block", "token", "n0", "n1", "n5"] and set(got["block"].to_pylist()) == {7}
+    assert {r["token"]: (r["n0"], r["n1"], r["n5"]) for r in got.to_pylist()} == {w: (c[0], c[1], c[5]) for w, c in want.items()}
+    assert got.num_rows == len(want)
