@@ -325,14 +325,17 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     keyed = settle(rows.mapInArrow(sketch, "doc_id long, text_id long, n_shingles long, set_id long, vector binary, keys array<long>"))
     sketched = settle(keyed.drop("keys"))
     members = sketched.filter("set_id is not null")
-    one = keyed.filter("set_id is not null").select("set_id", "keys").dropDuplicates(["set_id"]).select("set_id", F.explode("keys").alias("key"))
+    # The widest shuffle of all is that by key: what the rows were cut into, and the shuffle by set, are deleted before it.
+    distinct = settle(keyed.filter("set_id is not null").select("set_id", "keys").dropDuplicates(["set_id"]))
+    forget(keyed)
+    one = distinct.select("set_id", F.explode("keys").alias("key"))
     # Near copies agree in many segments. Buckets of the same sets, told by their number and the exclusive or of their
     # hashes, are one bucket from here on; two that share this by chance only meet more sets than they need to.
     together = Window.partitionBy("key")
     counted = one.select("set_id", F.count(F.lit(1)).over(together).alias("many"), F.bit_xor(F.xxhash64("set_id")).over(together).alias("same"))
     crowded = counted.filter("many > 1").select("set_id", "many", F.xxhash64("many", "same").alias("key"))
     many = settle(crowded.dropDuplicates(["key", "set_id", "many"]))
-    forget(keyed)
+    forget(distinct)
     points = members.select(F.col("set_id").alias("_set"), F.col("n_shingles").alias("n"), "vector").dropDuplicates(["_set"])
     chunked = many.withColumn("chunks", F.ceil(F.col("many") / CROWD).cast("int"))
     own = F.pmod(F.xxhash64("set_id", F.lit("crowd")), F.col("chunks")).cast("int")

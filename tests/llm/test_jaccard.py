@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -120,3 +121,24 @@ def test_components_of_paths_and_stars(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_with_keys_are_gone_before_the_shuffle_by_key(spark, monkeypatch):
+    """The shuffle by key is the widest: only what it reads and the count vectors may be on disk beside it."""
+    held, at_shuffle = {}, []
+
+    def settle(df):
+        if "many" in df.columns:
+            at_shuffle.extend(columns for columns, folder in held.values() if os.path.isdir(folder))
+        settled = jaccard_settle(df)
+        files = settled.inputFiles()
+        if files:
+            folder = files[0].removeprefix("file://").rsplit("/", 1)[0]
+            held[folder] = (set(df.columns), folder)
+        return settled
+
+    jaccard_settle = jaccard.settle
+    monkeypatch.setattr(jaccard, "settle", settle)
+    rows = [(i, *r[1:]) for i, r in enumerate(prose(3, 60))]
+    jaccard.jaccard_components(documents(spark, rows, False)).collect()
+    assert sorted(map(sorted, at_shuffle)) == [["doc_id", "n_shingles", "set_id", "text_id", "vector"], ["keys", "set_id"]]
