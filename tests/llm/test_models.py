@@ -202,3 +202,16 @@ def test_a_block_counts_its_words_slice_by_slice(monkeypatch, size):
     assert got.column_names == ["block", "token", "n0", "n1", "n5"] and set(got["block"].to_pylist()) == {7}
     assert {r["token"]: (r["n0"], r["n1"], r["n5"]) for r in got.to_pylist()} == {w: (c[0], c[1], c[5]) for w, c in want.items()}
     assert got.num_rows == len(want)
+
+
+def test_sums_by_column_equal_those_of_rows():
+    draw = np.random.default_rng(5)
+    mixer = lm.Mixer(np.zeros(0, np.float32))
+    mixer.weights = draw.normal(size=mixer.weights.shape).astype(np.float32)
+    gate, x = draw.integers(0, len(mixer.weights), 5000), draw.normal(size=(5000, lm.ORDERS)).astype(np.float32)
+    assert (mixer._mixed(gate, list(x.T)) == (mixer.weights[gate] * x).sum(axis=1)).all()
+    rows = draw.normal(size=(5000, lm.LANGUAGES + 1))
+    assert (lm._over_classes(rows) == rows.sum(axis=1)).all()
+    assert (lm._over_classes(rows, np.maximum) == rows.max(axis=1)).all()
+    at = np.array([-np.inf, -800, -40, -1e-9, 0, 1e-9, 3, 40, 800, np.inf])
+    assert np.allclose(lm._softplus(at), np.logaddexp(0, at), rtol=1e-15, atol=0)
