@@ -209,7 +209,7 @@ def test_sums_by_column_equal_those_of_rows():
     mixer = lm.Mixer(np.zeros(0, np.float32))
     mixer.weights = draw.normal(size=mixer.weights.shape).astype(np.float32)
     gate, x = draw.integers(0, len(mixer.weights), 5000), draw.normal(size=(5000, lm.ORDERS)).astype(np.float32)
-    assert (mixer._mixed(gate, list(x.T)) == (mixer.weights[gate] * x).sum(axis=1)).all()
+    assert (mixer._mixed(gate, x) == (mixer.weights[gate] * x).sum(axis=1)).all()
     rows = draw.normal(size=(5000, lm.LANGUAGES + 1))
     assert (lm._over_classes(rows) == rows.sum(axis=1)).all()
     assert (lm._over_classes(rows, np.maximum) == rows.max(axis=1)).all()
