@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from fixture import AS_OF, rows, stored
+from pyspark.sql import functions as F
 
 from checks.compare import difference
 from checks.queries import plain
@@ -175,6 +176,31 @@ def test_single_months_merged_equal_a_full_run(spark, tmp_path, run, tables):
     assert merged.publication()[0] == 5
 
 
+def test_a_change_is_stored_once_however_many_months_have_a_snapshot(spark):
+    data = [(1, 1, 50, 200011, 5), (1, 1, 50, 200012, 7), (1, 1, 50, 200102, 1), (2, 2, None, 200102, None), (1, 1, 50, 200106, 9)]
+    details = spark.createDataFrame(data, "constituent_id long, gift_id long, group_id int, month int, change_annual_amount int")
+    months = [200101, 200102, 200103, 200104, 200105, 200106]
+    stored = rebuild.open_group_values(details, months).withColumn("change_annual_amount", F.col("change_annual_amount").cast("int"))
+    assert rows(stored, *details.columns) == sorted([(1, 1, 50, 200101, 12), (1, 1, 50, 200103, 1), (2, 2, None, 200103, None)])
+
+
+def test_a_run_may_start_at_any_month_that_has_a_snapshot(spark, tmp_path):
+    """Also where a run from an earlier month came in between."""
+    at = lambda month: warehouse_of(spark, SMALLEST, dt.date(2001, month, 15))
+    run, table = rebuild.active_gifts, RESULTS["active_gift_value_by_group"]
+    full, again = Results(spark, f"{tmp_path}/full"), Results(spark, f"{tmp_path}/again")
+    run(at(9), full)
+    run(at(6), again, snapshots=80)
+    run(at(9), again, from_month=200009, snapshots=1)
+    run(at(9), again, from_month=200102, snapshots=1)
+    run(at(9), again, from_month=200106, snapshots=1)
+    assert difference(plain(again.read(table)).toPandas(), plain(full.read(table)).toPandas()) is None
+    stored = again.read(rebuild.OPEN_GROUP_MONTHS).select("month").toPandas()["month"]
+    assert sorted(stored) == [*sorted(m for m in range(199411, 200107) if 1 <= m % 100 <= 12), 200109]
+    with pytest.raises(ValueError, match="no snapshot of 200107"):
+        run(at(9), again, from_month=200107)
+
+
 def test_the_shuffle_files_of_a_published_table_go_when_it_is_written(spark, results):
     def files():
         found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()

@@ -182,6 +182,28 @@ def test_a_change_under_two_groups_counts_in_each_with_all_its_rows(spark):
     assert rows(got, "group_id", "sequence", F.col("change_annual_amount").cast("int")) == [(50, 2, 5), (51, 1, 10), (51, 1, 10)]
 
 
+def test_totalled_changes_add_up_to_those_looked_up_one_by_one(spark):
+    rng = random.Random(11)
+    data = []
+    for _ in range(400):
+        # Sequences of a gift repeat, over groups, months and people; amounts, gifts and sequences may be unknown.
+        gift_id, sequence = rng.choice([None, *range(1, 9)]), rng.choice([None, *range(1, 6)])
+        data.append((rng.choice([None, 1, 2]), gift_id, rng.choice([200101, 200102]), rng.choice([None, 50, 51]), sequence, rng.choice([None, Decimal(rng.randrange(-9, 99))])))
+    schema = "constituent_id bigint, gift_id bigint, month int, group_id int, sequence int, change_annual_amount decimal(19,4), payment_type_id int"
+    wide = settle(spark.createDataFrame([(*r, rng.choice([1, 2, 2, 9, None])) for r in data], schema))
+    w = make(spark, [], [], payment_type=[*PAY, PAY[1]])
+    keys = ["constituent_id", "gift_id", "month", "group_id", "sequence", "payment_type"]
+    one_by_one = s.latest_change_per_group_month(w, wide)
+    totalled = s.totals_by_change(wide)
+    got = s.latest_change_per_group_month(w, totalled, totalled=True)
+    assert got.columns == one_by_one.columns
+    # A payment type listed twice is met twice, as before.
+    assert got.count() < one_by_one.count() and got.groupBy(*keys).count().filter("count > 2").isEmpty()
+    total = lambda df: rows(df.groupBy(*keys).agg(F.sum("change_annual_amount").cast("double")))
+    assert total(got) == total(one_by_one)
+    assert totalled.count() == totalled.select(*[c for c in totalled.columns if c != "change_annual_amount"]).distinct().count()
+
+
 def test_undated_cancellations_are_long_ago():
     assert s.LONG_AGO == 197912
 
