@@ -165,6 +165,40 @@ def test_weights_and_map_are_learned_from_all_training_words(spark, monkeypatch)
     assert total[: len(total) // 2].sum() == pytest.approx(8 * sum(len(w) + 1 for w in stretches))
 
 
+def test_whole_word_contexts_have_a_table_that_grows_with_the_words():
+    draw = random.Random(4)
+    words = [*{bytes(draw.choices(range(97, 123), k=9)) for _ in range(20_000)}, b"ab", b"abc"]
+    ended = [w + b" " for w in words]
+    contexts = {(w[:j], 256 + w[j] >> 8 - bit) for w in ended for j in range(lm.HEAD, len(w)) for bit in range(8)}
+    counts = lm.own_counts(words).reshape(-1, 2)
+    # More than one of the common tables has slots, and most have a slot apart, though these words share little.
+    assert len(contexts) > 4 << lm.BITS
+    assert 0.6 * len(contexts) < (counts.sum(axis=1) > 0).sum() <= len(contexts)
+    assert counts.sum() == 8 * sum(len(w) - lm.HEAD for w in ended)
+    assert lm.own_counts([b"ab", b""]).sum() == 0
+
+
+def test_each_part_counts_all_words_that_begin_alike(spark, monkeypatch):
+    rows = [(i, f"{r[1]} {'long' * 12}{i} w{i}x", *r[2:]) for i, r in enumerate(prose(9, 60))]
+    seen, learned = [], lm._learned
+    monkeypatch.setattr(lm, "_learned", lambda known, path: seen.append((known, path)) or learned(known, path))
+    score = lambda: {r["doc_id"]: r["score"] for r in lm.score_texts(documents(spark, rows)).collect()}
+    whole = score()
+    monkeypatch.setattr(lm, "PART_BYTES", 5_000)
+    in_parts = score()
+    known, path = seen[1]
+    parts = {}
+    for r in known.select("part", "token").collect():
+        parts.setdefault(r["part"], []).append(bytes(r["token"]))
+    assert len(parts) > 5 and len({(p, w[: lm.HEAD]) for p, words in parts.items() for w in words}) == len({w[: lm.HEAD] for words in parts.values() for w in words})
+    for part, words in parts.items():
+        stretches = [w[a : a + 40] for w in words if w != lm.END for a in range(0, len(w), 40)]
+        assert lm._load_own(path, part).sum() == 8 * sum(max(len(w) + 1 - lm.HEAD, 0) for w in stretches)
+    assert lm._load_own(path, 1_000_000).sum() == 0
+    # What is left are the contexts that share a slot.
+    assert sum(in_parts.values()) == pytest.approx(sum(whole.values()), rel=0.01)
+
+
 def test_spelling_costs_are_those_of_a_distribution():
     counts = np.random.default_rng(2).integers(0, 9, lm.ORDERS << lm.BITS + 1).astype(np.float32)
     mixer = lm.Mixer(counts)
